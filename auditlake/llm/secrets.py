@@ -118,12 +118,13 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secret_spans", vocabul
     return in_arrow(docs, each, StructType([*docs.schema.fields, StructField(name, kind)]))
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", **options) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", length: str | None = None, mark: str = "[secret]", vocabulary: str = VOCABULARY, most_chars_per_token: float = MOST_CHARS_PER_TOKEN) -> DataFrame:
     """docs with every span replaced by a mark (overlapping spans by one); nothing else changes.
 
-    Null texts stay null. Columns and their order are those of docs.
+    Null texts stay null. Where a text changes, the column ``length``, if docs have it, gets its new length.
+    Columns and their order are those of docs.
     """
-    vocabulary, most = options.get("vocabulary", VOCABULARY), options.get("most_chars_per_token", MOST_CHARS_PER_TOKEN)
+    most = most_chars_per_token
 
     def one(t: str | None, enc) -> str | None:
         if not t:
@@ -140,8 +141,13 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", **option
         for batch in batches:
             for part in slices(batch, text):
                 k = part.schema.get_field_index(text)
-                new = pa.array([one(t, enc) for t in part.column(k).to_pylist()], part.schema.field(k).type)
-                yield part.set_column(k, part.schema.field(k), new)
+                old = part.column(k).to_pylist()
+                new = [one(t, enc) for t in old]
+                part = part.set_column(k, part.schema.field(k), pa.array(new, part.schema.field(k).type))
+                if length is not None and (n := part.schema.get_field_index(length)) >= 0:
+                    sizes = [x if t == u else len(u) for x, t, u in zip(part.column(n).to_pylist(), old, new, strict=True)]
+                    part = part.set_column(n, part.schema.field(n), pa.array(sizes, part.schema.field(n).type))
+                yield part
 
     return in_arrow(docs, each, docs.schema)
 
