@@ -7,6 +7,7 @@ Inner pages are only counted, so a site with a third of all pages costs partial
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,12 +98,20 @@ def page_scores(states: DataFrame) -> DataFrame:
     return states.withColumn("score", T.js_round(F.try_divide(earned * 100, F.nullif(total, F.lit(0.0)))))
 
 
-def sites(pages: DataFrame, meta: DataFrame | None = None, broken: DataFrame | None = None) -> DataFrame:
-    """One row per site for the rules. pages as PAGE, meta as META (both may lack columns), broken: site, url, status."""
+PARTS = frozenset({"articles", "citation", "robots", "broken"})
+
+
+def sites(pages: DataFrame, meta: DataFrame | None = None, broken: DataFrame | None = None, parts: frozenset[str] = PARTS) -> DataFrame:
+    """One row per site for the rules. pages as PAGE, meta as META (both may lack columns), broken: site, url, status.
+
+    parts: what beside the homepage and the counts is worked out; a part left out is null or empty.
+    """
     spark = pages.sparkSession
     p = parsed(completed(pages, PAGE), "final_url", "body").drop("body")
     p = p.withColumn("description", F.coalesce(F.trim(F.regexp_replace(F.coalesce(C.meta("name", "description"), F.lit("")), r"\s+", " ")), F.lit("")))
-    p = p.withColumn("title_key", F.when(F.col("is_home"), F.col("dom.title")).otherwise(F.col("dom.title_line"))).persist()
+    p = p.withColumn("title_key", F.when(F.col("is_home"), F.col("dom.title")).otherwise(F.col("dom.title_line")))
+    # Parsed once, read by several aggregates: a Python stage would run again for each.
+    p = p.persist(StorageLevel.MEMORY_AND_DISK)
     home = p.where("is_home")
     inner = p.where("not is_home")
     counts = inner.groupBy("site").agg(
@@ -126,9 +135,13 @@ def sites(pages: DataFrame, meta: DataFrame | None = None, broken: DataFrame | N
     maps = robots_rows.where("kind = 'sitemap'").groupBy("site").agg(F.count("*").cast("int").alias("robots_sitemaps"))
     errors = (broken if broken is not None else spark.createDataFrame([], "site string, url string, status int")).groupBy("site").agg(F.count("*").alias("n_broken"))
     profiles = F.array_compact(F.transform("dom.anchors", lambda a: U.social_profile(C.absolute(a["href"], F.col("final_url")))))
-    row = home.join(m, "site", "left")
-    for part in (inner_struct, articles, shares, allowed, maps, errors):
-        row = row.join(part, "site", "left")
+    row = home.join(m, "site", "left").join(inner_struct, "site", "left")
+    for name, part, empty in (
+        ("articles", articles, "struct<n:long,lacking:long>"), ("citation", shares, "map<string,struct<share:double,inner_fails:long>>"), ("robots", allowed, "map<string,boolean>"),
+        ("robots", maps, "int"), ("broken", errors, "long"),
+    ):
+        column = part.columns[-1]
+        row = row.join(part, "site", "left") if name in parts else row.withColumn(column, F.lit(None).cast(empty))
     return row.select(
         "site", "final_url", "status", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "dom", "robots_txt",
         F.coalesce("robots_sitemaps", F.lit(0)).alias("robots_sitemaps"), F.coalesce("allowed", F.create_map().cast("map<string,boolean>")).alias("allowed"), sitemap_facts(F.col("sitemap_xml"), F.col("final_url")).alias("sitemap"), "llms_txt",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rule_queries, score_queries, text_queries, url_queries  # noqa: F401
+from . import rule_queries, score_queries, state_queries, text_queries, url_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
