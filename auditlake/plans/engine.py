@@ -98,7 +98,7 @@ def page_scores(states: DataFrame) -> DataFrame:
     return states.withColumn("score", T.js_round(F.try_divide(earned * 100, F.nullif(total, F.lit(0.0)))))
 
 
-PARTS = frozenset({"articles", "citation", "robots", "broken"})
+PARTS = frozenset({"articles", "citation", "robots", "broken", "profiles", "sitemap"})
 
 
 def sites(pages: DataFrame, meta: DataFrame | None = None, broken: DataFrame | None = None, parts: frozenset[str] = PARTS) -> DataFrame:
@@ -122,32 +122,48 @@ def sites(pages: DataFrame, meta: DataFrame | None = None, broken: DataFrame | N
     )
     counts = counts.join(_bad_values(p, "title_key", "bad_titles"), "site", "left").join(_bad_values(p, "description", "bad_descriptions"), "site", "left")
     inner_struct = counts.select("site", F.struct("n", "bad_h1", "thin", "bad_titles", "bad_descriptions").alias("inner"), F.struct("n", "canonicals", "bad_canonicals", "redirected", F.lit(None).cast("long").alias("orphans")).alias("crawl"))
-    articles = p.groupBy("site").agg(F.sum(F.size("dom.articles")).alias("n"), F.sum(F.size(F.filter("dom.articles", lambda a: ~a["author"] | ~a["date"]))).alias("lacking")).select("site", F.struct("n", "lacking").alias("articles"))
-    entity = home.select("site", F.col("dom.entity").alias("entity"))
-    states = citation_states(p.join(entity, "site", "left"))
-    keys = [k for k in C.CITATION_WEIGHTS if k != "external-authority"]
-    shares = states.groupBy("site").agg(*[F.struct(F.avg(f"`{k}`").alias("share"), F.count_if((F.col(f"`{k}`") == 0) & ~F.col("is_home")).alias("inner_fails")).alias(k) for k in keys])
-    shares = shares.select("site", F.create_map(*[x for k in keys for x in (F.lit(k), F.col(f"`{k}`"))]).alias("citation"))
     m = completed(meta if meta is not None else spark.createDataFrame([], "site string"), META)
-    robots_rows = robots.parse(m)
-    wanted = home.select("site", F.explode(F.array(*[F.lit(b) for b, _ in C.CRAWLERS])).alias("agent"), U.path(F.col("final_url")).alias("path"))
-    allowed = robots.decide(robots_rows, wanted).groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("agent", "allowed"))).alias("allowed"))
-    maps = robots_rows.where("kind = 'sitemap'").groupBy("site").agg(F.count("*").cast("int").alias("robots_sitemaps"))
-    errors = (broken if broken is not None else spark.createDataFrame([], "site string, url string, status int")).groupBy("site").agg(F.count("*").alias("n_broken"))
-    profiles = F.array_compact(F.transform("dom.anchors", lambda a: U.social_profile(C.absolute(a["href"], F.col("final_url")))))
     row = home.join(m, "site", "left").join(inner_struct, "site", "left")
-    for name, part, empty in (
-        ("articles", articles, "struct<n:long,lacking:long>"), ("citation", shares, "map<string,struct<share:double,inner_fails:long>>"), ("robots", allowed, "map<string,boolean>"),
-        ("robots", maps, "int"), ("broken", errors, "long"),
+
+    def articles() -> DataFrame:
+        lacking = F.sum(F.size(F.filter("dom.articles", lambda a: ~a["author"] | ~a["date"])))
+        return p.groupBy("site").agg(F.struct(F.sum(F.size("dom.articles")).alias("n"), lacking.alias("lacking")).alias("articles"))
+
+    def citation() -> DataFrame:
+        states = citation_states(p.join(home.select("site", F.col("dom.entity").alias("entity")), "site", "left"))
+        keys = [k for k in C.CITATION_WEIGHTS if k != "external-authority"]
+        shares = states.groupBy("site").agg(*[F.struct(F.avg(f"`{k}`").alias("share"), F.count_if((F.col(f"`{k}`") == 0) & ~F.col("is_home")).alias("inner_fails")).alias(k) for k in keys])
+        return shares.select("site", F.create_map(*[x for k in keys for x in (F.lit(k), F.col(f"`{k}`"))]).alias("citation"))
+
+    def robots_part() -> DataFrame:
+        found = robots.parse(m)
+        wanted = home.select("site", F.explode(F.array(*[F.lit(b) for b, _ in C.CRAWLERS])).alias("agent"), U.path(F.col("final_url")).alias("path"))
+        allowed = robots.decide(found, wanted).groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("agent", "allowed"))).alias("allowed"))
+        maps = found.where("kind = 'sitemap'").groupBy("site").agg(F.count("*").cast("int").alias("robots_sitemaps"))
+        return allowed.join(maps, "site", "left")
+
+    def broken_part() -> DataFrame:
+        return (broken if broken is not None else spark.createDataFrame([], "site string, url string, status int")).groupBy("site").agg(F.count("*").alias("n_broken"))
+
+    def profiles() -> DataFrame:
+        found = home.select("site", F.explode_outer("dom.anchors").alias("a"), "final_url").select("site", U.social_profile(C.absolute(F.col("a.href"), F.col("final_url"))).alias("s"))
+        return found.groupBy("site").agg(F.struct(F.collect_set(F.when(F.col("s.kind") == "profile", F.col("s.platform"))).alias("platforms"), F.count_if(F.col("s.kind") == "homepage").alias("homepages")).alias("profiles"))
+
+    def sitemap() -> DataFrame:
+        return home.select("site", "final_url").join(m.select("site", "sitemap_xml"), "site").select("site", sitemap_facts(F.col("sitemap_xml"), F.col("final_url")).alias("sitemap"))
+
+    for name, make, columns in (
+        ("articles", articles, {"articles": "struct<n:long,lacking:long>"}), ("citation", citation, {"citation": "map<string,struct<share:double,inner_fails:long>>"}),
+        ("robots", robots_part, {"allowed": "map<string,boolean>", "robots_sitemaps": "int"}), ("broken", broken_part, {"n_broken": "long"}),
+        ("profiles", profiles, {"profiles": "struct<platforms:array<string>,homepages:long>"}), ("sitemap", sitemap, {"sitemap": "struct<is_index:boolean,urls:int,n_issues:int>"}),
     ):
-        column = part.columns[-1]
-        row = row.join(part, "site", "left") if name in parts else row.withColumn(column, F.lit(None).cast(empty))
+        row = row.join(make(), "site", "left") if name in parts else row.withColumns({c: F.lit(None).cast(t) for c, t in columns.items()})
     return row.select(
         "site", "final_url", "status", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "dom", "robots_txt",
-        F.coalesce("robots_sitemaps", F.lit(0)).alias("robots_sitemaps"), F.coalesce("allowed", F.create_map().cast("map<string,boolean>")).alias("allowed"), sitemap_facts(F.col("sitemap_xml"), F.col("final_url")).alias("sitemap"), "llms_txt",
+        F.coalesce("robots_sitemaps", F.lit(0)).alias("robots_sitemaps"), F.coalesce("allowed", F.create_map().cast("map<string,boolean>")).alias("allowed"), "sitemap", "llms_txt",
         F.year(F.coalesce("fetched_at", F.lit("2024-01-01").cast("timestamp"))).alias("fetched_year"), "rendered", "probes", F.coalesce("n_broken", F.lit(0)).alias("n_broken"),
         F.coalesce("inner", F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "bad_h1", "thin", "bad_titles", "bad_descriptions")])).alias("inner"), "articles", "crawl", "citation", "known_source",
-        F.struct(F.array_distinct(F.transform(F.filter(profiles, lambda x: x["kind"] == "profile"), lambda x: x["platform"])).alias("platforms"), F.size(F.filter(profiles, lambda x: x["kind"] == "homepage")).alias("homepages")).alias("profiles"),
+        "profiles",
         "reads", "speed",
     )
 

@@ -55,7 +55,7 @@ def site_title_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each site's homepage and inner pages do on titles, headings and text: five rules, one score."""
     rows_ = engine.sites(engine.page_responses(table(spark, sf_dir, "pages")), parts=frozenset())
     wanted = {"title-length", "single-h1", "content-in-html", "pages-titles", "pages-content"}
-    rules = [r for r in engine.C.rules() if r.id in wanted]
+    rules = [r for r in engine.C.rules(("technical", "geo")) if r.id in wanted]
     outcomes = engine.evaluate(rows_, rules)
     score = outcomes.groupBy("site").agg(T.js_round(F.sum(F.when(F.col("passed"), F.col("weight")).otherwise(0)) * 100.0 / F.sum("weight")).alias("score"))
     counts = rows_.select("site", F.col("inner.n").alias("inner_pages"), F.coalesce("inner.bad_titles", F.lit(0)).alias("bad_titles"), F.col("inner.thin").alias("thin_pages"))
