@@ -15,7 +15,7 @@ FILLER = " ".join(["We bake fresh bread for small shops in the town and bring it
 GOOD = f"""<!doctype html><html lang="en"><head><title>Fresh bread for small shops</title><meta name="description" content="{"Fresh bread, baked each night and brought to small shops in the town before seven."}">
 <meta name="viewport" content="width=device-width"><link rel="canonical" href="https://www.bakery.test/"><meta property="og:title" content="a"><meta property="og:image" content="b">
 <script src="https://plausible.io/js/x.js"></script><script type="application/ld+json">{{"@type":"Organization","name":"Bakery","sameAs":["https://x.com/bakery"],"address":"1 Road","dateModified":"2024-02-01"}}</script></head>
-<body><header><a href="/about">About us</a><a href="/contact">Contact</a><a href="/blog/">Blog</a><a href="/privacy">Privacy</a><a href="tel:1">Call us</a><a href="https://facebook.com/bakery">f</a><a href="https://instagram.com/bakery">i</a></header>
+<body><div class="trustpilot"></div><header><a href="/about">About us</a><a href="/contact">Contact</a><a href="/blog/">Blog</a><a href="/privacy">Privacy</a><a href="tel:1">01 234</a><a href="https://facebook.com/bakery">f</a><a href="https://instagram.com/bakery">i</a></header>
 <h1>Fresh bread for small shops</h1><p>Bakery is a family business. {FILLER} We serve 40 shops and 12 towns, with 30 years of work.</p><h2>When do you deliver?</h2>
 <p>We deliver before seven each morning, from Monday to Saturday, to every shop in the town and to those on the road to the next one.</p><h2>More</h2><p>{FILLER}</p><p>Money-back guarantee. Prices from $3. Trusted by 500 customers.</p>
 <form><input type="email" name="email"><textarea></textarea></form><img src="a.png" alt="" width="1" height="1"><footer>© 2024</footer></body></html>"""
