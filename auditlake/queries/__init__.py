@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import rule_queries, score_queries, state_queries, text_queries, url_queries  # noqa: F401
+from . import more_queries  # noqa: F401, E402, I001  it reuses SQL registered above
 from .registry import QUERIES, SQL
 
 

@@ -24,8 +24,7 @@ FROM (SELECT l_orderkey % 300 AS site, l_partkey % {len(_IDS)} AS k, max(l_partk
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    o = spark.sql(OUTCOMES_SQL)
+    o = spark.sql(OUTCOMES_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
     finding = F.struct(F.concat_ws(":", "module", "id").alias("id"), "module", "severity", "effort", F.concat(F.lit("Problem with "), "id").alias("title"))
     return o.select("site", "module", F.col("module_text").cast("int").alias("module_ord"), "check_ord", "id", "weight", "passed", F.col("credit").cast("double").alias("credit"), F.when(F.col("found"), finding).alias("finding"))
 
