@@ -40,9 +40,10 @@ class Stash:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, shared_dir(spark)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, tasks: int | None = None) -> DataFrame:
+        """df as written. tasks: how many write it at most, for tables whose size is known to be small."""
         path = f"{self.root}/auditlake/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
         _remove_at_end(self.spark, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stash_path = path

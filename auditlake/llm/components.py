@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import Stash
 
+#: Edges that one task may write; small graphs take few tasks, whatever the number of shuffle partitions.
+EDGES_PER_TASK = 100_000
+
 
 def _is_star(edges: DataFrame) -> bool:
     """Whether every child has one parent and no parent is a child: then parents are the components."""
@@ -25,20 +28,20 @@ def _parents(edges: DataFrame) -> DataFrame:
     return edges.where("child <> parent").select(F.greatest("child", "parent").alias("child"), F.least("child", "parent").alias("parent")).distinct()
 
 
-def large_star(edges: DataFrame, stash: Stash) -> DataFrame:
+def large_star(edges: DataFrame, stash: Stash, tasks: int) -> DataFrame:
     """Larger neighbours of a node move to its least neighbour (or itself, if that is less)."""
     least = edges.select(F.col("child").alias("node"), F.col("parent").alias("low")).unionByName(edges.select(F.col("parent").alias("node"), F.col("parent").alias("low")))
-    low = stash.put(least.groupBy("node").agg(F.min("low").alias("low")))
-    out = stash.put(_parents(edges.join(low.withColumnRenamed("node", "parent"), "parent").select("child", F.col("low").alias("parent"))))
+    low = stash.put(least.groupBy("node").agg(F.min("low").alias("low")), tasks)
+    out = stash.put(edges.join(low.withColumnRenamed("node", "parent"), "parent").select("child", F.col("low").alias("parent")), tasks)
     stash.drop(low)
     return out
 
 
-def small_star(edges: DataFrame, stash: Stash) -> DataFrame:
+def small_star(edges: DataFrame, stash: Stash, tasks: int) -> DataFrame:
     """A node and its smaller neighbours move to the least of these."""
-    low = stash.put(edges.groupBy("child").agg(F.min("parent").alias("low")))
+    low = stash.put(edges.groupBy("child").agg(F.min("parent").alias("low")), tasks)
     moved = edges.join(low, "child").select(F.col("parent").alias("child"), F.col("low").alias("parent"))
-    out = stash.put(_parents(moved.unionByName(low.select("child", F.col("low").alias("parent")))))
+    out = stash.put(_parents(moved.unionByName(low.select("child", F.col("low").alias("parent")))), tasks)
     stash.drop(low)
     return out
 
@@ -49,9 +52,10 @@ def components(edges: DataFrame, stash: Stash, a: str = "a", b: str = "b") -> Da
     Null ends and loops are no edges; edges may repeat and come in either direction; no edges, no rows.
     """
     table = stash.put(_parents(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("child"), F.col(b).alias("parent"))))
+    tasks = max(12, table.count() // EDGES_PER_TASK)
     while not _is_star(table):
-        larger = large_star(table, stash)
-        new = small_star(larger, stash)
+        larger = large_star(table, stash, tasks)
+        new = small_star(larger, stash, tasks)
         stash.drop(table, larger)
         table = new
     roots = table.select(F.col("parent").alias("node"), F.col("parent").alias("component")).distinct()

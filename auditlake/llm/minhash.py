@@ -7,8 +7,8 @@
 3. Pairs whose signatures agree enough are confirmed on full sets, first the best pair of each class; components
    by stars. Pairs that a component already covers need no test.
 4. Buckets that still hold several components are finished exactly: members outside the bucket's largest
-   component are compared with all members of other components. So every pair that shares a bucket is either
-   tested or connected; nothing is capped.
+   component are compared with all members of other components, in blocks of bounded size that emit links only.
+   So every pair that shares a bucket is either tested or connected; nothing is capped.
 
 Sets are made again from the texts of candidates only, so they are never stored for all documents.
 
@@ -139,18 +139,21 @@ def agreeing(pairs: DataFrame, reps: DataFrame, least: float = LEAST_AGREEMENT)
     return in_arrow(rows, each, StructType([rows.schema["a"], rows.schema["b"], StructField("agree", LongType())]))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b of the pairs whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """rep, shingles (bytes of the sorted set) of the documents whose ids are wanted, made from their texts."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())], names=["rep", "shingles"])
 
-    id_type = docs.schema["doc_id"].dataType
-    made = in_arrow(texts.select("doc_id", "text"), sets, StructType([StructField("rep", id_type), StructField("shingles", BinaryType())]))
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    return in_arrow(texts, each, StructType([StructField("rep", docs.schema["doc_id"].dataType), StructField("shingles", BinaryType())]))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b of the pairs whose full sets have 100 * intersection >= percent * union."""
+    made = sets_of(docs, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))), width)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -171,6 +174,83 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return in_arrow(rows, each, StructType([rows.schema["a"], rows.schema["b"]])).distinct()
 
 
+def linked_across(one: list, two: list | None, percent: int) -> list[tuple]:
+    """Links between different components: (rep, rep). one, two: (rep, component, set); two None: within one.
+
+    For each set of one, its overlaps with all later sets come from one pass over their elements. A component
+    of the other side is linked to a set once.
+    """
+    import numpy as np
+
+    other = one if two is None else two
+    flat = np.concatenate([s for *_, s in other])
+    size = np.array([len(s) for *_, s in other])
+    owner, start = np.repeat(np.arange(len(other)), size), np.concatenate([[0], np.cumsum(size)])
+    component = np.array([c for _, c, _ in other])
+    out = []
+    for k, (rep, c, s) in enumerate(one):
+        first = start[k + 1] if two is None else 0
+        if first >= len(flat):
+            continue
+        at = np.minimum(np.searchsorted(s, flat[first:]), len(s) - 1)
+        both = np.bincount(owner[first:][s[at] == flat[first:]], minlength=len(other))
+        hit = np.flatnonzero((both > 0) & (100 * both >= percent * (len(s) + size - both)) & (component != c))
+        out += [(rep, other[h][0]) for h in hit[np.unique(component[hit], return_index=True)[1]]]
+    return out
+
+
+def finished(members: DataFrame, docs: DataFrame, width: int, percent: int, stash: Stash, tasks: int, few: int = 128, many: int = 512) -> DataFrame:
+    """a, b: links between the components of mixed buckets. members: rep, component, area (the largest component).
+
+    An area's strays (of other components) are compared with its own members and with each other. Strays are cut
+    into chunks of about ``few``, members of about ``many``; a block holds two chunks.
+    """
+    rows = stash.put(members.select("area", "rep", "component").distinct(), tasks)
+    stray = F.col("component") != F.col("area")
+    counts = stash.put(rows.groupBy("area").agg(F.greatest(F.lit(1), F.ceil(F.count_if(stray) / few)).cast("int").alias("cs"), F.greatest(F.lit(1), F.ceil(F.count_if(~stray) / many)).cast("int").alias("cm")), tasks)
+    chunk = F.when(stray, F.pmod(F.xxhash64("rep"), F.col("cs"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("cm"))).cast("int")
+    placed = rows.join(counts, "area").withColumn("chunk", chunk)
+    block = lambda kind, i, j, left: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(left).alias("own"))
+    c = F.col("chunk")
+    strays = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("cm") - 1), lambda j: block(0, c, j, True)),
+        F.transform(F.sequence(c, F.col("cs") - 1), lambda j: block(1, c, j, True)),
+        F.transform(F.filter(F.sequence(F.lit(0), c), lambda i: i < c), lambda i: block(1, i, c, False)),
+    )
+    owners = F.transform(F.sequence(F.lit(0), F.col("cs") - 1), lambda i: block(0, i, c, False))
+    placed = placed.join(sets_of(docs, rows, width), "rep").select("area", "rep", "component", "shingles", F.explode(F.when(stray, strays).otherwise(owners)).alias("at")).select("area", "at.*", "rep", "component", "shingles")
+    ordered = placed.repartition("area", "kind", "i", "j").sortWithinPartitions("area", "kind", "i", "j")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def ended(key, sides):
+            own, other = sides[True], sides[False]
+            if key[1] == 1 and key[2] == key[3]:
+                return linked_across(own, None, percent)
+            return linked_across(own, other, percent) if own and other else []
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], id_type), pa.array([y for _, y in found], id_type)], names=["a", "b"])
+
+        key, sides, id_type = None, {True: [], False: []}, pa.int64()
+        for b in batches:
+            id_type = b.schema.field("rep").type
+            columns = [b.column(n).to_pylist() for n in ("area", "kind", "i", "j", "own", "rep", "component")]
+            for *here, own, rep, component, raw in zip(*columns, b.column("shingles"), strict=True):
+                if key != tuple(here):
+                    if key is not None and (found := ended(key, sides)):
+                        yield out(found)
+                    key, sides = tuple(here), {True: [], False: []}
+                if raw.is_valid and len(raw.as_buffer()):
+                    sides[own].append((rep, component, np.frombuffer(raw.as_buffer(), np.uint64)))
+        if key is not None and (found := ended(key, sides)):
+            yield out(found)
+
+    id_type = docs.schema["doc_id"].dataType
+    return in_arrow(ordered, each, StructType([StructField("a", id_type), StructField("b", id_type)])).distinct()
+
+
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -180,23 +260,27 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BAN
     stash = Stash(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = stash.put(signatures(docs, width, bands, rows))
-    firsts = stash.put(signed.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
+    # Tables of ids are small next to texts: few tasks write them, more as the documents grow.
+    few = max(12, signed.count() // 50_000)
+    firsts = stash.put(signed.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), few)
     reps = stash.put(signed.join(firsts, (signed.doc_id == firsts.rep) & (signed.d1 == firsts.d1) & (signed.d2 == firsts.d2), "left_semi").select(F.col("doc_id").alias("rep"), "bands", "signature"))
 
     entries = reps.select("rep", F.explode("bands").alias("key"))
     # The exclusive or with the key puts a bucket's members in an order of its own and can be undone.
-    shared = stash.put(entries.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", F.col("x").bitwiseXOR(F.col("key")).alias("pivot")))
-    members = stash.put(entries.join(shared, "key"))
+    shared = stash.put(entries.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", F.col("x").bitwiseXOR(F.col("key")).alias("pivot")), few)
+    members = stash.put(entries.join(shared, "key"), few)
     stash.drop(shared)
 
-    tested = stash.put(members.where("rep <> pivot").select(*_ordered("rep", "pivot")).distinct())
+    tested = stash.put(members.where("rep <> pivot").select(*_ordered("rep", "pivot")).distinct(), few)
     likely = stash.put(agreeing(tested, reps))
-    # The best pair of each class first; most others are then inside a component.
+    # One good pair of each class first; most others are then inside a component. Of pairs that will hardly fail
+    # the one with the least partner is best: such pairs make stars, which have their components in few steps.
     ends = likely.select(F.col("a").alias("n"), "a", "b", "agree").unionByName(likely.select(F.col("b").alias("n"), "a", "b", "agree"))
-    best = ends.groupBy("n").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
-    best = stash.put(best)
+    sure = F.when(F.col("agree") >= 0.85 * bands * rows, 0).otherwise(-F.col("agree"))
+    best = ends.groupBy("n").agg(F.min(F.struct(sure.alias("sure"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    best = stash.put(best, few)
     edges = stash.put(confirmed(best, docs, width, percent))
-    found = stash.put(components(edges, stash))
+    found = stash.put(components(edges, stash), few)
 
     def across(pairs: DataFrame) -> DataFrame:
         """The pairs whose ends lie in different components."""
@@ -204,34 +288,26 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BAN
         two = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
-    def grown(pairs: DataFrame) -> DataFrame:
-        """The components with the pairs that full sets confirm."""
-        if pairs.isEmpty():
-            return found
-        more = stash.put(confirmed(pairs, docs, width, percent))
+    def grown(more: DataFrame) -> DataFrame:
+        """The components with further links."""
+        more = stash.put(more)
         old = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        out = found if more.isEmpty() else stash.put(components(old.unionByName(more), stash))
+        out = found if more.isEmpty() else stash.put(components(old.unionByName(more), stash), few)
         stash.drop(more)
         return out
 
-    rest = stash.put(across(likely.join(best, ["a", "b"], "left_anti").select("a", "b")))
-    found = grown(rest)
+    rest = stash.put(across(likely.join(best, ["a", "b"], "left_anti").select("a", "b")), few)
+    if not rest.isEmpty():
+        found = grown(confirmed(rest, docs, width, percent))
     stash.drop(likely, best, edges, rest)
 
     placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    parted = stash.put(mixed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("lo <> hi").select("key", "largest"))
+    parted = stash.put(mixed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("lo <> hi").select("key", "largest"), few)
     if not parted.isEmpty():
-        open_members = stash.put(placed.join(parted, "key"))
-        minor = open_members.where("component <> largest").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-        other = open_members.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), "largest")
-        left = minor.join(other, "key").where("cx <> cy and (cy = largest or x < y)").select(*_ordered("x", "y")).distinct()
-        left = stash.put(left.join(tested, ["a", "b"], "left_anti"))
-        more = stash.put(agreeing(left, reps).select("a", "b"))
-        found = grown(more)
-        stash.drop(open_members, left, more)
-
-    by_digest = stash.put(firsts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")))
+        found = grown(finished(placed.join(parted, "key").withColumnRenamed("largest", "area"), docs, width, percent, stash, few))
+
+    by_digest = stash.put(firsts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), few)
     stash.drop(members, tested, reps, parted)
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_digest, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
