@@ -18,9 +18,11 @@ piece, checksum.
 from __future__ import annotations
 
 import functools
+import itertools
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +36,7 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
 #: Words whose ids a worker process keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 @functools.cache
@@ -48,15 +50,72 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
 
 
+#: A word of Latin letters with ASCII punctuation after it: two tokens of the vocabulary's splitting pattern.
+_tailed = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+@functools.cache
+def _closing(name: str):
+    """By id: whether the token closes a word."""
+    import numpy as np
+
+    vocabulary = _tokenizer(name).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return out
+
+
 class WordEncoder:
     """Ids of texts by ids of their words.
 
     This vocabulary drops white space and merges within words only, so the ids of a text are those of its
-    words between ASCII blanks in turn. Each distinct word is encoded once; the ids seen last are kept.
+    words between ASCII blanks in turn. Nor does it merge letters with punctuation or tell capitals apart, so a
+    word of Latin letters and the punctuation after it are looked up by themselves, in lower case. Each distinct
+    part is encoded once; a bounded number of words and parts is kept as bytes.
     """
 
     def __init__(self, name: str, keep: int = CACHE_WORDS):
-        self.tokenizer, self.keep, self.seen = _tokenizer(name), keep, OrderedDict()
+        self.tokenizer, self.keep = _tokenizer(name), keep
+        self.closing = _closing(name)
+        self.seen: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words that are not known yet."""
+        known, heads, tails = self.parts, [], []
+        for w in words:  # two lists of strings: a list of pairs would keep the garbage collector busy
+            m = _tailed.fullmatch(w)
+            heads.append(m[1].lower() if m else "")
+            tails.append(m[2] if m else w)
+        letters = list(set(heads).difference(known))
+        others = list(set(tails).difference(known))
+        for i in range(0, len(letters), 400):
+            self._learn_letters(letters[i : i + 400])
+        for i in range(0, len(others), 20_000):
+            some = others[i : i + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[p] = array("I", e.ids).tobytes()
+        self.seen.update(zip(words, [known[a] + known[b] for a, b in zip(heads, tails, strict=True)], strict=True))
+
+    def _learn_letters(self, some: list[str]) -> None:
+        """Words of letters alone, encoded as one text: each ends with its one token that closes a word."""
+        import numpy as np
+
+        ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) == len(some) and ends[-1] == len(ids):
+            raw = ids.tobytes()
+            for p, x, y in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                self.parts[p] = raw[4 * x : 4 * y]
+        else:
+            for p in some:
+                self.parts[p] = array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
+
+    def _forget(self) -> None:
+        for kept in (self.seen, self.parts):
+            for w in list(itertools.islice(kept, max(0, len(kept) - self.keep))):
+                del kept[w]
+        self.parts[""] = b""
 
     def ids(self, texts: pa.Array) -> tuple:
         """(flat ids, ends) of the texts, as numpy arrays."""
@@ -67,34 +126,37 @@ class WordEncoder:
         bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         vocabulary, seen = coded.dictionary.to_pylist(), self.seen
-        new = [w for w in vocabulary if w not in seen]
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                seen[w] = np.asarray(e.ids, "<u4")
+        self._learn([w for w in vocabulary if w not in seen])
         own = [seen[w] for w in vocabulary]
-        while len(seen) > self.keep:
-            seen.popitem(last=False)
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate([*own, np.empty(0, "<u4")])
-        at = np.concatenate([[0], np.cumsum(size)])[:-1] if len(own) else np.empty(0, np.int64)
+        self._forget()
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), "<u4")
+        at = np.cumsum(size) - size
         word = coded.indices.to_numpy()
         n = size[word]
         ends = np.concatenate([[0], np.cumsum(n)])
-        take = np.repeat(at[word] - ends[:-1], n) + np.arange(ends[-1])
+        # A slice is a few megabytes of text, so its places fit 32 bits.
+        take = np.repeat((at[word] - ends[:-1]).astype(np.int32), n)
+        take += np.arange(ends[-1], dtype=np.int32)
         bounds = bounds - bounds[0]
         return flat[take], ends[bounds[1:]]
 
 
+@functools.cache
+def _encoder(name: str) -> WordEncoder:
+    """One encoder a worker process: its words serve all tasks that run there."""
+    return WordEncoder(name)
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every document, tokenised in one narrow pass."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encoder = WordEncoder(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4_000_000):
                 ids, ends = encoder.ids(part.column("text"))
                 row, piece, start, length, crc, a = [], [], [], [], [], 0
                 for r, b in enumerate(ends.tolist()):
