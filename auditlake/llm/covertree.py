@@ -199,11 +199,14 @@ def linked(a, b, wa, wb, cosine: float) -> tuple:
     return links, root
 
 
-def centres_of(points: DataFrame, pivots: int, sample: int = 4_096) -> list:
+def centres_of(points: DataFrame, total: int, pivots: int, sample: int = 2_048) -> list:
     """At most ``pivots`` centres for each length of vector, farthest-first on a bounded sample."""
     import numpy as np
 
-    drawn = points.select("dim", "v", F.xxhash64("rep", F.lit(9)).alias("o")).orderBy("o").limit(sample).collect()
+    # A share of the points by hash: about twice ``sample`` in all and four times at most.
+    share = min(1.0, 2.0 * sample / max(1, total))
+    drawn = points.where(F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30))).select("rep", "dim", "v").limit(4 * sample).collect()
+    drawn.sort(key=lambda r: str(r["rep"]))
     out = []
     for dim in sorted({r["dim"] for r in drawn}):
         x = np.concatenate([_matrix(r["v"], 1) for r in drawn if r["dim"] == dim])
@@ -235,7 +238,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     total = points.count()
     kinds = max(1, points.select("label", "dim").distinct().count())
-    centres = centres_of(points, max(1, min(pivots, -(-total // (kinds * block)))))
+    centres = centres_of(points, total, max(1, min(pivots, -(-total // (kinds * block)))))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = dict(centres)
