@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,7 +77,20 @@ def _remove_at_end(spark: SparkSession, path: str) -> None:
 def in_arrow(df: DataFrame, f, schema) -> DataFrame:
     """df.mapInArrow, with this package sent to the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release_memory()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release_memory() -> None:
+    """Hands freed memory back to the system: workers are kept, and what one task used should not count against the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
