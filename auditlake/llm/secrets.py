@@ -2,8 +2,8 @@
 
 A random string costs many tokens: a byte-pair vocabulary has no long entries for it, so its characters per
 token stay low, while words, identifiers and paths reach three to six. Candidates are runs of key-like
-characters that mix letters and digits; known digests (hex of a digest's length), UUIDs, numbers and
-identifiers made of words are left out before the test.
+characters that mix letters and digits. Segments of vocabulary words, known digests (hex of a digest's length) and UUIDs divide a run, and each
+stretch between them is tested by itself; numbers, dates and versions are left out.
 
 Defined results: null or empty text has no spans; very long texts are scanned whole, in pieces only where a
 candidate cannot reach across; repeated rows are judged row by row; an empty table gives an empty result;
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -56,10 +57,12 @@ def encoding(rank_file: str):
 _assign = re.compile(ASSIGN, re.I | re.A)
 _access = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run under 20 characters fails as a whole, so the bound may stand in the pattern
 _hex = re.compile(r"[0-9a-f]{24,}")
-_candidate = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{%d,}" % LEAST_LENGTH)
-_uuid = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+_run = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{%d,}" % LEAST_LENGTH)
+_uuid = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
 _digest = re.compile(r"[0-9a-fA-F]+\Z")
+_segment = re.compile(r"[A-Za-z0-9]+")
 _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_BEFORE, _after = "+_-", re.compile(r"[+=_-]*")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -69,24 +72,64 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in _hex.finditer(text)]
 
 
-def known_harmless(s: str) -> bool:
-    """Digests, UUIDs and identifiers: parts of one letter case or digits only, three characters each on average."""
-    if (len(s) in DIGEST_LENGTHS and _digest.match(s)) or _uuid.match(s):
+@functools.lru_cache(1 << 16)
+def _is_word(part: str, enc) -> bool:
+    """Whether letters are in the vocabulary: up to six as one token, more at 3.5 characters a token or more."""
+    tokens = min(len(enc.encode_ordinary(p)) for p in (part, part.lower(), " " + part.lower(), " " + part.capitalize()))
+    return tokens == 1 if len(part) <= 6 else len(part) >= 3.5 * tokens
+
+
+def known_harmless(s: str, enc) -> bool:
+    """A segment that is a digest, a row of neighbouring characters, or an identifier: half of it or more are vocabulary words of four letters or more."""
+    if len(s) in DIGEST_LENGTHS and _digest.match(s):
+        return True
+    if len(s) >= LEAST_LENGTH and 2 * sum(ord(y) - ord(x) == 1 for x, y in itertools.pairwise(s)) >= len(s):
         return True
-    parts = _part.findall(s)
-    letters = [p for p in parts if p[0].isalpha()]
-    return len(letters) == 0 or len(s) / len(parts) >= 4
+    return 2 * sum(len(p) for p in _part.findall(s) if 4 <= len(p) <= 40 and p[0].isalpha() and _is_word(p, enc)) >= len(s)
+
+
+def stretches(run: str, enc) -> Iterator[tuple[int, int]]:
+    """The parts of a run between its UUIDs and harmless segments, from the first letter or digit to the last and the marks beside them."""
+    known = [m.span() for m in _uuid.finditer(run)][::-1]
+    start = end = None
+
+    def wide(a: int, b: int) -> tuple[int, int]:
+        while a and run[a - 1] in _BEFORE:
+            a -= 1
+        return a, _after.match(run, b).end()
+
+    for m in _segment.finditer(run):
+        a, b = m.span()
+        while known and known[-1][1] <= a:
+            known.pop()
+        if (known and known[-1][0] <= a) or known_harmless(m.group(), enc):
+            if start is not None:
+                yield wide(start, end)
+            start = None
+        else:
+            start, end = a if start is None else start, b
+    if start is not None:
+        yield wide(start, end)
+
+
+def is_random(s: str, enc, most: float) -> bool:
+    """The token-efficiency test; numbers, dates and versions (few letters, or segments of under three characters) are left out."""
+    segments = _segment.findall(s)
+    size = sum(map(len, segments))
+    if len(s) < LEAST_LENGTH or 20 * sum(c.isalpha() for c in s) < 3 * size or size < 3 * len(segments):
+        return False
+    return len(s) <= most * sum(len(enc.encode_ordinary(s[i : i + 4096])) for i in range(0, len(s), 4096))
 
 
 def random_spans(text: str, base: list[tuple[str, int, int]], enc, most: float) -> list[tuple[str, int, int]]:
-    """Runs with at most ``most`` characters per token that no base span covers."""
+    """Stretches that the token-efficiency test finds, with the marks beside them, where no base span covers them."""
     out = []
-    for m in _candidate.finditer(text):
-        a, b = m.span()
-        if any(x <= a and b <= y for _, x, y in base) or known_harmless(s := m.group()):
-            continue
-        if len(s) <= most * sum(len(enc.encode_ordinary(s[i : i + 4096])) for i in range(0, len(s), 4096)):
-            out.append(("random", a, b))
+    for m in _run.finditer(text):
+        run, at = m.group(), m.start()
+        for a, b in stretches(run, enc):
+            if any(x <= at + a and at + b <= y for _, x, y in base) or not is_random(run[a:b], enc, most):
+                continue
+            out.append(("random", at + a, at + b))
     return out
 
 

@@ -57,6 +57,28 @@ def test_random_strings_are_found_and_identifiers_left_alone(spark):
     assert found(SECRETS[6]) == [] and found("plain words only " * 50) == []
 
 
+def share_found(alphabet, length, before="", n=200):
+    enc, rng, hits = secrets.encoding(secrets.VOCABULARY), random.Random(length), 0
+    for _ in range(n):
+        key = "".join(rng.choices(alphabet, k=length))
+        t = f"see {before}{key} end"
+        a = t.index(key)
+        hits += any(x <= a and a + length <= y for _, x, y in secrets.base_spans(t) + secrets.random_spans(t, secrets.base_spans(t), enc, secrets.MOST_CHARS_PER_TOKEN))
+    return hits / n
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def test_keys_of_long_parts_are_found_also_beside_words():
+    for before in ("", "export STRIPE_PRODUCTION_ACCESS_CREDENTIAL=", "https://example.com/download/"):
+        for length in (20, 24, 40):
+            assert share_found(UPPER + "234567", length, before) >= 0.97 and share_found(LOWER + DIGITS, length, before) >= 0.97
+    enc = secrets.encoding(secrets.VOCABULARY)
+    for t in ("MAXIMUM_CONNECTION_POOL_SIZE_2 = 4", "/usr/share/python3/documentation/index2", "releases/2024-01-01T00-00-00Z/2024-02-01", "sha256=" + "0123456789ABCDEF" * 4, "https://example.com/id/550e8400-e29b-41d4-a716-446655440000"):
+        assert secrets.random_spans(t, secrets.base_spans(t), enc, secrets.MOST_CHARS_PER_TOKEN) == [], t
+
+
 def test_redaction_covers_every_span_and_keeps_columns(spark):
     df = documents(spark, SECRETS + HOSTILE, extra=True)
     out = secrets.redact(df, length="n_chars")
