@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns plus a token-efficiency test for random strings.
 
 A random string costs many tokens: a byte-pair vocabulary has no long entries for it, so its characters per
-token stay low, while words, identifiers and paths reach three to six. Candidates are runs of key-like
-characters that mix letters and digits. Segments of vocabulary words, known digests (hex of a digest's length) and UUIDs divide a run, and each
-stretch between them is tested by itself; numbers, dates and versions are left out.
+token stay low, while words, identifiers and paths reach three to six. Candidates are runs of 16 or more printable
+ASCII characters, ended by blanks and quotes; brackets, commas, semicolons, bars and backslashes end them too, save
+for strings that mix all kinds of characters. Segments of vocabulary words, known digests (hex of a digest's length)
+and UUIDs divide a run, and each stretch between them is tested by itself; numbers, dates and versions are left out.
 
 Defined results: null or empty text has no spans; very long texts are scanned whole, in pieces only where a
 candidate cannot reach across; repeated rows are judged row by row; an empty table gives an empty result;
@@ -34,7 +35,8 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MOST_CHARS_PER_TOKEN = 2.2
-LEAST_LENGTH = 20
+LEAST_LENGTH = 16
+SHORT = 20
 
 
 def _rank_file(name: str) -> str:
@@ -57,12 +59,16 @@ def encoding(rank_file: str):
 _assign = re.compile(ASSIGN, re.I | re.A)
 _access = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run under 20 characters fails as a whole, so the bound may stand in the pattern
 _hex = re.compile(r"[0-9a-f]{24,}")
-_run = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{%d,}" % LEAST_LENGTH)
+_run = re.compile(r"[!#-&(-_a-~]{%d,}" % LEAST_LENGTH)
+_names_run = re.compile(r"[!#-&*+./0-9:=?@A-Z^_a-z~-]{%d,}" % LEAST_LENGTH)
+_range = re.compile(r"A-Z|a-z|0-9")
 _uuid = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
 _digest = re.compile(r"[0-9a-fA-F]+\Z")
 _segment = re.compile(r"[A-Za-z0-9]+")
 _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_BEFORE, _after = "+_-", re.compile(r"[+=_-]*")
+_names, _mark = re.compile(r"[-_./:?]"), re.compile(r"[^A-Za-z0-9]")
+_edge = re.compile(r"[^A-Za-z0-9]*")
+_BEFORE, _after = "!@#$%^*+_~-", re.compile(r"[!@#$%^&*+=_~-]*")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -88,15 +94,15 @@ def known_harmless(s: str, enc) -> bool:
     return 2 * sum(len(p) for p in _part.findall(s) if 4 <= len(p) <= 40 and p[0].isalpha() and _is_word(p, enc)) >= len(s)
 
 
-def stretches(run: str, enc) -> Iterator[tuple[int, int]]:
-    """The parts of a run between its UUIDs and harmless segments, from the first letter or digit to the last and the marks beside them."""
+def stretches(run: str, enc) -> Iterator[tuple[int, int, int]]:
+    """The parts of a run between its UUIDs and harmless segments: where what is harmless before it ends, and the stretch from the first letter or digit to the last with the marks of keys beside them."""
     known = [m.span() for m in _uuid.finditer(run)][::-1]
-    start = end = None
+    start, last = None, 0
 
-    def wide(a: int, b: int) -> tuple[int, int]:
-        while a and run[a - 1] in _BEFORE:
+    def wide(a: int, b: int) -> tuple[int, int, int]:
+        while a > last and run[a - 1] in _BEFORE:
             a -= 1
-        return a, _after.match(run, b).end()
+        return last, a, _after.match(run, b).end()
 
     for m in _segment.finditer(run):
         a, b = m.span()
@@ -105,7 +111,7 @@ def stretches(run: str, enc) -> Iterator[tuple[int, int]]:
         if (known and known[-1][0] <= a) or known_harmless(m.group(), enc):
             if start is not None:
                 yield wide(start, end)
-            start = None
+            start, last = None, b
         else:
             start, end = a if start is None else start, b
     if start is not None:
@@ -113,23 +119,54 @@ def stretches(run: str, enc) -> Iterator[tuple[int, int]]:
 
 
 def is_random(s: str, enc, most: float) -> bool:
-    """The token-efficiency test; numbers, dates and versions (few letters, or segments of under three characters) are left out."""
+    """The token-efficiency test, stricter where words and numbers come close to random strings.
+
+    Letters without digits may have 0.2 characters a token less, and so may strings under SHORT. Words of one case are
+    read apart, so that separators do not count. Numbers, dates, versions and paths of short names are left out: few
+    letters, segments of under three characters, or none of eight between the separators of names.
+    """
+    if len(s) < LEAST_LENGTH:
+        return False
     segments = _segment.findall(s)
     size = sum(map(len, segments))
-    if len(s) < LEAST_LENGTH or 20 * sum(c.isalpha() for c in s) < 3 * size or size < 3 * len(segments):
+    letters = sum(c.isalpha() for c in s)
+    if 20 * letters < 3 * size or size < 3 * len(segments) or all(len(_mark.sub("", x)) < 8 for x in _names.split(s)):
+        return False
+    read, most = [s], most - 0.2 * (letters == size) - 0.2 * (len(s) < SHORT)
+    if letters == size and all(x.islower() or x.isupper() or x.istitle() for x in segments):
+        if size < LEAST_LENGTH:
+            return False
+        read = segments
+    tokens = sum(len(enc.encode_ordinary(x[i : i + 4096])) for x in read for i in range(0, len(x), 4096))
+    return sum(map(len, read)) <= most * tokens + 1e-9
+
+
+def is_dense(s: str, enc, most: float) -> bool:
+    """The test for strings full of marks, which code resembles: all kinds of characters, few of them twice, no ranges."""
+    lower, upper, digits = (sum(map(f, s)) for f in (str.islower, str.isupper, str.isdigit))
+    marks = len(set(_mark.findall(s)))
+    if len(s) < LEAST_LENGTH or min(lower, upper) < 2 or not digits or marks < 4 or len(set(s)) < 0.85 * 91 * (1 - (90 / 91) ** len(s)) or _range.search(s):
         return False
-    return len(s) <= most * sum(len(enc.encode_ordinary(s[i : i + 4096])) for i in range(0, len(s), 4096))
+    return len(s) <= (most - 0.6) * sum(len(enc.encode_ordinary(s[i : i + 4096])) for i in range(0, len(s), 4096))
 
 
 def random_spans(text: str, base: list[tuple[str, int, int]], enc, most: float) -> list[tuple[str, int, int]]:
     """Stretches that the token-efficiency test finds, with the marks beside them, where no base span covers them."""
     out = []
     for m in _run.finditer(text):
-        run, at = m.group(), m.start()
-        for a, b in stretches(run, enc):
-            if any(x <= at + a and at + b <= y for _, x, y in base) or not is_random(run[a:b], enc, most):
-                continue
-            out.append(("random", at + a, at + b))
+        new = []
+        if len(set(_mark.findall(m.group()))) >= 4:
+            for last, _, b in stretches(m.group(), enc):
+                b = _edge.match(m.group(), b).end()
+                if is_dense(m.group()[last:b], enc, most):
+                    new.append(("random", m.start() + last, m.start() + b))
+        dense = len(new)
+        for n in _names_run.finditer(text, *m.span()):
+            for _, a, b in stretches(n.group(), enc):
+                a, b, key = n.start() + a, n.start() + b, n.group()[a:b]
+                if not any(x < b and a < y for _, x, y in new[:dense]) and is_random(key, enc, most):
+                    new.append(("random", a, b))
+        out += [s for s in new if not any(x <= s[1] and s[2] <= y for _, x, y in base)]
     return out
 
 

@@ -79,6 +79,18 @@ def test_keys_of_long_parts_are_found_also_beside_words():
         assert secrets.random_spans(t, secrets.base_spans(t), enc, secrets.MOST_CHARS_PER_TOKEN) == [], t
 
 
+def test_keys_without_digits_short_keys_and_keys_with_marks_are_found():
+    for length in (20, 24, 32, 40):
+        assert share_found(LOWER, length) >= 0.95 and share_found(UPPER, length) >= 0.95 and share_found(LOWER + UPPER, length) >= 0.97
+    for alphabet in (LOWER + UPPER, LOWER + DIGITS, UPPER + "234567", LOWER + UPPER + DIGITS + "+/"):
+        assert share_found(alphabet, 16) >= 0.9
+    assert share_found(LOWER, 16) >= 0.8 and share_found(LOWER + UPPER + DIGITS + "!@#$%^&*", 32) >= 0.9
+    assert share_found(LOWER + UPPER + DIGITS + "!#$%&()*+,-./:;=?@[]^_{|}~<>\\", 32) >= 0.75
+    enc = secrets.encoding(secrets.VOCABULARY)
+    for t in ("CompetitorRowSchema.registrableDomain", "abcdefghijklmnopqrstuvwxyz", "(h1,h2,h3,h4,p1,p2)", "1.3.6.1.5.5.7.3.1", "floor(x*10+0.5)/10", "onouerheblein### ***!!!###%%%&&&***!!!", "Donaudampfschifffahrt", "et_EE.ISO8859-15"):
+        assert secrets.random_spans(t, secrets.base_spans(t), enc, secrets.MOST_CHARS_PER_TOKEN) == [], t
+
+
 def test_redaction_covers_every_span_and_keeps_columns(spark):
     df = documents(spark, SECRETS + HOSTILE, extra=True)
     out = secrets.redact(df, length="n_chars")
