@@ -98,7 +98,9 @@ def page_scores(states: DataFrame) -> DataFrame:
     return states.withColumn("score", T.js_round(F.try_divide(earned * 100, F.nullif(total, F.lit(0.0)))))
 
 
-PARTS = frozenset({"articles", "citation", "robots", "broken", "profiles", "sitemap"})
+PARTS = frozenset({"articles", "citation", "robots", "broken", "profiles", "sitemap", "orphans"})
+#: Without a crawl of the sitemap, its link graph is known for so many locations at most and under so many inner pages, as in the reference.
+MOST_ORPHAN_LOCS, CRAWL_CAP = 60, 10
 
 
 def sites(pages: DataFrame, meta: DataFrame | None = None, broken: DataFrame | None = None, parts: frozenset[str] = PARTS) -> DataFrame:
@@ -121,7 +123,7 @@ def sites(pages: DataFrame, meta: DataFrame | None = None, broken: DataFrame | N
         F.count_if(C._truthy(C.canonical()) & F.coalesce(U.crawl_key(C.absolute(C.canonical(), F.col("final_url"))) != U.crawl_key(F.col("final_url")), F.lit(False))).alias("bad_canonicals"),
     )
     counts = counts.join(_bad_values(p, "title_key", "bad_titles"), "site", "left").join(_bad_values(p, "description", "bad_descriptions"), "site", "left")
-    inner_struct = counts.select("site", F.struct("n", "bad_h1", "thin", "bad_titles", "bad_descriptions").alias("inner"), F.struct("n", "canonicals", "bad_canonicals", "redirected", F.lit(None).cast("long").alias("orphans")).alias("crawl"))
+    inner_struct = counts.select("site", F.struct("n", "bad_h1", "thin", "bad_titles", "bad_descriptions").alias("inner"), F.struct("n", "canonicals", "bad_canonicals", "redirected").alias("pages_crawl"))
     m = completed(meta if meta is not None else spark.createDataFrame([], "site string"), META)
     row = home.join(m, "site", "left").join(inner_struct, "site", "left")
 
@@ -152,31 +154,53 @@ def sites(pages: DataFrame, meta: DataFrame | None = None, broken: DataFrame | N
     def sitemap() -> DataFrame:
         return home.select("site", "final_url").join(m.select("site", "sitemap_xml"), "site").select("site", sitemap_facts(F.col("sitemap_xml"), F.col("final_url")).alias("sitemap"))
 
+    def orphans() -> DataFrame:
+        """Sitemap pages of the site's own host that were not read and that no page links to; no row where that cannot be told."""
+        locs = sitemap_locs(F.col("sitemap_xml"))
+        small = home.select("site", U.bare_host(F.col("final_url")).alias("own")).join(m.where(~is_index(F.col("sitemap_xml"))).select("site", locs.alias("locs")), "site")
+        small = small.where(F.size("locs").between(1, MOST_ORPHAN_LOCS)).join(counts.where(F.col("n") >= CRAWL_CAP).select("site"), "site", "left_anti")
+        listed = small.select("site", "own", F.explode("locs").alias("loc")).select("site", "own", U.crawl_key(F.col("loc")).alias("k")).where(F.split_part("k", F.lit("/"), F.lit(1)) == F.col("own"))
+        judged = p.join(small.select("site"), "site", "left_semi")
+        anchors = judged.select("site", F.explode("dom.anchors").alias("a")).where(F.col("a.host").isNotNull())
+        linked = anchors.select("site", U.crawl_key(F.concat(F.col("a.scheme"), F.lit("://"), F.col("a.host"), F.col("a.path"))).alias("k")).distinct()
+        read = judged.select("site", F.explode(F.array(U.crawl_key(F.col("url")), U.crawl_key(F.col("final_url")))).alias("k")).distinct()
+        left = listed.join(linked, ["site", "k"], "left_anti").join(read, ["site", "k"], "left_anti").groupBy("site").agg(F.count("*").alias("n_left"))
+        return small.select("site").join(left, "site", "left").select("site", F.coalesce("n_left", F.lit(0)).cast("long").alias("orphans"))
+
     for name, make, columns in (
         ("articles", articles, {"articles": "struct<n:long,lacking:long>"}), ("citation", citation, {"citation": "map<string,struct<share:double,inner_fails:long>>"}),
         ("robots", robots_part, {"allowed": "map<string,boolean>", "robots_sitemaps": "int"}), ("broken", broken_part, {"n_broken": "long"}),
         ("profiles", profiles, {"profiles": "struct<platforms:array<string>,homepages:long>"}), ("sitemap", sitemap, {"sitemap": "struct<is_index:boolean,urls:int,n_issues:int>"}),
+        ("orphans", orphans, {"orphans": "long"}),
     ):
         row = row.join(make(), "site", "left") if name in parts else row.withColumns({c: F.lit(None).cast(t) for c, t in columns.items()})
     return row.select(
         "site", "final_url", "status", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "dom", "robots_txt",
         F.coalesce("robots_sitemaps", F.lit(0)).alias("robots_sitemaps"), F.coalesce("allowed", F.create_map().cast("map<string,boolean>")).alias("allowed"), "sitemap", "llms_txt",
         F.year(F.coalesce("fetched_at", F.lit("2024-01-01").cast("timestamp"))).alias("fetched_year"), "rendered", "probes", F.coalesce("n_broken", F.lit(0)).alias("n_broken"),
-        F.coalesce("inner", F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "bad_h1", "thin", "bad_titles", "bad_descriptions")])).alias("inner"), "articles", "crawl", "citation", "known_source",
+        F.coalesce("inner", F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "bad_h1", "thin", "bad_titles", "bad_descriptions")])).alias("inner"), "articles", F.struct("pages_crawl.n", "pages_crawl.canonicals", "pages_crawl.bad_canonicals", "pages_crawl.redirected", "orphans").alias("crawl"), "citation", "known_source",
         "profiles",
         "reads", "speed",
     )
 
 
+def sitemap_locs(xml: Column) -> Column:
+    return F.filter(F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<]*?)\s*</loc>"), F.lit(1)), lambda x: x != "")
+
+
+def is_index(xml: Column) -> Column:
+    return xml.rlike(r"(?i)<sitemapindex[\s>]")
+
+
 def sitemap_facts(xml: Column, url: Column) -> Column:
     """struct<is_index, urls, n_issues>; null without a sitemap."""
-    locs = F.filter(F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<]*?)\s*</loc>"), F.lit(1)), lambda x: x != "")
+    locs = sitemap_locs(xml)
     keys = F.transform(locs, U.table_key)
     issues = F.when(F.size(locs) == 0, 1).otherwise(
         F.exists(locs, lambda x: F.coalesce(U.bare_host(x), F.lit("")) != U.bare_host(url)).cast("int") + (url.startswith("https://") & F.exists(locs, lambda x: x.startswith("http://"))).cast("int")
         + (F.size(F.array_distinct(keys)) < F.size(keys)).cast("int") + (~F.array_contains(keys, U.table_key(url))).cast("int") + (F.size(locs) > 50_000).cast("int")
     )
-    return F.when(xml.isNotNull(), F.struct(xml.rlike(r"(?i)<sitemapindex[\s>]").alias("is_index"), F.size(locs).alias("urls"), issues.alias("n_issues")))
+    return F.when(xml.isNotNull(), F.struct(is_index(xml).alias("is_index"), F.size(locs).alias("urls"), issues.alias("n_issues")))
 
 
 def evaluate(site_rows: DataFrame, rules: list[C.Rule] | None = None) -> DataFrame:

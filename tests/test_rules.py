@@ -70,6 +70,21 @@ def test_one_change_raises_its_finding(found, rule):
     assert rule in found.get(rule, set())
 
 
+def test_orphan_pages(spark):
+    urls = lambda *paths: "<urlset>" + "".join(f"<url><loc>https://bakery.test{x}</loc></url>" for x in paths) + "</urlset>"
+    maps = {
+        "linked": urls("/", "/about/", "/deep/b.html"), "orphan": urls("/", "/about", "/lost"), "other-host": urls("/").replace("</urlset>", "<url><loc>https://other.test/lost</loc></url></urlset>"), "none": None,
+        "index": urls("/lost").replace("urlset", "sitemapindex"), "large": urls(*[f"/{i}" for i in range(61)]), "capped": urls("/lost"), "alone": urls("/", "/lost"),
+    }
+    page = lambda s, i, path, body: (s, i, i == 0, f"https://bakery.test{path}", f"https://www.bakery.test{path}", 200, body)
+    pages = [page(s, 0, "/", GOOD) for s in maps] + [page(s, 1, "/deep/a", "<a class=x href='b.html'>b</a>") for s in maps if s != "alone"] + [page("capped", i, f"/p{i}", "x") for i in range(2, 11)]
+    p = spark.createDataFrame(pages, "site string, page_idx long, is_home boolean, url string, final_url string, status int, body string")
+    rows = engine.sites(p, spark.createDataFrame(list(maps.items()), "site string, sitemap_xml string"), parts=frozenset({"orphans"})).persist()
+    assert {r["site"]: r["orphans"] for r in rows.select("site", "crawl.orphans").collect()} == {"linked": 0, "orphan": 1, "other-host": 0, "none": None, "index": None, "large": None, "capped": None, "alone": 1}
+    outcomes = engine.evaluate(rows, [r for r in catalogue.rules() if r.id == "orphan-pages"]).select("site", "passed", "finding.id").collect()
+    assert {r["site"]: (r["passed"], r["id"]) for r in outcomes} == {"linked": (True, None), "orphan": (False, "crawl:orphan-pages"), "other-host": (True, None), "alone": (False, "crawl:orphan-pages")}
+
+
 def test_weights(spark):
     always = [r for r in catalogue.rules() if r.applies is None]
     total = lambda m: sum(r.weight for r in always if r.module == m)
