@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,21 +17,26 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 
+T = TypeVar("T")
+
 #: The white space that separates words in the contracts: space and \t to \r.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, else (tests) an own one."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="auditlake-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
+    if current.isDefined():
+        return current.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # One process does all, as in tests: any folder is shared.
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="auditlake-"))
+    return shared_dir(spark)
 
 
 class Stash:
@@ -74,11 +81,29 @@ def _remove_at_end(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(p)
 
 
-def in_arrow(df: DataFrame, f, schema) -> DataFrame:
-    """df.mapInArrow, with this package sent to the executors."""
+#: What a worker process keeps between tasks, by name: vocabularies and their caches.
+_kept: dict[str, object] = {}
+
+
+def resource(name: str, make: Callable[[], T]) -> T:
+    """What make() returns, made once and kept until a task that does not use it runs in this process."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def in_arrow(df: DataFrame, f, schema, uses: str = "") -> DataFrame:
+    """df.mapInArrow, with this package sent to the executors.
+
+    A worker process serves many tasks. One that does not use a resource drops it, so that no stage pays for the
+    vocabulary of another; freed memory goes back to the system.
+    """
     ship(df.sparkSession)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [n for n in _kept if n != uses]:
+            del _kept[name]
+        release_memory()
         yield from f(batches)
         release_memory()
 

@@ -17,11 +17,9 @@ piece, checksum.
 
 from __future__ import annotations
 
-import functools
-import itertools
+import json
 import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,17 +28,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import in_arrow, slices, Stash
+from .common import Stash, in_arrow, resource, slices
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
-#: Words whose ids a worker process keeps.
-CACHE_WORDS = 250_000
+#: Parts of words whose ids a worker process keeps: about 10 MB.
+CACHE_PARTS = 250_000
 
 
-@functools.cache
-def _tokenizer(name: str):
+def _load(name: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,102 +47,150 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
 
 
-#: A word of Latin letters with ASCII punctuation after it: two tokens of the vocabulary's splitting pattern.
-_tailed = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+# What a vocabulary must say of itself for its words to be encoded by themselves.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Punctuation and Latin letters: no match of SPLIT holds both, and both stand for themselves under NFC.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 
-@functools.cache
-def _closing(name: str):
-    """By id: whether the token closes a word."""
-    import numpy as np
 
-    vocabulary = _tokenizer(name).get_vocab(with_added_tokens=True)
-    out = np.zeros(max(vocabulary.values()) + 1, bool)
-    out[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    return out
+def splits_into_words(tokenizer) -> bool:
+    """Whether a text's ids are those of its words between ASCII blanks, and of the letters and punctuation of these."""
+    said = json.loads(tokenizer.to_str())
+    steps = (said["normalizer"] or {}).get("normalizers", [])
+    parts = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        [s["type"] for s in steps] == NORMALIZERS
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [p["type"] for p in parts] == ["Split", "ByteLevel"]
+        and (parts[0]["pattern"], parts[0]["behavior"], parts[0]["invert"]) == ({"Regex": SPLIT}, "Removed", True)
+        and not parts[1]["add_prefix_space"]
+        and not parts[1]["use_regex"]
+        and said["post_processor"] is None
+        and said["truncation"] is None
+        and bool(said["model"].get("end_of_word_suffix"))
+        and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) or re.fullmatch(r"\w*[^\w]*", t["content"]) for t in said["added_tokens"])
+    )
 
 
 class WordEncoder:
-    """Ids of texts by ids of their words.
+    """Ids of texts by ids of the parts of their words, without a step of Python for each word.
 
-    This vocabulary drops white space and merges within words only, so the ids of a text are those of its
-    words between ASCII blanks in turn. Nor does it merge letters with punctuation or tell capitals apart, so a
-    word of Latin letters and the punctuation after it are looked up by themselves, in lower case. Each distinct
-    part is encoded once; a bounded number of words and parts is kept as bytes.
+    The query's vocabulary drops white space, merges within words only, keeps letters and punctuation apart and
+    does not tell capitals: a word of Latin letters with ASCII punctuation after it is two parts, the letters in
+    lower case; any other word is one part. A slice's distinct parts are looked up among at most ``keep`` known
+    ones (those of the last slices, in flat arrays); only new ones are encoded. A vocabulary that does not say
+    all this of itself encodes whole texts.
     """
 
-    def __init__(self, name: str, keep: int = CACHE_WORDS):
-        self.tokenizer, self.keep = _tokenizer(name), keep
-        self.closing = _closing(name)
-        self.seen: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        """Adds words that are not known yet."""
-        known, heads, tails = self.parts, [], []
-        for w in words:  # two lists of strings: a list of pairs would keep the garbage collector busy
-            m = _tailed.fullmatch(w)
-            heads.append(m[1].lower() if m else "")
-            tails.append(m[2] if m else w)
-        letters = list(set(heads).difference(known))
-        others = list(set(tails).difference(known))
-        for i in range(0, len(letters), 400):
-            self._learn_letters(letters[i : i + 400])
-        for i in range(0, len(others), 20_000):
-            some = others[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = array("I", e.ids).tobytes()
-        self.seen.update(zip(words, [known[a] + known[b] for a, b in zip(heads, tails, strict=True)], strict=True))
-
-    def _learn_letters(self, some: list[str]) -> None:
-        """Words of letters alone, encoded as one text: each ends with its one token that closes a word."""
+    def __init__(self, name: str, keep: int = CACHE_PARTS):
+        import numpy as np
+
+        self.tokenizer, self.keep = _load(name), keep
+        self.by_words = splits_into_words(self.tokenizer)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)  # by id: whether the token closes a word
+        if self.by_words:
+            suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+            self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.letters = re.compile(f"[{LETTERS.lower()}]+")
+        self.known, self.flat, self.size = pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _encoded(self, parts: list[str]) -> tuple:
+        """(flat ids, number of ids) of parts, each by itself."""
         import numpy as np
 
-        ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.closing[ids]) + 1
-        if len(ends) == len(some) and ends[-1] == len(ids):
-            raw = ids.tobytes()
-            for p, x, y in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.parts[p] = raw[4 * x : 4 * y]
-        else:
-            for p in some:
-                self.parts[p] = array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
-
-    def _forget(self) -> None:
-        for kept in (self.seen, self.parts):
-            for w in list(itertools.islice(kept, max(0, len(kept) - self.keep))):
-                del kept[w]
-        self.parts[""] = b""
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        own = [np.array(e.ids, np.uint32) for e in found]
+        return np.concatenate([np.empty(0, np.uint32), *own]), np.fromiter(map(len, own), np.int64, len(own))
+
+    def _encoded_letters(self, parts: list[str]) -> tuple:
+        """The same of parts of letters, many to a text: each ends with its one token that closes a word."""
+        import numpy as np
+
+        flats, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i in range(0, len(parts), 2_000):
+            some = parts[i : i + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                size = np.diff(ends, prepend=0)
+            else:
+                ids, size = self._encoded(some)
+            flats.append(ids), sizes.append(size)
+        return np.concatenate(flats), np.concatenate(sizes)
+
+    def _parts(self, parts: pa.Array) -> tuple:
+        """(flat ids, number of ids) of distinct parts; remembers them first, then those of before."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        at = pc.fill_null(pc.index_in(parts, value_set=self.known), -1).to_numpy()
+        fresh = np.flatnonzero(at < 0)
+        words = parts.take(pa.array(fresh)).to_pylist()
+        plain = np.fromiter((self.letters.fullmatch(w) is not None for w in words), bool, len(words))
+        f1, s1 = self._encoded_letters([w for w, p in zip(words, plain.tolist(), strict=True) if p])
+        f2, s2 = self._encoded([w for w, p in zip(words, plain.tolist(), strict=True) if not p])
+        # Everything in one table: what was known, new letters, new others.
+        flat, size = np.concatenate([self.flat, f1, f2]), np.concatenate([self.size, s1, s2])
+        row = at.astype(np.int64)
+        row[fresh[plain]] = len(self.size) + np.arange(len(s1))
+        row[fresh[~plain]] = len(self.size) + len(s1) + np.arange(len(s2))
+        used = np.zeros(len(self.size), bool)
+        used[at[at >= 0]] = True
+        old = np.flatnonzero(~used)[: max(0, self.keep - len(parts))]
+        new = np.concatenate([row, old])
+        self.flat, self.size = gathered(flat, size, new), size[new]
+        self.known = pa.concat_arrays([parts, self.known.take(pa.array(old))])
+        n = self.size[: len(parts)]
+        return self.flat[: int(n.sum())], n
 
     def ids(self, texts: pa.Array) -> tuple:
-        """(flat ids, ends) of the texts, as numpy arrays."""
+        """(flat ids, ends) of the texts with the end mark after each, as numpy arrays."""
         import numpy as np
         import pyarrow.compute as pc
 
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        bounds = words.offsets.to_numpy()
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            flat, size = self._encoded(texts.to_pylist())
+            ends = np.cumsum(size)
+            return np.insert(flat, ends, np.uint32(END)).astype("<u4"), ends + np.arange(1, len(ends) + 1)
+        words = pc.ascii_split_whitespace(texts)
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
         coded = words.flatten().dictionary_encode()
-        vocabulary, seen = coded.dictionary.to_pylist(), self.seen
-        self._learn([w for w in vocabulary if w not in seen])
-        own = [seen[w] for w in vocabulary]
-        self._forget()
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        flat = np.frombuffer(b"".join(own), "<u4")
-        at = np.cumsum(size) - size
-        word = coded.indices.to_numpy()
-        n = size[word]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        # A slice is a few megabytes of text, so its places fit 32 bits.
-        take = np.repeat((at[word] - ends[:-1]).astype(np.int32), n)
-        take += np.arange(ends[-1], dtype=np.int32)
-        bounds = bounds - bounds[0]
-        return flat[take], ends[bounds[1:]]
-
-
-@functools.cache
-def _encoder(name: str) -> WordEncoder:
-    """One encoder a worker process: its words serve all tasks that run there."""
-    return WordEncoder(name)
+        own = coded.dictionary
+        head = pc.utf8_rtrim(own, characters=PUNCTUATION)
+        split = pc.match_substring_regex(head, f"^[{LETTERS}]+$")
+        one = pc.if_else(split, pc.utf8_lower(head), own).dictionary_encode()
+        two = pc.if_else(split, pc.utf8_ltrim(own, characters=LETTERS), "").dictionary_encode()
+        parts = pa.concat_arrays([one.dictionary, two.dictionary]).dictionary_encode()
+        flat, size = self._parts(parts.dictionary)
+        place = parts.indices.to_numpy()
+        a, b = place[: len(one.dictionary)][one.indices.to_numpy()], place[len(one.dictionary) :][two.indices.to_numpy()]
+        # Ids by distinct word, then by word and end mark.
+        flat = np.append(gathered(flat, size, np.stack([a, b], 1).ravel()), np.uint32(END))
+        size = np.append(size[a] + size[b], 1)
+        n = len(bounds) - 1
+        order = np.full(bounds[-1] + n, len(own), np.int64)
+        order[np.arange(bounds[-1]) + np.repeat(np.arange(n), np.diff(bounds))] = coded.indices.to_numpy()
+        ends = np.cumsum(size[order])
+        return gathered(flat, size, order).astype("<u4", copy=False), ends[bounds[1:] + np.arange(n)]
+
+
+def gathered(flat, size, rows):
+    """The parts ``rows`` of flat, which holds parts of the sizes given, one after another."""
+    import numpy as np
+
+    n = size[rows]
+    start = (np.cumsum(size) - size)[rows]
+    ends = np.cumsum(n)
+    # A slice is a few megabytes of text and the parts known are bounded, so places fit 32 bits.
+    take = np.repeat((start - (ends - n)).astype(np.int32), n)
+    take += np.arange(len(take), dtype=np.int32)
+    return flat[take]
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -154,21 +199,23 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encoder = _encoder(vocabulary)
+        # Its known parts serve the tasks of this kind that follow in the worker process.
+        encoder = resource(f"words {vocabulary}", lambda: WordEncoder(vocabulary))
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
                 ids, ends = encoder.ids(part.column("text"))
-                row, piece, start, length, crc, a = [], [], [], [], [], 0
-                for r, b in enumerate(ends.tolist()):
-                    own = np.append(ids[a:b], np.uint32(END)).astype("<u4")
-                    a = b
-                    for k, s in enumerate(range(0, len(own), capacity)):
-                        x = own[s : s + capacity]
-                        row.append(r), piece.append(k), start.append(s), length.append(len(x)), crc.append(zlib.crc32(x.tobytes()))
+                first = np.concatenate([[0], ends[:-1]])
+                many = -(-(ends - first) // capacity)
+                row = np.repeat(np.arange(len(ends)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                length = np.minimum(capacity, (ends - first)[row] - start)
+                raw, at = memoryview(ids).cast("B"), 4 * (first[row] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return in_arrow(rows, each, StructType([rows.schema["doc_id"], StructField("piece", IntegerType()), *[StructField(c, LongType()) for c in ("start", "length", "ids_crc32")]]))
+    return in_arrow(rows, each, StructType([rows.schema["doc_id"], StructField("piece", IntegerType()), *[StructField(c, LongType()) for c in ("start", "length", "ids_crc32")]]), uses=f"words {vocabulary}")
 
 
 def reduce_instance(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
