@@ -7,8 +7,10 @@
 3. Pairs whose signatures agree enough are confirmed on full sets, first the best pair of each class; components
    by stars. Pairs that a component already covers need no test.
 4. Buckets that still hold several components are finished exactly: members outside the bucket's largest
-   component are compared with all members of other components, in blocks of bounded size that emit links only.
-   So every pair that shares a bucket is either tested or connected; nothing is capped.
+   component meet all members of other components, in blocks of bounded size. Blocks carry signatures and set
+   sizes only. First each such member's nearest one is confirmed, which joins most. Then blocks name the members
+   that still have a partner worth a test, and only their full sets are dealt out again and compared; links alone
+   come back. So every pair that shares a bucket is tested or connected; nothing is capped.
 
 Sets are made again from the texts of candidates only, so they are never stored for all documents.
 
@@ -17,7 +19,7 @@ bytes of such a pair agree in fewer than 60 % with probability below 1e-9.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; with fewer words
 than a shingle has, the whole sequence is the one shingle; repeated rows are one node of the graph, as all rows
-of one doc_id are; rows with a null doc_id stay alone; an empty table gives an empty result; other columns are
+of one doc_id are; rows with a null doc_id stay alone; ids of other types than integers are numbered first; an empty table gives an empty result; other columns are
 not read by ``classes`` and kept by ``keep_first``.
 """
 
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegralType, LongType, StructField, StructType
 
 from .common import Stash, in_arrow, slices
 from .components import components
@@ -36,6 +38,10 @@ from .ngrams import _MIX, _mixed, split_words, word_keys
 
 BANDS, ROWS = 32, 5
 LEAST_AGREEMENT = 0.6
+#: About how many texts of ordinary length one side of a block holds.
+STRAYS, MEMBERS = 128, 512
+#: Size of the filter that finds the texts of candidates: 262,144 rows, a few megabytes.
+FILTER_BITS = 1 << 24
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list:
@@ -139,21 +145,33 @@ def agreeing(pairs: DataFrame, reps: DataFrame, least: float = LEAST_AGREEMENT)
     return in_arrow(rows, each, StructType([rows.schema["a"], rows.schema["b"], StructField("agree", LongType())]))
 
 
+def marked(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The docs whose id may be among the reps wanted: none of these is missing, others may stay.
+
+    The ids set bits of a filter of fixed size, at most ``bits`` / 64 rows of two numbers, which is broadcast. So
+    texts are not shuffled to find the wanted ones, however many these are; where they outgrow the filter, more
+    texts pass, and the joins that follow drop them.
+    """
+    h = lambda c: F.pmod(F.xxhash64(c, F.lit(77)), F.lit(bits))
+    one = F.expr("shiftleft(1L, cast(_h % 64 as int))")
+    filled = wanted.select(h("rep").alias("_h")).groupBy(F.floor(F.col("_h") / 64).alias("_w")).agg(F.bit_or(one).alias("_bits"))
+    rows = docs.withColumn("_h", h("doc_id")).withColumn("_w", F.floor(F.col("_h") / 64))
+    return rows.join(F.broadcast(filled), "_w").where(F.col("_bits").bitwiseAND(one) != 0).select(*docs.columns)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """rep, shingles (bytes of the sorted set) of the documents whose ids are wanted, made from their texts."""
+    """rep, shingles (bytes of the sorted set) of the documents whose ids are wanted, and of some more, made from their texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())], names=["rep", "shingles"])
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    return in_arrow(texts, each, StructType([StructField("rep", docs.schema["doc_id"].dataType), StructField("shingles", BinaryType())]))
+    return in_arrow(marked(docs, wanted).select("doc_id", "text"), each, StructType([StructField("rep", docs.schema["doc_id"].dataType), StructField("shingles", BinaryType())]))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b of the pairs whose full sets have 100 * intersection >= percent * union."""
-    made = sets_of(docs, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))), width)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -170,7 +188,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column("a").filter(keep), x.column("b").filter(keep)], names=["a", "b"])
 
-    rows = _joined(pairs.select("a", "b"), made, "shingles").select("a", "b", "va", "vb")
+    pairs = pairs.select("a", "b")
+    one, two = (sets_of(docs, pairs.select(F.col(x).alias("rep")), width).select(F.col("rep").alias(x), F.col("shingles").alias(f"v{x}")) for x in ("a", "b"))
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb")
     return in_arrow(rows, each, StructType([rows.schema["a"], rows.schema["b"]])).distinct()
 
 
@@ -199,80 +219,195 @@ def linked_across(one: list, two: list | None, percent: int) -> list[tuple]:
     return out
 
 
-def finished(members: DataFrame, docs: DataFrame, width: int, percent: int, stash: Stash, tasks: int, few: int = 128, many: int = 512) -> DataFrame:
-    """a, b: links between the components of mixed buckets. members: rep, component, area (the largest component).
+#: place: blocks of an area have consecutive ones; own: whether the row is of the block's first side.
+BLOCK_ROW = ["place", "area", "kind", "i", "j", "own", "rep", "component"]
+
 
-    An area's strays (of other components) are compared with its own members and with each other. Strays are cut
-    into chunks of about ``few``, members of about ``many``; a block holds two chunks.
+def _in_turn(rows: DataFrame) -> DataFrame:
+    """Block rows dealt to partitions by their places in turn, so that the blocks of a large area spread evenly."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(n, F.pmod("place", F.lit(n)).cast("int")).sortWithinPartitions("area", "kind", "i", "j")
+
+
+def dealt(rows: DataFrame, values: DataFrame, stash: Stash, tasks: int, few: int, many: int) -> DataFrame:
+    """Blocks (BLOCK_ROW and the columns of values), sorted within partitions.
+
+    rows: area, rep, component; values: rep, size and more. An area's strays (of other components than the
+    area's) meet its own members (kind 0) and each other (kind 1). Strays are cut into chunks of about ``few``,
+    members of about ``many``, counting longer texts as several; a block holds two chunks. An area's blocks are
+    numbered and go round all partitions.
     """
-    rows = stash.put(members.select("area", "rep", "component").distinct(), tasks)
     stray = F.col("component") != F.col("area")
-    counts = stash.put(rows.groupBy("area").agg(F.greatest(F.lit(1), F.ceil(F.count_if(stray) / few)).cast("int").alias("cs"), F.greatest(F.lit(1), F.ceil(F.count_if(~stray) / many)).cast("int").alias("cm")), tasks)
+    rows = rows.join(values, "rep")
+    weight = F.lit(1) + F.floor(F.col("size") / 4_000)
+    chunks = lambda which, most: F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, weight).otherwise(0)) / most)).cast("int")
+    counts = stash.put(rows.groupBy("area").agg(chunks(stray, few).alias("cs"), chunks(~stray, many).alias("cm")), tasks)
     chunk = F.when(stray, F.pmod(F.xxhash64("rep"), F.col("cs"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("cm"))).cast("int")
     placed = rows.join(counts, "area").withColumn("chunk", chunk)
-    block = lambda kind, i, j, left: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(left).alias("own"))
-    c = F.col("chunk")
+    c, cm, cs = F.col("chunk"), F.col("cm"), F.col("cs")
+    block = lambda kind, i, j, own: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(own).alias("own"))
     strays = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("cm") - 1), lambda j: block(0, c, j, True)),
-        F.transform(F.sequence(c, F.col("cs") - 1), lambda j: block(1, c, j, True)),
+        F.transform(F.sequence(F.lit(0), cm - 1), lambda j: block(0, c, j, True)),
+        F.transform(F.sequence(c, cs - 1), lambda j: block(1, c, j, True)),
         F.transform(F.filter(F.sequence(F.lit(0), c), lambda i: i < c), lambda i: block(1, i, c, False)),
     )
-    owners = F.transform(F.sequence(F.lit(0), F.col("cs") - 1), lambda i: block(0, i, c, False))
-    placed = placed.join(sets_of(docs, rows, width), "rep").select("area", "rep", "component", "shingles", F.explode(F.when(stray, strays).otherwise(owners)).alias("at")).select("area", "at.*", "rep", "component", "shingles")
-    ordered = placed.repartition("area", "kind", "i", "j").sortWithinPartitions("area", "kind", "i", "j")
+    owners = F.transform(F.sequence(F.lit(0), cs - 1), lambda i: block(0, i, c, False))
+    placed = placed.select("*", F.explode(F.when(stray, strays).otherwise(owners)).alias("at")).select("*", "at.*")
+    i, j = F.col("i").cast("long"), F.col("j").cast("long")
+    number = F.when(F.col("kind") == 0, i * cm + j).otherwise(cs.cast("long") * cm + F.floor(j * (j + 1) / 2) + i)
+    placed = placed.withColumn("place", F.pmod(F.xxhash64("area"), F.lit(1 << 40)) + number)
+    return _in_turn(placed.select(*BLOCK_ROW, *[x for x in values.columns if x != "rep"]))
+
+
+def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """((area, kind, i, j), rows) of sorted batches."""
+    import numpy as np
+
+    held, key = [], None
+    for b in batches:
+        names = [b.column(c).to_pylist() for c in ("area", "kind", "i", "j")]
+        keys = list(zip(*names, strict=True))
+        cuts = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+        for x, y in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if x == y:
+                continue
+            if held and keys[x] != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = keys[x]
+            # A copy: a slice would hold its whole batch.
+            held.append(b.take(pa.array(np.arange(x, y))))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def _worth(key: tuple, t: pa.Table, percent: int, least: float) -> tuple | None:
+    """(own rows, other rows, agreement) of a block; agreement is -1 where a pair needs no test; None: no two sides."""
+    import numpy as np
+
+    own = t.column("own").to_numpy().astype(bool)
+    same = key[1] == 1 and key[2] == key[3]
+    x = np.flatnonzero(own)
+    y = x if same else np.flatnonzero(~own)
+    if not len(x) or not len(y):
+        return None
+    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(own), -1)
+    size, component = t.column("size").to_numpy(), t.column("component").to_numpy()
+    agree = np.empty((len(x), len(y)), np.int16)
+    for k, r in enumerate(x.tolist()):
+        agree[k] = (sig[y] == sig[r]).sum(1)
+    fits = (component[x][:, None] != component[y][None, :]) & (100 * np.minimum(size[x][:, None], size[y][None, :]) >= percent * np.maximum(size[x][:, None], size[y][None, :]))
+    if same:
+        fits &= np.arange(len(x))[:, None] < np.arange(len(x))[None, :]
+    agree[~fits | (agree < least * sig.shape[1])] = -1
+    return x, y, agree
+
+
+def nearest(blocks: DataFrame, percent: int, least: float = LEAST_AGREEMENT) -> DataFrame:
+    """a, b: for each stray the member of another component whose signature agrees most, where a test is worth it."""
+    id_type = blocks.schema["rep"].dataType
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def ended(key, sides):
-            own, other = sides[True], sides[False]
-            if key[1] == 1 and key[2] == key[3]:
-                return linked_across(own, None, percent)
-            return linked_across(own, other, percent) if own and other else []
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], id_type), pa.array([y for _, y in found], id_type)], names=["a", "b"])
-
-        key, sides, id_type = None, {True: [], False: []}, pa.int64()
-        for b in batches:
-            id_type = b.schema.field("rep").type
-            columns = [b.column(n).to_pylist() for n in ("area", "kind", "i", "j", "own", "rep", "component")]
-            for *here, own, rep, component, raw in zip(*columns, b.column("shingles"), strict=True):
-                if key != tuple(here):
-                    if key is not None and (found := ended(key, sides)):
-                        yield out(found)
-                    key, sides = tuple(here), {True: [], False: []}
-                if raw.is_valid and len(raw.as_buffer()):
-                    sides[own].append((rep, component, np.frombuffer(raw.as_buffer(), np.uint64)))
-        if key is not None and (found := ended(key, sides)):
-            yield out(found)
-
-    id_type = docs.schema["doc_id"].dataType
-    return in_arrow(ordered, each, StructType([StructField("a", id_type), StructField("b", id_type)])).distinct()
+        for key, t in each_block(batches):
+            if (found := _worth(key, t, percent, least)) is None:
+                continue
+            x, y, agree = found
+            rep = t.column("rep")
+            a, b, n = [x], [y[agree.argmax(1)]], [agree.max(1)]
+            if key[1] == 1:  # both sides are strays
+                a.append(y), b.append(x[agree.argmax(0)]), n.append(agree.max(0))
+            a, b, n = np.concatenate(a), np.concatenate(b), np.concatenate(n)
+            ok = n >= 0
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(a[ok])).combine_chunks(), rep.take(pa.array(b[ok])).combine_chunks(), pa.array(n[ok].astype(np.int64))], names=["x", "y", "agree"])
+
+    found = in_arrow(blocks, each, StructType([StructField("x", id_type), StructField("y", id_type), StructField("agree", LongType())]))
+    best = found.groupBy("x").agg(F.max("agree").alias("agree"))
+    # Of equally near ones the least: a join and a minimum keep the aggregates on numbers.
+    return found.join(best, ["x", "agree"]).groupBy("x").agg(F.min("y").alias("y")).select(*_ordered("x", "y")).distinct()
+
+
+def worth_testing(blocks: DataFrame, percent: int, least: float = LEAST_AGREEMENT) -> DataFrame:
+    """The block rows (without signatures) that have a partner worth a test in their block."""
+    schema = StructType([blocks.schema[c] for c in BLOCK_ROW])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for key, t in each_block(batches):
+            if (found := _worth(key, t, percent, least)) is None:
+                continue
+            x, y, agree = found
+            rows = np.union1d(x[(agree >= 0).any(1)], y[(agree >= 0).any(0)])
+            if len(rows):
+                yield from t.select(schema.names).take(pa.array(rows)).combine_chunks().to_batches()
+
+    return in_arrow(blocks, each, schema)
+
+
+def linked_in_blocks(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links between components found on the full sets of block rows, at most one of a row to a component."""
+    id_type = rows.schema["rep"].dataType
+    full = rows.join(sets_of(docs, rows.select("rep"), width), "rep")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for at, t in each_block(batches):
+            own, other = [], []
+            for mine, rep, component, raw in zip(*[t.column(c).to_pylist() for c in ("own", "rep", "component")], t.column("shingles"), strict=True):
+                (own if mine else other).append((rep, component, np.frombuffer(raw.as_buffer(), np.uint64)))
+            found = linked_across(own, None if at[1] == 1 and at[2] == at[3] else other, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], t.schema.field("rep").type), pa.array([y for _, y in found], t.schema.field("rep").type)], names=["a", "b"])
+
+    return in_arrow(_in_turn(full), each, StructType([StructField("a", id_type), StructField("b", id_type)])).distinct()
 
 
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _numbered(docs: DataFrame, **options) -> DataFrame:
+    """classes() for ids that are no integers: each id gets a number, and a class the least of its ids."""
+    stash = Stash(docs.sparkSession)
+    ids = stash.put(docs.select("doc_id").where("doc_id is not null").distinct().select("doc_id", F.monotonically_increasing_id().alias("n")))
+    found = stash.put(classes(docs.join(ids, "doc_id", "left").select(F.col("n").alias("doc_id"), "text"), **options))
+    named = found.join(ids.withColumnRenamed("n", "number"), found.doc_id == F.col("number"), "left").select(ids.doc_id, "n_shingles", F.col("component_id").alias("c"))
+    least = stash.put(named.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id")))
+    out = named.join(least, "c", "left").select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    stash = Stash(docs.sparkSession)
     docs = docs.select("doc_id", "text")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return _numbered(docs, width=width, percent=percent, bands=bands, rows=rows)
+    stash, id_type = Stash(docs.sparkSession), docs.schema["doc_id"].dataType
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = stash.put(signatures(docs, width, bands, rows))
     # Tables of ids are small next to texts: few tasks write them, more as the documents grow.
     few = max(12, signed.count() // 50_000)
     firsts = stash.put(signed.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), few)
-    reps = stash.put(signed.join(firsts, (signed.doc_id == firsts.rep) & (signed.d1 == firsts.d1) & (signed.d2 == firsts.d2), "left_semi").select(F.col("doc_id").alias("rep"), "bands", "signature"))
+    reps = signed.join(firsts, (signed.doc_id == firsts.rep) & (signed.d1 == firsts.d1) & (signed.d2 == firsts.d2), "left_semi")
+    reps = stash.put(reps.dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands", "signature"))
+    thin = stash.put(signed.select("doc_id", "n_shingles", "d1", "d2"))
+    stash.drop(signed)
 
     entries = reps.select("rep", F.explode("bands").alias("key"))
     # The exclusive or with the key puts a bucket's members in an order of its own and can be undone.
-    shared = stash.put(entries.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", F.col("x").bitwiseXOR(F.col("key")).alias("pivot")), few)
+    shared = stash.put(entries.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("x"), F.count("*").alias("n")).where("n > 1").select("key", F.col("x").bitwiseXOR(F.col("key")).alias("pivot")), few)
     members = stash.put(entries.join(shared, "key"), few)
     stash.drop(shared)
+    # Most documents are like no other: only those that share a bucket are looked at from here on.
+    signs = stash.put(reps.select("rep", "size", "signature").join(members.select("rep").distinct(), "rep", "left_semi"))
+    stash.drop(reps)
 
     tested = stash.put(members.where("rep <> pivot").select(*_ordered("rep", "pivot")).distinct(), few)
-    likely = stash.put(agreeing(tested, reps))
+    likely = stash.put(agreeing(tested, signs))
     # One good pair of each class first; most others are then inside a component. Of pairs that will hardly fail
     # the one with the least partner is best: such pairs make stars, which have their components in few steps.
     ends = likely.select(F.col("a").alias("n"), "a", "b", "agree").unionByName(likely.select(F.col("b").alias("n"), "a", "b", "agree"))
@@ -296,20 +431,33 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BAN
         stash.drop(more)
         return out
 
+    def mixed() -> DataFrame:
+        """area, rep, component of the buckets that hold several components; the area is the largest of them."""
+        placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+        parted = counts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", F.struct("n", "component")).alias("area")).where("lo <> hi").select("key", "area")
+        return stash.put(placed.join(parted, "key").select("area", "rep", "component").distinct(), few)
+
     rest = stash.put(across(likely.join(best, ["a", "b"], "left_anti").select("a", "b")), few)
     if not rest.isEmpty():
         found = grown(confirmed(rest, docs, width, percent))
-    stash.drop(likely, best, edges, rest)
-
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    parted = stash.put(mixed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("lo <> hi").select("key", "largest"), few)
-    if not parted.isEmpty():
-        found = grown(finished(placed.join(parted, "key").withColumnRenamed("largest", "area"), docs, width, percent, stash, few))
+    stash.drop(likely, tested, best, edges, rest)
+
+    areas = mixed()
+    if not areas.isEmpty():
+        near = stash.put(nearest(dealt(areas, signs, stash, few, STRAYS, MEMBERS), percent), few)
+        found = grown(confirmed(near, docs, width, percent))
+        stash.drop(areas, near)
+        areas = mixed()
+    if not areas.isEmpty():
+        needed = stash.put(worth_testing(dealt(areas, signs, stash, few, STRAYS, MEMBERS), percent), few)
+        if not needed.isEmpty():
+            found = grown(linked_in_blocks(needed, docs, width, percent))
+        stash.drop(needed)
 
     by_digest = stash.put(firsts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), few)
-    stash.drop(members, tested, reps, parted)
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_digest, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    stash.drop(members, signs, areas)
+    out = thin.join(by_digest, ["d1", "d2"], "left").select(F.col("doc_id").cast(id_type), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).cast(id_type).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -370,6 +370,34 @@ def test_chain_of_copies_is_one_component(spark):
     assert {r["component_id"] for r in out} == {0}
 
 
+@pytest.mark.parametrize("strays, members", [(2, 3), (128, 512)])
+def test_mixed_buckets_are_finished_exactly(spark, monkeypatch, strays, members):
+    """Copies of a text that is not there are about as far apart as the threshold: many components share buckets."""
+    monkeypatch.setattr(minhash, "STRAYS", strays)
+    monkeypatch.setattr(minhash, "MEMBERS", members)
+    rng = random.Random(31)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for _ in range(60):
+        copy = list(base)
+        for k in rng.sample(range(120), rng.randint(3, 7)):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = {i: plain_set(t, 2) for i, t in enumerate(texts)}
+    links = defaultdict(set)
+    for i, j in itertools.combinations(sets, 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            links[i].add(j), links[j].add(i)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.classes(documents(spark, texts), width=2).collect()}
+    assert got == closure(sets, links)
+
+
+def test_near_duplicates_of_ids_that_are_no_integers(spark):
+    rows = [("b", "one two three four"), ("a", "one two three four"), (None, "one two three four"), ("c", None), ("a", "other words here"), ("d", "OTHER words here")]
+    out = minhash.classes(spark.createDataFrame(rows, "doc_id string, text string"), width=2).collect()
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in out), key=str)
+    assert got == sorted([("b", "a", False), ("a", "a", True), (None, None, True), ("c", "c", True), ("a", "a", True), ("d", "a", False)], key=str)
+
+
 def test_near_duplicate_stage(spark):
     df = documents(spark, HOSTILE, extra=True)
     out = minhash.keep_first(df)
@@ -394,7 +422,7 @@ def test_stars_find_components_of_paths_rings_and_stars(spark):
 
 
 def check_packed(rows, texts, capacity):
-    tokenizer = packing._tokenizer(packing.VOCABULARY)
+    tokenizer = packing._load(packing.VOCABULARY)
     want = []
     for i, t in enumerate(texts):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END]
