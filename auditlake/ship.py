@@ -9,8 +9,17 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch for Python workers, unless the session says otherwise: texts and pages may be long.
+BATCH_BYTES, _LIMIT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Once per Spark context; does nothing where the package itself came from an archive."""
+    """Sends the package once per Spark context, unless it came from an archive itself, and bounds Arrow batches.
+
+    Batches are bounded in rows by default, which bounds no memory; the session's own limit, if set, holds.
+    """
+    if spark.conf.get(_LIMIT, None) is None:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
     sc, root = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
     if getattr(sc, "_auditlake_sent", False) or not os.path.isdir(root):
         return
