@@ -10,8 +10,10 @@ centres, fitted on a bounded sample (exactness does not depend on them); a cell
 together in one task with bounded memory. A task returns sums and a forest of links for its points, never all
 pairs, so a dense group costs rows in proportion to its points.
 
-Where data have no structure (all distances alike), bounds prune little and the work within a label grows with
-the square of its points, as for any exact join; blocks keep its memory and its rows bounded.
+Where data have no structure (all distances alike), no bound of any tree can tell pairs apart before the centres
+are the points themselves: then all pairs of a block are looked at once, as nodes of radius 0, and pruned there.
+The work within a label grows with the square of its points then, as for any exact join; blocks keep its memory
+and its rows bounded.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components links with nothing,
 nor does one without a label; vectors of other lengths are compared among their own; repeated rows are further
@@ -21,18 +23,20 @@ columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import Stash, in_arrow
 from .components import components
 
 PIVOTS, BLOCK = 64, 2_048
-RADII = (2.0, 1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125)
+#: Below this radius the next level is the points; vectors of cosine 0.98 lie 0.2 apart.
+LEAST_RADIUS = 0.05
 #: Distances are sums of rounded products; bounds give way by this much, and the cosine itself decides.
 SLACK = 1e-7
 
@@ -52,60 +56,79 @@ def _distance(dots):
 
 
 class Tree:
-    """Nested nets of points, from one root to the points themselves.
+    """Nested nets of points with halving radii, from one root to the points themselves.
 
-    centres[k]: indices of level k's centres; radius[k]: distance to the farthest point below each;
-    children[k]: (order, start) so that order[start[c]:start[c + 1]] are the centres of level k + 1 under c.
+    Points are in farthest-first order, any first part of which is a net, so the centres of a level are the first
+    ``sizes[k]`` points and a centre stays under itself. radius[k]: distance to the farthest point below each
+    centre; children[k]: (order, start) so that order[start[c]:start[c + 1]] are the centres of level k + 1 under c.
     """
 
-    def __init__(self, x):
+    def __init__(self, x, sizes: list[int], near, radius):
         import numpy as np
 
-        n = len(x)
-        # Farthest-first order: its first m points are a net for every radius at once, so the nets are nested.
-        # A net of more than a quarter of the points prunes little; the points themselves come next then.
-        most = max(16, n // 4)
-        chosen, sizes, nearest = [0], [], _distance(x @ x[0])
-        nearest[0] = 0
-        for r in RADII:
-            while len(chosen) < n and nearest.max() > r:
-                far = int(nearest.argmax())
-                chosen.append(far)
-                nearest = np.minimum(nearest, _distance(x @ x[far]))
-                nearest[far] = 0
-                if len(chosen) > most:
-                    break
-            if len(chosen) > most:
-                break
-            sizes.append(len(chosen))
-            if len(chosen) == n:
-                break
-        order = np.array(chosen)
-        levels = [order[:m] for m in sizes or [1]] + [np.arange(n)]
-        parents = []
-        for upper, lower in zip(levels, levels[1:], strict=False):
-            near = np.concatenate([(x[lower[i : i + 512]] @ x[upper].T).argmax(1) for i in range(0, len(lower), 512)])
-            if lower is not levels[-1]:
-                near[: len(upper)] = np.arange(len(upper))  # nested: a centre stays under itself
-            parents.append(near)
-        self.x, self.centres, self.radius, self.children = x, levels, [], []
-        node = np.arange(n)
-        for k in range(len(parents) - 1, -1, -1):
-            node = parents[k][node]
-            d = _distance((x * x[levels[k]][node]).sum(1))
-            radius = np.zeros(len(levels[k]))
-            np.maximum.at(radius, node, d)
-            self.radius.insert(0, radius)
-            by = np.argsort(parents[k], kind="stable")
-            self.children.insert(0, (by, np.searchsorted(parents[k][by], np.arange(len(levels[k]) + 1))))
-        self.radius.append(np.zeros(n))
-
-
-def traverse(a: Tree, b: Tree, cosine: float, part: int = 200_000, dense: int = 4_096) -> Iterator[tuple]:
+        self.x, self.sizes, self.radius, self.children = x, sizes, [], []
+        a = b = 0
+        for upper, lower in zip(sizes, sizes[1:], strict=False):
+            parent = near[a : a + lower]
+            by = np.argsort(parent, kind="stable")
+            self.children.append((by, np.searchsorted(parent[by], np.arange(upper + 1))))
+            self.radius.append(radius[b : b + upper])
+            a, b = a + lower, b + upper
+        self.radius.append(np.zeros(sizes[-1]))
+
+
+def nets(x, least: float = LEAST_RADIUS) -> tuple:
+    """(order of the points, sizes, near, radius) for a Tree of x[order]: parents and radii level by level.
+
+    The root's radius is that of the points; every level below has half the radius of the one above, down to
+    ``least``, which is well under the distance of links; the last level is the points.
+    """
+    import numpy as np
+
+    n = len(x)
+    order, sizes = [0], [1]
+    nearest = _distance(x @ x[0])
+    nearest[0] = 0
+    r = float(nearest.max())
+    while r > least:
+        r /= 2
+        while nearest.max() > r:
+            far = int(nearest.argmax())
+            order.append(far)
+            nearest = np.minimum(nearest, _distance(x @ x[far]))
+            nearest[far] = 0
+        sizes.append(len(order))
+    rest = np.setdiff1d(np.arange(n), order)
+    order = np.concatenate([np.array(order), rest]).astype(np.int64)
+    if len(rest) or n == 1:
+        sizes.append(n)
+    x = x[order]
+    parents = []
+    for upper, lower in zip(sizes, sizes[1:], strict=False):
+        new = x[upper:lower]
+        found = [(new[i : i + 512] @ x[:upper].T).argmax(1) for i in range(0, len(new), 512)]
+        parents.append(np.concatenate([np.arange(upper), *found]))
+    node, radii = np.arange(n), []
+    for upper, parent in zip(sizes[-2::-1], parents[::-1], strict=True):
+        node = parent[node]
+        radius = np.zeros(upper)
+        np.maximum.at(radius, node, _distance((x * x[node]).sum(1)))
+        radii.insert(0, radius)
+    return order, sizes, np.concatenate(parents), np.concatenate(radii)
+
+
+def tree_of(x) -> tuple:
+    """(order, Tree) of points."""
+    order, *parts = nets(x)
+    return order, Tree(x[order], *parts)
+
+
+def traverse(a: Tree, b: Tree, cosine: float, part: int = 200_000, dense: int = 4_096, work: Counter | None = None) -> Iterator[tuple]:
     """(points of a, points of b) of linked pairs, in parts; where b is a, each pair comes once and no point with itself.
 
     Node pairs go down level by level, a whole frontier at a time. The children of a pair with ``dense`` or more
-    combinations are compared by a matrix product, others by single products.
+    combinations are compared by a matrix product, others by single products. work: gets the number of pairs
+    looked at ("nodes" above the last level, "points" there) and of those dropped by the bounds ("pruned").
     """
     import numpy as np
 
@@ -125,12 +148,16 @@ def traverse(a: Tree, b: Tree, cosine: float, part: int = 200_000, dense: int =
     def fits(k: int, p, q, dot):
         """Which of the pairs of level k stay."""
         if k >= last:
-            return dot >= cosine
-        return _distance(dot) <= a.radius[min(k, len(a.children))][p] + b.radius[min(k, len(b.children))][q] + most
+            keep = dot >= cosine
+        else:
+            keep = _distance(dot) <= a.radius[min(k, len(a.children))][p] + b.radius[min(k, len(b.children))][q] + most
+        if work is not None:
+            work["points" if k >= last else "nodes"] += keep.size
+            work["pruned"] += 0 if k >= last else int(keep.size - keep.sum())
+        return keep
 
-    def products(k: int, p, q):
-        x, y = a.centres[min(k, len(a.children))], b.centres[min(k, len(b.children))]
-        return np.concatenate([np.einsum("ij,ij->i", a.x[x[p[i : i + 20_000]]], b.x[y[q[i : i + 20_000]]]) for i in range(0, len(p), 20_000)])
+    def products(p, q):
+        return np.concatenate([np.einsum("ij,ij->i", a.x[p[i : i + 20_000]], b.x[q[i : i + 20_000]]) for i in range(0, len(p), 20_000)])
 
     def visit(k: int, p, q) -> Iterator[tuple]:
         """p, q: pairs of level k that stay."""
@@ -143,12 +170,12 @@ def traverse(a: Tree, b: Tree, cosine: float, part: int = 200_000, dense: int =
         (pa_, na), (qb, nb) = spans(a, k, p), spans(b, k, q)
         many = na * nb >= dense
         for c in np.flatnonzero(many).tolist():
-            y = at(b, k, np.arange(qb[c], qb[c] + nb[c]))
-            yb = b.x[b.centres[min(k + 1, len(b.children))][y]]
-            step = max(1, 1_000_000 // int(nb[c]))
+            step = max(1, min(256, 1_000_000 // int(nb[c])))
             for i in range(0, int(na[c]), step):
+                # Within one node, pairs of later children with earlier ones came before.
+                y = at(b, k, np.arange(qb[c] + (i if same and p[c] == q[c] else 0), qb[c] + nb[c]))
                 x = at(a, k, np.arange(pa_[c] + i, pa_[c] + min(i + step, na[c])))
-                keep = fits(k + 1, x[:, None], y[None, :], a.x[a.centres[min(k + 1, len(a.children))][x]] @ yb.T)
+                keep = fits(k + 1, x[:, None], y[None, :], a.x[x] @ b.x[y].T)
                 if same and p[c] == q[c]:  # pairs within one node come in both orders; one is enough
                     keep &= x[:, None] <= y[None, :]
                 u, v = np.nonzero(keep)
@@ -166,7 +193,7 @@ def traverse(a: Tree, b: Tree, cosine: float, part: int = 200_000, dense: int =
             if same:
                 ok = ~(np.repeat(p[i:j] == q[i:j], n) & (x > y))
                 x, y = x[ok], y[ok]
-            keep = fits(k + 1, x, y, products(k + 1, x, y))
+            keep = fits(k + 1, x, y, products(x, y))
             if keep.any():
                 yield from visit(k + 1, x[keep], y[keep])
 
@@ -174,18 +201,16 @@ def traverse(a: Tree, b: Tree, cosine: float, part: int = 200_000, dense: int =
     yield from visit(0, root, root)
 
 
-def linked(a, b, wa, wb, cosine: float) -> tuple:
+def linked(a: Tree, b: Tree | None, wa, wb, cosine: float) -> tuple:
     """Weights of the points each is linked to and the least position it is connected to, over a's points, then
     b's; b None: within a."""
     import numpy as np
 
-    ta = Tree(a)
-    tb = ta if b is None else Tree(b)
-    shift = 0 if b is None else len(a)
-    total = len(a) + (0 if b is None else len(b))
+    shift = 0 if b is None else len(a.x)
+    total = len(a.x) + (0 if b is None else len(b.x))
     weight = wa if b is None else np.concatenate([wa, wb])
     links, root = np.zeros(total, np.int64), np.arange(total)
-    for p, q in traverse(ta, tb, cosine):
+    for p, q in traverse(a, a if b is None else b, cosine):
         q = q + shift
         np.add.at(links, p, weight[q])
         np.add.at(links, q, weight[p])
@@ -264,26 +289,38 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     pairs = pairs.select("label", "dim", "cell", "chunk", "cell2", "chunk2")
 
     chunked = points_in.join(cells.select("label", "dim", "cell", "chunks"), ["label", "dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    # A block holds about ``block`` points: a bounded list.
-    blocks = stash.put(chunked.groupBy("label", "dim", "cell", "chunk").agg(F.collect_list(F.struct("rep", "n", "v")).alias("p")).select("label", "dim", "cell", "chunk", F.col("p.rep").alias("ids"), F.col("p.n").alias("ns"), F.flatten("p.v").alias("vs")))
+    # A block holds about ``block`` points: a bounded list. Its tree is built here, once for all pairs it is in.
+    lists = chunked.groupBy("label", "dim", "cell", "chunk").agg(F.collect_list(F.struct("rep", "n", "v")).alias("p")).select("label", "dim", "cell", "chunk", F.col("p.rep").alias("ids"), F.col("p.n").alias("ns"), F.flatten("p.v").alias("vs"))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                ids, ns, vs = (row.column(c)[0].values for c in ("ids", "ns", "vs"))
+                x = _matrix(vs.to_numpy(zero_copy_only=False), len(ids))
+                order, *parts = nets(x)
+                own = [ids.take(pa.array(order)), ns.take(pa.array(order)), x[order].ravel(), *parts]
+                fields = [row.schema.field(c).type for c in ("ids", "ns", "vs")] + [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([*[row.column(c) for c in ("label", "dim", "cell", "chunk")], *[pa.array([v], t) for v, t in zip(own, fields, strict=True)]], names=[*row.schema.names, "sizes", "near", "radius"])
+
+    schema = StructType([*lists.schema.fields, StructField("sizes", ArrayType(IntegerType())), StructField("near", ArrayType(IntegerType())), StructField("radius", ArrayType(DoubleType()))])
+    blocks = stash.put(in_arrow(lists, grow, schema))
+    what = ("ids", "ns", "vs", "sizes", "near", "radius")
     left = pairs.join(blocks, ["label", "dim", "cell", "chunk"])
-    right = blocks.select("label", "dim", F.col("cell").alias("cell2"), F.col("chunk").alias("chunk2"), F.col("ids").alias("ids2"), F.col("ns").alias("ns2"), F.col("vs").alias("vs2"))
-    both = left.join(right, ["label", "dim", "cell2", "chunk2"]).select(((F.col("cell") == F.col("cell2")) & (F.col("chunk") == F.col("chunk2"))).alias("same"), "ids", "ns", "vs", "ids2", "ns2", "vs2")
+    right = blocks.select("label", "dim", F.col("cell").alias("cell2"), F.col("chunk").alias("chunk2"), *[F.col(c).alias(f"{c}2") for c in what])
+    both = left.join(right, ["label", "dim", "cell2", "chunk2"]).select(((F.col("cell") == F.col("cell2")) & (F.col("chunk") == F.col("chunk2"))).alias("same"), *what, *[f"{c}2" for c in what])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 get = lambda c, i=i, b=b: b.column(c)[i].values.to_numpy(zero_copy_only=False)
-                ids, ns = get("ids"), get("ns")
-                x, y = _matrix(get("vs"), len(ids)), None
-                ns2 = None
-                if not b.column("same")[i].as_py():
-                    ids2, ns2 = get("ids2"), get("ns2")
-                    y = _matrix(get("vs2"), len(ids2))
-                    links, root = linked(x, y, ns, ns2, cosine)
-                    ids = np.concatenate([ids, ids2])
+                tree = lambda end="", get=get: Tree(get(f"vs{end}").reshape(len(get(f"ids{end}")), -1), get(f"sizes{end}").tolist(), get(f"near{end}"), get(f"radius{end}"))
+                ids = get("ids")
+                if b.column("same")[i].as_py():
+                    links, root = linked(tree(), None, get("ns"), None, cosine)
                 else:
-                    links, root = linked(x, None, ns, None, cosine)
+                    links, root = linked(tree(), tree("2"), get("ns"), get("ns2"), cosine)
+                    ids = np.concatenate([ids, get("ids2")])
                 hit = np.flatnonzero(links)
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[root[hit]])], names=["rep", "links", "root"])

@@ -150,6 +150,44 @@ def test_cover_tree_links_equal_brute_force(spark, seed, block):
         assert (r["n_links"], r["component_id"], r["kept"]) == (len(links[r["vec_id"]]), component[r["vec_id"]], component[r["vec_id"]] == r["vec_id"])
 
 
+def tree_work(x, cosine=0.98):
+    """(levels, links, work, pairs) of one tree against itself, links checked against all products."""
+    import numpy as np
+
+    x = x / np.sqrt((x * x).sum(1))[:, None]
+    _, tree = covertree.tree_of(x)
+    work, found = Counter(), set()
+    for p, q in covertree.traverse(tree, tree, cosine, work=work):
+        found |= set(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True))
+    i, j = np.nonzero(np.triu(tree.x @ tree.x.T >= cosine, 1))
+    assert found == set(zip(i.tolist(), j.tolist(), strict=True))
+    return tree.sizes, len(found), work, len(x) * (len(x) - 1) // 2
+
+
+def test_cover_tree_has_nested_levels_and_prunes():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    # Of low dimension: every level halves the radius, and a small share of all pairs is looked at.
+    sizes, links, work, pairs = tree_work(rng.normal(size=(1500, 3)))
+    assert len(sizes) > 5 and sizes == sorted(sizes) and links and work["nodes"] + work["points"] < pairs / 10
+    # Dense groups: nodes of different groups are dropped by their covering radii.
+    sizes, links, work, pairs = tree_work(rng.normal(size=(15, 24))[rng.integers(0, 15, 900)] + rng.normal(size=(900, 24)) * 0.12)
+    assert len(sizes) > 3 and links and work["nodes"] + work["points"] < pairs / 4 and work["pruned"]
+    # Without structure no bound can tell, but pairs are still pruned before the last level.
+    sizes, links, work, pairs = tree_work(rng.normal(size=(400, 48)))
+    assert len(sizes) > 2 and work["points"] < pairs / 20 and work["nodes"] < 3 * pairs
+    for x in (rng.normal(size=(1, 4)), np.ones((5, 4)), np.concatenate([np.ones((2, 4)), -np.ones((3, 4))])):
+        tree_work(x)
+
+
+def test_embeddings_of_repeated_ids_and_other_columns(spark):
+    rows = [(1, [1.0, 0.0], 3, "a"), (1, [0.0, 1.0], 3, "b"), (2, [0.0, 2.0], 3, "c"), (3, [1.0, 0.01], 3, "d"), (4, [1.0, 0.0], 4, "e"), (5, [1.0, 0.0], 3, "f"), (5, [1.0, 0.0], 3, "f")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, kept string").withColumn("n_links", F.lit("mine"))
+    got = sorted((r["vec_id"], r["component_id"], r["kept"]) for r in covertree.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (5, 1, False)]
+
+
 def test_embeddings_of_an_empty_table(spark):
     assert covertree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
