@@ -65,13 +65,13 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", vocabulary: st
     name = free_name(docs, out)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
+        enc = encoding(vocabulary).tiktoken
         for batch in batches:
             for part in slices(batch, text):
                 ids = pa.array([encode_text(t, enc) for t in part.column(text).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, name])
 
-    return in_arrow(docs, each, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]))
+    return in_arrow(docs, each, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]), uses=f"ranks {vocabulary}")
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "bytes", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -79,12 +79,12 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "bytes", vocabulary: st
     name = free_name(rows, out)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
+        enc = encoding(vocabulary).tiktoken
         for batch in batches:
             raw = pa.array([enc.decode_bytes(x or []) for x in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[*batch.schema.names, name])
 
-    return in_arrow(rows, each, StructType([*rows.schema.fields, StructField(name, BinaryType())]))
+    return in_arrow(rows, each, StructType([*rows.schema.fields, StructField(name, BinaryType())]), uses=f"ranks {vocabulary}")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -94,7 +94,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY)
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        enc = encoding(vocabulary)
+        enc = encoding(vocabulary).tiktoken
         for batch in batches:
             for part in slices(batch, "text"):
                 n, a, b = [], [], []
@@ -105,4 +105,4 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY)
                     b.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return in_arrow(docs, each, StructType([docs.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))
+    return in_arrow(docs, each, StructType([docs.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]), uses=f"ranks {vocabulary}")

@@ -152,20 +152,31 @@ def fit(docs: DataFrame, per_language: int = 700, most_languages: int = 500, doc
     return train([r["_text"] for r in sample], [r["_lang"] for r in sample], **options)
 
 
-def log_odds(texts: pa.Array, model: Model) -> tuple:
-    """(logits, whether a text has a letter): sums of the words' shares over the number of n-grams."""
+def log_odds(texts: pa.Array, model: Model, chunk: int = 10_000) -> tuple:
+    """(logits, whether a text has a letter): sums of the words' shares over the number of n-grams.
+
+    Distinct words are looked at ``chunk`` at a time, so that n-grams of few words are held at once.
+    """
     import numpy as np
 
     buckets, k = model.weight.shape
-    grams, of, index, owner, n_words, n, lettered = _prepared(texts, buckets)
-    size = np.bincount(of, minlength=n_words)
-    total = np.bincount(owner, weights=size[index], minlength=n) if len(index) else np.zeros(n)
-    z = np.empty((n, k))
-    for c in range(k):
-        share = np.bincount(of, weights=model.weight[grams, c], minlength=n_words)
-        z[:, c] = (np.bincount(owner, weights=share[index], minlength=n) if len(index) else 0) / np.maximum(total, 1) + model.bias[c]
-    has = np.bincount(owner, weights=lettered[index], minlength=n) > 0 if len(index) else np.zeros(n, bool)
-    return z, has
+    words, index, bounds = split_words(texts)
+    letters = _letters(words)
+    share, size = np.zeros((len(words), k)), np.zeros(len(words))
+    lettered = np.fromiter((bool(w) for w in letters), bool, len(letters))
+    for i in range(0, len(letters), chunk):
+        some = letters[i : i + chunk]
+        grams, of = char_ngrams(some, ORDERS, buckets)
+        size[i : i + chunk] = np.bincount(of, minlength=len(some))
+        for c in range(k):
+            share[i : i + chunk, c] = np.bincount(of, weights=model.weight[grams, c], minlength=len(some))
+    share[~lettered], size[~lettered] = 0, 0
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    by_text = lambda x: np.bincount(owner, weights=x[index], minlength=n) if len(index) else np.zeros(n)
+    total = by_text(size)
+    z = np.stack([by_text(share[:, c]) / np.maximum(total, 1) + model.bias[c] for c in range(k)], 1)
+    return z, by_text(lettered.astype(float)) > 0
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -14,7 +14,6 @@ other columns of the input are kept by ``scan`` untouched and its own column nam
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import itertools
 import re
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, in_arrow, slices
+from .common import free_name, in_arrow, resource, slices
 
 # The three base patterns and the order of kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,15 +44,36 @@ def _rank_file(name: str) -> str:
     return name if "/" in name else public_tokenizers.path(name)
 
 
-@functools.cache
-def encoding(rank_file: str):
-    """The tiktoken encoding of a local rank file, without special tokens; one per process."""
-    import public_tokenizers
-    import tiktoken
+class Encoding:
+    """A tiktoken encoding with what is known of words under it: at most WORDS of them."""
+
+    WORDS = 1 << 15
+
+    def __init__(self, rank_file: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(_rank_file(rank_file), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.tiktoken = tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.words: dict[str, bool] = {}
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        return self.tiktoken.encode_ordinary(text)
 
-    with open(_rank_file(rank_file), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def is_word(self, part: str) -> bool:
+        """Whether letters are in the vocabulary: up to six as one token, more at 3.5 characters a token or more."""
+        if part not in self.words:
+            if len(self.words) >= self.WORDS:
+                self.words.clear()
+            tokens = min(len(self.encode_ordinary(p)) for p in (part, part.lower(), " " + part.lower(), " " + part.capitalize()))
+            self.words[part] = tokens == 1 if len(part) <= 6 else len(part) >= 3.5 * tokens
+        return self.words[part]
+
+
+def encoding(rank_file: str) -> Encoding:
+    """The encoding of a local rank file, without special tokens; kept while tasks of this kind run in the process."""
+    return resource(f"ranks {rank_file}", lambda: Encoding(rank_file))
 
 
 _assign = re.compile(ASSIGN, re.I | re.A)
@@ -78,20 +98,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in _hex.finditer(text)]
 
 
-@functools.lru_cache(1 << 16)
-def _is_word(part: str, enc) -> bool:
-    """Whether letters are in the vocabulary: up to six as one token, more at 3.5 characters a token or more."""
-    tokens = min(len(enc.encode_ordinary(p)) for p in (part, part.lower(), " " + part.lower(), " " + part.capitalize()))
-    return tokens == 1 if len(part) <= 6 else len(part) >= 3.5 * tokens
-
-
 def known_harmless(s: str, enc) -> bool:
     """A segment that is a digest, a row of neighbouring characters, or an identifier: half of it or more are vocabulary words of four letters or more."""
     if len(s) in DIGEST_LENGTHS and _digest.match(s):
         return True
     if len(s) >= LEAST_LENGTH and 2 * sum(ord(y) - ord(x) == 1 for x, y in itertools.pairwise(s)) >= len(s):
         return True
-    return 2 * sum(len(p) for p in _part.findall(s) if 4 <= len(p) <= 40 and p[0].isalpha() and _is_word(p, enc)) >= len(s)
+    return 2 * sum(len(p) for p in _part.findall(s) if 4 <= len(p) <= 40 and p[0].isalpha() and enc.is_word(p)) >= len(s)
 
 
 def stretches(run: str, enc) -> Iterator[tuple[int, int, int]]:
@@ -195,7 +208,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secret_spans", vocabul
     from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
     kind = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
-    return in_arrow(docs, each, StructType([*docs.schema.fields, StructField(name, kind)]))
+    return in_arrow(docs, each, StructType([*docs.schema.fields, StructField(name, kind)]), uses=f"ranks {vocabulary}")
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = None, mark: str = "[secret]", vocabulary: str = VOCABULARY, most_chars_per_token: float = MOST_CHARS_PER_TOKEN) -> DataFrame:
@@ -229,7 +242,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = None, mark:
                     part = part.set_column(n, part.schema.field(n), pa.array(sizes, part.schema.field(n).type))
                 yield part
 
-    return in_arrow(docs, each, docs.schema)
+    return in_arrow(docs, each, docs.schema, uses=f"ranks {vocabulary}")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
