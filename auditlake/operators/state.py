@@ -39,9 +39,11 @@ def peek(hits: DataFrame, bucket: str, ts: str, rules: list[tuple[str, int, int]
     return out.select("*", reason.alias("reason"), wait.alias("retry_after_us"))
 
 
-def consume(requests: DataFrame, bucket: str, ts: str, tie: str, window: int, limit: int) -> DataFrame:
+def consume(requests: DataFrame, bucket: str, ts: str, tie: str, window: int, limit: int | str) -> DataFrame:
     """requests with ``granted``: allowed while fewer than ``limit`` were granted in the window; a refusal uses nothing.
 
+    limit: a number, or the column that holds each bucket's.
+
     Grants depend on earlier grants, so each bucket is walked in order. A bucket's walk is one sorted stream in
     one task that keeps ``limit`` times only; rows are never gathered.
     """
@@ -52,11 +54,11 @@ def consume(requests: DataFrame, bucket: str, ts: str, tie: str, window: int, li
         at, granted = None, []
         for b in batches:
             said = []
-            for key, us in zip(b[bucket], b["us"], strict=True):
+            for key, us, most in zip(b[bucket], b["us"], [limit] * len(b) if isinstance(limit, int) else b[limit], strict=True):
                 if key != at:
                     at, granted = key, []
                 granted = [t for t in granted if t > us - window]
-                ok = len(granted) < limit
+                ok = len(granted) < most
                 if ok:
                     granted.append(us)
                 said.append(ok)
