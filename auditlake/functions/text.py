@@ -109,7 +109,9 @@ def vague_terms(text: Column) -> Column:
 def undefined_acronyms(text: Column) -> Column:
     """Two to six capitals, used twice or more and spelled out nowhere in brackets; sorted."""
     found = every(text, r"\b[A-Z]{2,6}\b", ignore_case=False)
-    twice = F.filter(F.array_distinct(found), lambda a: (F.size(F.filter(found, lambda x: x == a)) >= 2) & ~a.isin(COMMON_ACRONYMS))
+    # Sorted, equal ones are neighbours: no list is compared with itself.
+    again = lambda s: F.array_distinct(F.filter(s, lambda a, i: F.coalesce(a == F.get(s, i - 1), F.lit(False)) & ~a.isin(COMMON_ACRONYMS)))
+    twice = once(F.array_sort(found), again)
     return F.array_sort(F.filter(twice, lambda a: ~text.contains(F.concat(F.lit("("), a, F.lit(")"))) & ~F.regexp_like(text, F.concat(a, F.lit(r"\s*\(")))))
 
 

@@ -134,6 +134,13 @@ def readiness(outcomes: DataFrame) -> DataFrame:
     return j.groupBy("site", "component", "component_weight").agg(T.js_round(good * 100.0 / F.sum("member_weight")).alias("score"), F.count_if(~F.col("passed")).alias("n_failed"))
 
 
+def not_run(outcomes: DataFrame) -> DataFrame:
+    """site, component, id of the members that no outcome of the site tells of: they count neither way, and are named."""
+    ran = outcomes.where("passed or finding is not null").select("site", "module", "id")
+    asked = outcomes.select("site").distinct().select("site", F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.lit(k.split(":")[0]).alias("module"), F.lit(k.split(":")[1]).alias("id")) for c, (_, ms) in READINESS.items() for k in ms])).alias("m")).select("site", "m.*")
+    return asked.join(ran, ["site", "module", "id"], "left_anti").select("site", "component", F.concat_ws(":", "module", "id").alias("member"))
+
+
 def readiness_total(components: DataFrame) -> DataFrame:
     t = components.groupBy("site").agg(T.js_round(F.sum(F.col("score") * F.col("component_weight")).cast("double") / F.sum("component_weight")).alias("score"))
     return t.withColumn("band", T.readiness_band(F.col("score")))

@@ -90,6 +90,7 @@ def step_times(events: DataFrame) -> DataFrame:
 
 
 def refund(hits: DataFrame, refunds: DataFrame, bucket: str, ts: str) -> DataFrame:
-    """hits less one for each refund of the same bucket and time: duplicates go one by one."""
-    n = F.row_number().over(Window.partitionBy(bucket, ts).orderBy(F.lit(0)))
-    return hits.withColumn("_n", n).join(refunds.select(bucket, ts).withColumn("_n", n), [bucket, ts, "_n"], "left_anti").drop("_n")
+    """hits less one for each refund of the same bucket and time: duplicates go one by one, by their other columns in order."""
+    n = lambda df: F.row_number().over(Window.partitionBy(bucket, ts).orderBy(*[c for c in df.columns if c not in (bucket, ts)] or [bucket]))
+    gone = refunds.select(bucket, ts)
+    return hits.withColumn("_n", n(hits)).join(gone.withColumn("_n", n(gone)), [bucket, ts, "_n"], "left_anti").drop("_n")

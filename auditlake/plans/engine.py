@@ -7,14 +7,14 @@ Inner pages are only counted, so a site with a third of all pages costs partial
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
 from ..sources import robots
-from ..sources.html import parsed
+from ..sources.html import MOST_BYTES, parsed
+from ..storage import Stash
 from . import catalogue as C
 
 PAGE = {"site": "string", "page_idx": "long", "is_home": "boolean", "url": "string", "final_url": "string", "status": "int", "headers": "map<string,string>", "body": "string", "truncated": "boolean"}
@@ -32,11 +32,15 @@ def completed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def page_responses(pages: DataFrame) -> DataFrame:
-    """The pages table as responses: the host is the site, its least page the homepage."""
+    """The pages table as responses: the host is the site, its least page the homepage.
+
+    The table holds no status and no headers: every page counts as answered with 200 and none, so the rules on
+    headers fail and the one on the status passes. A page over the size limit is marked as cut.
+    """
     site = U.bare_host(F.col("url"))
     first = pages.groupBy(site.alias("site")).agg(F.min("page_id").alias("home"))
     rows = pages.withColumn("site", site).join(first, "site")
-    return completed(rows.select("site", F.col("page_id").alias("page_idx"), (F.col("page_id") == F.col("home")).alias("is_home"), "url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit(None).cast("map<string,string>").alias("headers"), F.col("html").alias("body"), F.lit(False).alias("truncated")), PAGE)
+    return completed(rows.select("site", F.col("page_id").alias("page_idx"), (F.col("page_id") == F.col("home")).alias("is_home"), "url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit(None).cast("map<string,string>").alias("headers"), F.col("html").alias("body"), (F.octet_length("html") > MOST_BYTES).alias("truncated")), PAGE)
 
 
 def _bad_values(pages: DataFrame, value: str, name: str) -> DataFrame:
@@ -113,7 +117,7 @@ def sites(pages: DataFrame, meta: DataFrame | None = None, broken: DataFrame | N
     p = p.withColumn("description", F.coalesce(F.trim(F.regexp_replace(F.coalesce(C.meta("name", "description"), F.lit("")), r"\s+", " ")), F.lit("")))
     p = p.withColumn("title_key", F.when(F.col("is_home"), F.col("dom.title")).otherwise(F.col("dom.title_line")))
     # Parsed once, read by several aggregates: a Python stage would run again for each.
-    p = p.persist(StorageLevel.MEMORY_AND_DISK)
+    p = Stash(spark).put(p)
     home = p.where("is_home")
     inner = p.where("not is_home")
     counts = inner.groupBy("site").agg(

@@ -151,10 +151,13 @@ def public_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", intake.host_is_public(numbers, [U.network_range(*n) for n in _NETS]).alias("public"))
 
 
+_KEY = r"rtrim(regexp_replace(regexp_replace(url, '[?#].*', ''), '^[a-z]+://(www\.)?', ''), '/')"
+
+
 @query(rf"""
-WITH e AS (SELECT DISTINCT p.page_id % 9 AS finding, rtrim(url, '/') AS k FROM pages p WHERE page_id % 3 = 0 UNION SELECT DISTINCT 100 + page_id % 4, rtrim(url, '/') FROM pages WHERE page_id % 2 = 0),
+WITH e AS (SELECT DISTINCT p.page_id % 9 AS finding, {_KEY} AS k FROM pages p WHERE page_id % 3 = 0 UNION SELECT DISTINCT 100 + page_id % 4, {_KEY} FROM pages WHERE page_id % 2 = 0),
 n AS (SELECT k, count(*) AS issues FROM e GROUP BY k)
-SELECT url, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g'))[1:120] AS title, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS BIGINT) AS h1, {_n_words(_PLAIN)} AS words, coalesce(issues, 0) AS issues FROM pages LEFT JOIN n ON rtrim(url, '/') = k""")
+SELECT url, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g'))[1:120] AS title, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS BIGINT) AS h1, {_n_words(_PLAIN)} AS words, coalesce(issues, 0) AS issues FROM pages LEFT JOIN n ON {_KEY} = k""")
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of each page and how many findings name it."""
     p = table(spark, sf_dir, "pages")

@@ -164,8 +164,12 @@ def parse(html: str) -> Node:
     return b.html
 
 
+#: White space as browsers see it: with the byte order mark, without control separators.
+_BLANKS = re.compile("[\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+
+
 def squeeze(text: str) -> str:
-    return " ".join(text.replace("​", "​").split())
+    return _BLANKS.sub(" ", text).strip(" ")
 
 
 def resolve(href: str, base: str):
@@ -256,7 +260,7 @@ def read_json_ld(root: Node) -> tuple[list[dict], list]:
     for i, n in enumerate(scripts, 1):
         raw, error = n.text(), None
         if raw.strip() == "":
-            error = "the block is empty"
+            error = "there is nothing in this block"
         else:
             try:
                 good.append(json.loads(raw, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c))))
@@ -299,13 +303,12 @@ def facts_of(url: str, html: str) -> dict:
             "query": u.query if web else None, "origin": f"{u.scheme}://{u.netloc.lower()}" if web else None, "in_nav": inside(a, in_menu),
         })
 
-    headings = []
+    headings, following = [], {}
     for h in get("h1", "h2", "h3", "h4", "h5", "h6"):
-        nxt = None
-        if h.parent is not None:
+        if h.parent is not None and id(h.parent) not in following:  # once a parent, however many headings it has
             sibs = [c for c in h.parent.children if isinstance(c, Node)]
-            k = sibs.index(h)
-            nxt = sibs[k + 1] if k + 1 < len(sibs) else None
+            following[id(h.parent)] = {id(a): b for a, b in zip(sibs, sibs[1:], strict=False)}
+        nxt = following[id(h.parent)].get(id(h)) if h.parent is not None else None
         headings.append({
             "level": int(h.tag[1]), "text": squeeze(h.text()), "next_tag": nxt.tag if nxt else None, "next_text": squeeze(nxt.text()) if nxt and nxt.tag == "p" else None,
             "next_items": sum(isinstance(c, Node) and c.tag == "li" for c in nxt.children) if nxt else 0,

@@ -37,7 +37,7 @@ def parsed(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
     ship(pages.sparkSession)
     arrow = to_arrow_type(facts_schema())
-    cut = pages.withColumn(html, F.when(F.octet_length(html) > MOST_BYTES, F.left(F.col(html), F.lit(MOST_BYTES))).otherwise(F.col(html)))
+    cut = pages.withColumn(html, F.when(F.octet_length(html) > MOST_BYTES, F.decode(F.substring(F.encode(html, "UTF-8"), 1, MOST_BYTES), "UTF-8")).otherwise(F.col(html)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .dom import facts_of

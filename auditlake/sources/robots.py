@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,12 +30,21 @@ def tokens(agent):
     return F.filter(F.split(F.lower(F.regexp_replace(agent, r"\(\+[^)]*\)", " ")), "[^a-z0-9._-]+"), lambda x: x != "")
 
 
-def pattern(path):
-    """A rule's path as a regular expression: a star is any text, a closing dollar sign the end."""
-    anchored = path.endswith("$")
-    body = F.when(anchored, F.expr("left(value, length(value) - 1)")).otherwise(path)
-    quoted = F.regexp_replace(body, r"([.+?^$()|\[\]{}\\])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(anchored, r"\z").otherwise(""))
+def fits(path: Column, rule: Column) -> Column:
+    """Whether a rule's path fits: a star is any text, a closing dollar sign the end.
+
+    The pieces between stars are looked for one after another, each at its first place, so a rule of many stars
+    costs no more than its length times the path's.
+    """
+    anchored = rule.endswith("$")
+    pieces = F.split(F.when(anchored, F.left(rule, F.length(rule) - 1)).otherwise(rule), r"\*+", -1)
+    first, last = F.get(pieces, F.lit(0)), F.element_at(pieces, -1)
+    middle = F.slice(pieces, F.lit(2), F.greatest(F.lit(0), F.size(pieces) - F.when(anchored, 2).otherwise(1)))
+    after = lambda at, x: F.position(x, path, at)
+    step = lambda at, x: F.when((at == 0) | (x == ""), at).when(after(at, x) == 0, 0).otherwise(after(at, x) + F.length(x))
+    at = F.aggregate(middle, F.when(path.startswith(first), F.length(first) + 1).otherwise(0), step)
+    end = F.when(F.size(pieces) == 1, path == first).otherwise((at > 0) & path.endswith(last) & (F.length(path) - F.length(last) + 1 >= at))
+    return F.when(anchored, end).otherwise(at > 0)
 
 
 def decide(parsed: DataFrame, requests: DataFrame) -> DataFrame:
@@ -51,6 +60,6 @@ def decide(parsed: DataFrame, requests: DataFrame) -> DataFrame:
     star = r.join(agents.where("name = '*'"), "site")
     own = named.select("site", "agent", "path", "grp").distinct()
     rest = star.join(named.select("rid").distinct(), "rid", "left_anti").select("site", "agent", "path", "grp").distinct()
-    fit = own.unionByName(rest).join(rules, ["site", "grp"]).where(F.regexp_like("path", pattern(F.col("value"))))
+    fit = own.unionByName(rest).join(rules, ["site", "grp"]).where(fits(F.col("path"), F.col("value")))
     best = fit.groupBy("site", "agent", "path").agg(F.max_by(F.col("kind") == "allow", F.struct(F.length("value"), F.col("kind") == "allow")).alias("verdict"))
     return requests.join(best, ["site", "agent", "path"], "left").select(*requests.columns, F.coalesce("verdict", F.lit(True)).alias("allowed"))

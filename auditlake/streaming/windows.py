@@ -22,12 +22,19 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late
     return events.withColumn("ts", F.col(ts).cast("timestamp")).withWatermark("ts", late).groupBy(s, key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), key, "n")
 
 
-def running_limit(events: DataFrame, key: str, ts: str, window_us: int, limit: int) -> DataFrame:
-    """Consume-if-below over a stream: the granted times of a key are its state, dropped as the window passes."""
+def running_limit(events: DataFrame, key: str, ts: str, window_us: int, limit: int, late: str = "10 minutes") -> DataFrame:
+    """Consume-if-below over a stream: the granted times of a key are its state, dropped once the window has passed.
+
+    Hits count in the order in which they arrive, those of one micro-batch by time: as a server sees them. A key
+    without hits for a window is forgotten when the watermark is past it.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         granted = list(state.get[0]) if state.exists else []
         n_ok = n_no = 0
         for us in sorted(u for b in batches for u in b["us"]):
@@ -38,17 +45,31 @@ def running_limit(events: DataFrame, key: str, ts: str, window_us: int, limit: i
             else:
                 n_no += 1
         state.update((granted,))
+        state.setTimeoutTimestamp(max(max(granted, default=0) + window_us, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
         yield pd.DataFrame({key: [k[0]], "granted": [n_ok], "refused": [n_no]})
 
-    rows = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {dict(events.dtypes)[key]}, granted long, refused long", "granted array<long>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late).select(key, "_at", F.unix_micros("_at").alias("us"))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {dict(events.dtypes)[key]}, granted long, refused long", "granted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """All that a stream gives for the files present, as a table."""
+    """All that a stream gives for the files present, as a table of files in the shared folder.
+
+    A batch writes a folder of its own, so that one that is tried again replaces itself. In complete mode every
+    batch holds the whole result, and the last one is read.
+    """
     from ..sources.tables import shared_path
 
-    spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint or shared_path(spark, name)).trigger(availableNow=True).start()
+    spark, root = stream.sparkSession, shared_path(stream.sparkSession, name)
+    last = [-1]
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={k}")
+        last[0] = k
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint or f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema)
+    where = f"{root}/out/batch={last[0]}" if mode == "complete" else f"{root}/out/*"
+    return spark.read.schema(stream.schema).parquet(where)
