@@ -5,17 +5,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from ..storage import Stash, shared_dir  # noqa: F401  the operators take them from here
 
 T = TypeVar("T")
 
@@ -24,63 +22,6 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    # One process does all, as in tests: any folder is shared.
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="auditlake-"))
-    return shared_dir(spark)
-
-
-class Stash:
-    """Tables written once to the shared folder and read back: cuts lineage and survives lost executors.
-
-    A table that only feeds a later one is dropped with ``drop`` as soon as that one is written;
-    tables behind a returned DataFrame stay for the application and go at its end.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, shared_dir(spark)
-
-    def put(self, df: DataFrame, tasks: int | None = None) -> DataFrame:
-        """df as written. tasks: how many write it at most, for tables whose size is known to be small."""
-        path = f"{self.root}/auditlake/{uuid.uuid4().hex}"
-        (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
-        _remove_at_end(self.spark, path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._stash_path = path
-        return out
-
-    def drop(self, *tables: DataFrame | None) -> None:
-        for t in tables:
-            if t is not None and getattr(t, "_stash_path", None):
-                _delete(self.spark, t._stash_path)
-
-
-def _hadoop(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # a leftover folder is harmless
-        fs, p = _hadoop(spark, path)
-        fs.delete(p, True)
-
-
-def _remove_at_end(spark: SparkSession, path: str) -> None:
-    fs, p = _hadoop(spark, path)
-    fs.deleteOnExit(p)
-
-
 #: What a worker process keeps between tasks, by name: vocabularies and their caches.
 _kept: dict[str, object] = {}
 
@@ -92,6 +33,12 @@ def resource(name: str, make: Callable[[], T]) -> T:
     return _kept[name]
 
 
+def only(uses: str) -> None:
+    """Drops all resources but the one named."""
+    for name in [n for n in _kept if n != uses]:
+        del _kept[name]
+
+
 def in_arrow(df: DataFrame, f, schema, uses: str = "") -> DataFrame:
     """df.mapInArrow, with this package sent to the executors.
 
@@ -101,8 +48,7 @@ def in_arrow(df: DataFrame, f, schema, uses: str = "") -> DataFrame:
     ship(df.sparkSession)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name in [n for n in _kept if n != uses]:
-            del _kept[name]
+        only(uses)
         release_memory()
         yield from f(batches)
         release_memory()

@@ -6,8 +6,9 @@ once: a stack holds the rules whose intervals are open, each nested in the one b
 these for the rule whose path fits; the longest rule wins.
 
 Range bounds come from a bounded sample of the pages' keys. A rule goes to every range that its interval
-meets. A range is dealt over ``salts`` parts by page, so a host with a third of all pages fills no task; each
-part sees the rules of its range. Nothing is collected but the bounds.
+meets. A range that the sample shows to hold many pages (a host with a third of all, say) is dealt over as many
+parts by page; each part sees the rules of its range, and rules of other ranges are not copied. Nothing is
+collected but the bounds.
 
 Defined results: a null url, or one without ``://``, has empty host and path, which no rule fits; other
 columns are kept and new names made unique; of rules that repeat with other verdicts, block wins, as it does
@@ -17,6 +18,7 @@ for equally long rules of equal hosts; rules without a host are ignored; empty t
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,7 +46,7 @@ def key_of(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", ranges: int = 64, salts: int = 64, sample: int = 4_096) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", ranges: int = 64, rows_per_part: int = 250_000, sample: int = 4_096) -> DataFrame:
     """pages with host, path, rule (host and path of the winning rule, else null) and verdict.
 
     rules: host, path, verdict ('allow' or 'block'); any number of them.
@@ -59,10 +61,15 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     order = F.xxhash64(*[c for c, (_, t) in zip(kept, pages.dtypes, strict=True) if not t.startswith("map")])
 
     # A share of the rows by hash, about twice ``sample`` in all and four times at most, whatever the number of tasks.
-    share = min(1.0, 2.0 * sample / max(1, pages.count()))
+    total = pages.count()
+    share = min(1.0, 2.0 * sample / max(1, total))
     drawn = sorted(r["_key"] for r in rows.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).select("_key").limit(4 * sample).collect())
     step = max(1, len(drawn) // ranges)
     bounds = sorted(set(drawn[step::step]))
+    # Parts of each range: in proportion to its share, at least so many that a part is about ``rows_per_part`` rows.
+    held = Counter(bisect_right(bounds, k) for k in drawn)
+    parts = [max(1, -(-held[b] * max(ranges, total // rows_per_part) // max(1, len(drawn)))) for b in range(len(bounds) + 1)]
+    parts_of = F.array(*map(F.lit, parts))
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds to each rule the ranges that its interval meets."""
@@ -76,11 +83,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     bucket = F.lit(0)
     if bounds:  # at most ``ranges`` bounds: the number of bounds not above the key
         bucket = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col("_key")))
-    events = rows.select(bucket.alias("_bucket"), F.pmod(order, F.lit(salts)).cast("int").alias("_salt"), "_key", F.lit(1).alias("_kind"), F.col("_host"), F.col("_path"), F.lit(None).cast("string").alias("_verdict"), *kept)
+    events = rows.select(bucket.alias("_bucket"), F.pmod(order, F.get(parts_of, bucket)).cast("int").alias("_salt"), "_key", F.lit(1).alias("_kind"), F.col("_host"), F.col("_path"), F.lit(None).cast("string").alias("_verdict"), *kept)
 
     rules = rules.select(F.translate("host", _UPPER, _LOWER).alias("_host"), F.coalesce("path", F.lit("")).alias("_path"), F.col("verdict").alias("_verdict")).where("_host <> ''").withColumn("_key", key_of(F.col("_host")))
     placed = in_arrow(rules, ranged, StructType([*rules.schema.fields, StructField("_first", IntegerType()), StructField("_last", IntegerType())]))
-    placed = placed.select("*", F.explode(F.sequence("_first", "_last")).alias("_bucket")).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    placed = placed.select("*", F.explode(F.sequence("_first", "_last")).alias("_bucket")).select("*", F.explode(F.sequence(F.lit(0), F.get(parts_of, F.col("_bucket")) - 1)).alias("_salt"))
     blank = [F.lit(None).cast(t).alias(c) for c, (_, t) in zip(kept, pages.dtypes, strict=True)]
     placed = placed.select("_bucket", "_salt", "_key", F.lit(0).alias("_kind"), "_host", "_path", "_verdict", *blank)
 

@@ -294,7 +294,7 @@ def test_rules_are_joined_as_by_brute_force(spark):
     pages = [(i, f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en/7', '/en/77?x#y', '/de/8', '/es/', '?q', '#f'])}", "mine") for i in range(400)]
     pages += [(900, None, ""), (901, "no scheme", ""), (902, "", ""), (903, "://", ""), (904, "http://x.com/a://b", "")]
     table = [*urls.RULES, ("example.com", "", "block"), ("a.example.com", "/", "allow"), ("com", "/en/", "allow"), ("org", "", "block")]
-    judged = urls.judge(spark.createDataFrame(pages, "page_id long, url string, host string"), spark.createDataFrame(table, "host string, path string, verdict string"), ranges=7, salts=3)
+    judged = urls.judge(spark.createDataFrame(pages, "page_id long, url string, host string"), spark.createDataFrame(table, "host string, path string, verdict string"), ranges=7, rows_per_part=20)
     got = {r["page_id"]: tuple(r)[3:] for r in judged.collect()}
     assert len(got) == len(pages)
     for i, u, _ in pages:
