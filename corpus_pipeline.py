@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", packing),
 ]
 
-#: No SQL: language ID, posteriors and token ids are beyond it. Tests hold run() against a plain version.
+#: No SQL: language ID, posteriors and token ids are beyond it. Tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
