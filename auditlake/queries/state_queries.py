@@ -9,7 +9,7 @@ from ..operators import review, sinks, state
 from ..operators import scoring as S
 from ..streaming import windows
 from .registry import query, table
-from .score_queries import _F, outcomes
+from .score_queries import _EFF, _F, _GRADE, _OV, _SEV, outcomes
 
 _END = "(SELECT max(epoch_us(ts)) FROM events)"
 
@@ -137,7 +137,12 @@ def fix_kits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.fix_kit(S.findings(outcomes(spark, sf_dir)))
 
 
-@query()
+@query(f"""
+WITH {_OV}, g AS (SELECT site, overall, {_GRADE.format('overall')} AS grade FROM t), f AS (SELECT site, CAST(module_text AS INT) AS module_ord, check_ord, id, severity, effort, {_SEV} AS sev, {_EFF} AS eff FROM o WHERE found),
+p AS (SELECT site, string_agg(place || '. Problem with ' || id || ' (' || severity || ', ' || effort || ' effort)', chr(10) ORDER BY place) AS fixes FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY sev, eff, module_ord, check_ord) AS place FROM f) WHERE place <= 10 GROUP BY site),
+r AS (SELECT site, '| Module | Score |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || module || ' | ' || coalesce(CAST(score AS VARCHAR), 'n/a') || ' |', chr(10) ORDER BY module) AS modules FROM m GROUP BY site)
+SELECT g.site, '# Audit of ' || g.site || chr(10) || chr(10) || 'Overall ' || coalesce(CAST(overall AS VARCHAR), 'n/a') || ', grade ' || coalesce(grade, 'n/a') || coalesce(chr(10) || chr(10) || modules, '') || chr(10) || chr(10) || '## Top fixes' || chr(10) || chr(10) || coalesce(fixes, 'No issues found.') AS report
+FROM g LEFT JOIN r USING (site) LEFT JOIN p USING (site)""")
 def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = outcomes(spark, sf_dir)
     m = S.module_scores(o)

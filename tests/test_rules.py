@@ -108,3 +108,18 @@ def test_scores_of_outcomes(spark):
     rows = [(1, "geo", 10, True, None), (1, "geo", 10, False, 0.5), (1, "geo", 5, False, 7.0), (2, "geo", 4, False, None)]
     o = spark.createDataFrame(rows, "site long, module string, weight int, passed boolean, credit double").withColumn("finding", F.lit(None).cast("string"))
     assert {r["site"]: r["score"] for r in scoring.module_scores(o).collect()} == {1: 80, 2: 0}
+
+
+def test_kit_texts_are_escaped_for_their_places(spark):
+    from auditlake.operators import kit
+
+    sites = spark.createDataFrame([("a.test", "https://a.test/?x=1&y=2", '</script><b>"Bread" & rolls', "It's <good>"), ("b.test", "https://b.test/", None, None)], "site string, url string, title string, description string")
+    pages = spark.createDataFrame([("a.test", k, f"https://a.test/p{k}", "[x](y)" if k else "") for k in range(12)], "site string, ord int, url string, title string")
+    got = {(r["site"], r["item"]): r["content"] for r in kit.texts(sites, pages).collect()}
+    assert len(got) == 16
+    assert got["a.test", "canonical"] == '<link rel="canonical" href="https://a.test/?x=1&amp;y=2">'
+    assert "</script>" not in got["a.test", "organization"] and "&lt;/script&gt;" in got["a.test", "head"] and "&apos;s &lt;good&gt;" in got["a.test", "open-graph"]
+    assert got["a.test", "sitemap.xml"].count("<loc>") == 11 and "\\[x\\]" in got["a.test", "llms.txt"] and "## Pages" not in got["b.test", "llms.txt"]
+    assert got["b.test", "head"].startswith("<title>b.test</title>\n<meta name=\"viewport\"")
+    found = spark.createDataFrame([("a.test", "technical:canonical"), ("b.test", "geo:llms-txt"), ("b.test", "no:such")], "site string, id string")
+    assert {(r["site"], r["item"]) for r in kit.called_for(kit.texts(sites, pages), found).collect()} == {("a.test", "canonical"), ("b.test", "llms.txt")}
