@@ -127,18 +127,19 @@ def heading_skip_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LD = [
     (1, '{"@type":"Organization","name":"A","sameAs":["https://x.com/a"]}'), (2, '{"@graph":[{"@type":["Product","Thing"]},{"@type":"FAQPage","mainEntity":[]}]}'), (3, '{"broken": '), (4, ""), (5, '[{"@type":"Bakery","name":"Your Business"}]'),
 ]
-_LD_TYPES = [(1, "Organization"), (2, "FAQPage"), (2, "Product"), (2, "Thing"), (5, "Bakery")]
+_LD_SQL = f"(SELECT CAST(id AS BIGINT) AS id, j FROM {_values(_LD)} v(id, j) WHERE json_valid(j))"
 
 
-@query(f"SELECT CAST(id AS BIGINT) AS id, type FROM {_values(_LD_TYPES)} v(id, type)")
+@query(rf"""
+SELECT DISTINCT id, unnest(list_concat(regexp_extract_all(j, '"@type":"([^"]*)"', 1), flatten(list_transform(regexp_extract_all(j, '"@type":\[([^\]]*)\]', 1), lambda x: regexp_extract_all(x, '"([^"]*)"', 1))))) AS type FROM {_LD_SQL}""")
 def jsonld_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ld(spark).select("id", F.explode("dom.schema_types").alias("type"))
 
 
-_LD_PROBLEMS = [(2, "missing", "Product", "name"), (2, "missing", "FAQPage", "mainEntity"), (5, "missing", "Bakery", "address"), (5, "placeholder", "Bakery", "")]
-
-
-@query(f"SELECT CAST(id AS BIGINT) AS id, kind, type, nullif(property, '') AS property FROM {_values(_LD_PROBLEMS)} v(id, kind, type, property)")
+@query(rf"""
+WITH n AS (SELECT id, unnest(regexp_extract_all(j, '\{{[^{{}}]*\}}')) AS n FROM {_LD_SQL}), needs(type, property) AS (VALUES ('Product', 'name'), ('FAQPage', 'mainEntity'), ('Bakery', 'name'), ('Bakery', 'address'), ('Organization', 'name'))
+SELECT id, 'missing' AS kind, type, property FROM n JOIN needs ON regexp_matches(n, '"@type":[^,}}]*"' || type || '"') WHERE NOT regexp_matches(n, '"' || property || '":("[^"]|\[[^\]]|\{{[^}}]|[0-9])')
+UNION ALL SELECT id, 'placeholder', regexp_extract(n, '"@type":[^"]*"([^"]*)"', 1), NULL FROM n WHERE regexp_matches(n, '(?i)"your (business|company)[^"]*"')""")
 def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ld(spark).select("id", F.inline("dom.schema_problems")).select("id", "kind", "type", "property")
 
@@ -165,12 +166,16 @@ def status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MAPS = [
-    (1, "https://a.test/", "<urlset><loc>https://a.test/</loc><loc>https://a.test/b</loc></urlset>", 0), (2, "https://a.test/", "<urlset></urlset>", 1), (3, "https://a.test/", "<urlset><loc>http://a.test/x</loc><loc>https://b.test/</loc></urlset>", 3),
-    (4, "https://a.test/", "<urlset><loc>https://www.a.test</loc><loc>https://a.test/</loc></urlset>", 1),
+    (1, "https://a.test/", "<urlset><loc>https://a.test/</loc><loc>https://a.test/b</loc></urlset>"), (2, "https://a.test/", "<urlset></urlset>"), (3, "https://a.test/", "<urlset><loc>http://a.test/x</loc><loc>https://b.test/</loc></urlset>"),
+    (4, "https://a.test/", "<urlset><loc>https://www.a.test</loc><loc>https://a.test/</loc></urlset>"),
 ]
 
 
-@query(f"SELECT CAST(id AS BIGINT) AS id, CAST(n AS BIGINT) AS issues FROM {_values([(i, n) for i, *_, n in _MAPS])} v(id, n)")
+@query(rf"""
+WITH m AS (SELECT CAST(id AS BIGINT) AS id, u, regexp_extract_all(x, '<loc>([^<]*)</loc>', 1) AS l FROM {_values(_MAPS)} v(id, u, x)),
+k AS (SELECT *, list_transform(l, lambda x: rtrim(regexp_replace(x, '^[a-z]+://(www\.)?', ''), '/')) AS keys, rtrim(regexp_replace(u, '^[a-z]+://(www\.)?', ''), '/') AS own FROM m)
+SELECT id, CASE WHEN len(l) = 0 THEN 1 ELSE CAST(len(list_filter(keys, lambda x: split_part(x, '/', 1) <> split_part(own, '/', 1))) > 0 AS BIGINT) + CAST(starts_with(u, 'https:') AND len(list_filter(l, lambda x: starts_with(x, 'http:'))) > 0 AS BIGINT)
+  + CAST(len(list_distinct(keys)) < len(keys) AS BIGINT) + CAST(NOT list_contains(keys, own) AS BIGINT) END AS issues FROM k""")
 def sitemap_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = spark.createDataFrame([(i, u, x) for i, u, x, _ in _MAPS], "id long, url string, xml string")
+    m = spark.createDataFrame(_MAPS, "id long, url string, xml string")
     return m.select("id", engine.sitemap_facts(F.col("xml"), F.col("url"))["n_issues"].cast("long").alias("issues"))
