@@ -25,6 +25,8 @@ INJECTIONS = [
     r"\bnew instructions\s*:",
     r"\bas an ai( language)? model\b[^.\n]{0,40}\byou (must|should|will)\b",
 ]
+#: A match of any of INJECTIONS holds one of these.
+INJECTION_WORDS = ("instruction", "you are now", " prompt", "system", "assistant", "developer", "as an ai")
 KEYWORD_STOPS = (
     "this that with from your have will about more what when where which their them they home page also been each every into most other over than then there these "
     "those were would while such only very just like make made many much some same here does doing being ours ourselves yours click menu search contact privacy policy "
@@ -121,10 +123,14 @@ def newest_copyright_year(text: Column) -> Column:
 
 
 def injection_attempts(text: Column) -> Column:
-    total = F.lit(0)
+    """Matches of all patterns; the patterns run only where one of the words they cannot do without occurs."""
+    total, low = F.lit(0), F.lower(text)
     for p in INJECTIONS:
         total = total + count(text, p)
-    return total.cast("long")
+    some = low.contains(INJECTION_WORDS[0])
+    for w in INJECTION_WORDS[1:]:
+        some = some | low.contains(w)
+    return F.when(text.isNotNull(), F.when(some, total).otherwise(0)).cast("long")
 
 
 def fenced(text: Column, most: int = 6000) -> Column:
