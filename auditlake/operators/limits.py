@@ -43,10 +43,15 @@ def peek_all(asks: DataFrame, hits: DataFrame, key: str, ts: str = "ts", rules:
     for place, (reason, kind, window, limit) in enumerate(rules):
         own = hits.where(F.col("bucket").startswith("global" if kind == "global" else f"{kind}:"))
         stretch = F.floor(F.col("us") / window)
-        events = own.select("bucket", F.explode(F.array(stretch, stretch + 1)).alias("stretch"), "us", F.lit(None).cast(asked.schema["key"].dataType).alias("key"), F.lit(True).alias("hit"))
-        rows = events.unionByName(asked.select(bucket_of(kind).alias("bucket"), stretch.alias("stretch"), "us", "key", F.lit(False).alias("hit")))
-        w = Window.partitionBy("bucket", "stretch").orderBy("us").rangeBetween(-(window - 1), 0)
-        counted = rows.withColumn("n", F.count_if("hit").over(w)).withColumn("oldest", F.min(F.when(F.col("hit"), F.col("us"))).over(w)).where("not hit")
+        # The window's count is what came up to now less what came up to its start: running sums, whatever it holds.
+        events = own.select("bucket", F.explode(F.array(stretch, stretch + 1)).alias("stretch"), "us", F.lit(None).cast(asked.schema["key"].dataType).alias("key"), F.lit(0).alias("mark"))
+        marks = F.explode(F.array(F.struct(F.col("us").alias("us"), F.lit(1).alias("mark")), F.struct((F.col("us") - window).alias("us"), F.lit(2).alias("mark")))).alias("m")
+        rows = events.unionByName(asked.select(bucket_of(kind).alias("bucket"), stretch.alias("stretch"), "key", marks).select("bucket", "stretch", "m.us", "key", "m.mark"))
+        part, hit = Window.partitionBy("bucket", "stretch"), F.col("mark") == 0
+        up, down = part.orderBy("us", ~hit).rowsBetween(Window.unboundedPreceding, 0), part.orderBy(F.desc("us"), hit).rowsBetween(Window.unboundedPreceding, 0)
+        seen = rows.withColumn("n", F.count_if(hit).over(up)).withColumn("next", F.last(F.when(hit, F.col("us")), ignorenulls=True).over(down)).where("mark > 0")
+        now, start = F.col("mark") == 1, F.col("mark") == 2
+        counted = seen.groupBy("key").agg((F.max(F.when(now, F.col("n"))) - F.max(F.when(start, F.col("n")))).alias("n"), F.max(F.when(now, F.col("us"))).alias("us"), F.max(F.when(start, F.col("next"))).alias("oldest"))
         full = counted.where(F.col("n") >= limit).select("key", F.lit(place).alias("place"), F.lit(reason).alias("reason"), (window - (F.col("us") - F.coalesce("oldest", "us"))).alias("retry_after_us"))
         found = full if found is None else found.unionByName(full)
     first = found.groupBy("key").agg(F.min_by(F.struct("reason", "retry_after_us"), "place").alias("f"))
