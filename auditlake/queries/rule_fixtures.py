@@ -111,6 +111,7 @@ def _match(c: str, pattern: str) -> str:
     return "regexp_matches(" + c + ", '(?i)" + pattern.replace("'", "''") + "')"
 
 
+_quoted = lambda pattern: pattern.replace("'", "''")
 _N = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''))"
 _words = lambda c: _N.replace("{}", c)
 _any_of = lambda items, pattern: _some(items, _match("x", pattern))
@@ -156,6 +157,7 @@ _MARKETING = {
 _CITATION = {
     "entity-early": f"contains(lower(list_filter(ps, lambda x: {_words('x')} >= 8)[1]), lower(entity))", "definition": _some(f"list_filter(ps, lambda x: {_words('x')} >= 8)[1:2]", f"{_match('x', T.DEFINING)} AND (contains(lower(x), lower(entity)) OR {_match('x', r'\b(we|our|i|my)\b')})"),
     "answer-passage": f"CASE WHEN {_words('p')} >= 100 THEN " + _some("ps", f"{_words('x')} BETWEEN 134 AND 167") + " END", "structure": f"CASE WHEN {_words('p')} >= 100 THEN NOT (" + _some("ps", f"{_words('x')} > 200") + f" OR ({_words('p')} >= 400 AND len(list_filter(levels, lambda x: x IN (2, 3))) < 2)) END",
+    "facts": f"CASE WHEN {_words('p')} >= 100 THEN len(list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(concat_ws(chr(32), p, array_to_string(regexp_extract_all(html, '<h[1-6]>([^<]*)</h', 1), chr(32))), '(?i){_quoted(T.FACT)}'), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '(?i){_quoted(T.NOT_A_FACT)}')), lambda x: lower(x)))) >= 3 END",
     "schema-fit": f"CASE WHEN len(list_filter(answers, lambda x: {_words('x')} >= 5)) >= 3 THEN contains(lds, '\"FAQPage\"') END", "external-authority": "known",
     "authority": f"CASE WHEN {_words('p')} >= 300 AND contains(lds, '\"Article\"') THEN len(list_distinct(list_filter(list_transform(list_filter(hrefs, lambda x: starts_with(x, 'http')), lambda x: regexp_extract(split_part(x, '/', 3), '[^.]+\\.[^.]+$')), lambda x: NOT list_contains([{', '.join(map(_literal, sorted(U.NOT_EXTERNAL)))}], x)))) >= 2 END",
 }
