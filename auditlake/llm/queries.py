@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audit import OP11_SQL, op11_filter_audit
 from .bpe import op7_byte_bpe
 from .chat import OP4_SQL, op4_chat_format
 from .covertree import OP2_SQL, op2_embedding_near_dedup
@@ -19,9 +20,9 @@ from .urls import OP5_SQL, op5_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_embedding_near_dedup, op3_quality_classifier, op4_chat_format, op5_url_filter, op6_quality_rules, op7_byte_bpe, op8_minhash_near_dedup, op9_best_fit_packing, op10_language_id]
+    found = [op1_secret_scan, op2_embedding_near_dedup, op3_quality_classifier, op4_chat_format, op5_url_filter, op6_quality_rules, op7_byte_bpe, op8_minhash_near_dedup, op9_best_fit_packing, op10_language_id, op11_filter_audit]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_minhash_near_dedup": OP8_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_filter_audit": OP11_SQL}
