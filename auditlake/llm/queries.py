@@ -14,6 +14,7 @@ from .langid import op10_language_id
 from .lexical import OP12_SQL, op12_lexical_search
 from .minhash import OP8_SQL, op8_minhash_near_dedup
 from .packing import op9_best_fit_packing
+from .pii import op13_pii
 from .quality import op3_quality_classifier
 from .rules import op6_quality_rules
 from .secrets import op1_secret_scan
@@ -21,7 +22,7 @@ from .urls import OP5_SQL, op5_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_embedding_near_dedup, op3_quality_classifier, op4_chat_format, op5_url_filter, op6_quality_rules, op7_byte_bpe, op8_minhash_near_dedup, op9_best_fit_packing, op10_language_id, op11_filter_audit, op12_lexical_search]
+    found = [op1_secret_scan, op2_embedding_near_dedup, op3_quality_classifier, op4_chat_format, op5_url_filter, op6_quality_rules, op7_byte_bpe, op8_minhash_near_dedup, op9_best_fit_packing, op10_language_id, op11_filter_audit, op12_lexical_search, op13_pii]
     return {f.__name__: f for f in found}
 
 
