@@ -319,7 +319,7 @@ def brute_force(text: str | None) -> tuple[int, int, int, int, str]:
     """The base columns by the plain patterns, for tests."""
     t, spans = text or "", []
     tests = {
-        "email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.group().split(".")), "phone": lambda m: 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15,
+        "email": lambda m: True, "ip": lambda m: all(re.fullmatch("0*(2[0-4][0-9]|25[0-5]|1?[0-9]?[0-9])", x) for x in m.group().split(".")), "phone": lambda m: 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15,
         "card": lambda m: 16 <= len(d := re.sub("[^0-9]", "", m.group())) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0,
     }
     for kind, pattern in zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True):

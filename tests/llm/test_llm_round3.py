@@ -137,6 +137,18 @@ def test_search_with_ties_other_ids_and_empty_tables(spark, tmp_path):
         assert lexical.search(index, spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_slices_of_texts_are_folded_and_counted_alone():
+    import pyarrow as pa
+
+    column = pa.array(["Ab-C", None, "", "x", "É É'z", " q", "q "] * 3)
+    for a, b in ((0, 21), (3, 9), (5, 6), (1, 3), (0, 0)):
+        part = pa.RecordBatch.from_arrays([column.slice(a, b - a)], names=["text"])
+        terms = [re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "") for t in column.to_pylist()[a:b]]
+        assert [t.split() for t in lexical.folded(part.column("text")).to_pylist()] == [[re.sub("[A-Z]", lambda m: m.group().lower(), x) for x in t] for t in terms]
+        counted = [r for x in lexical._counts(iter([part])) for r in x.to_pylist()]
+        assert [sum(r[k] for r in counted) for k in ("documents", "terms")] == [sum(map(bool, terms)), sum(map(len, terms))]
+
+
 def test_lower_tiers_are_reached_only_without_proof(spark):
     """An item whose bounds lie under the bar yields nothing from a block before its last tier."""
     import numpy as np
@@ -244,7 +256,7 @@ def plain_extraction(rows):
 
 def personal_corpus():
     rng = random.Random(8)
-    word = lambda: rng.choice(WORDS[:12])
+    word = lambda: rng.choice(WORDS[:10])
     prose = lambda k: " ".join(word() for _ in range(k))
     number = lambda: f"({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
     rows, planted = [], {}
