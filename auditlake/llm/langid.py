@@ -5,9 +5,9 @@ its share of the document's n-grams times its inverse document frequency. Traini
 leader per coordinate (FTRL-proximal) with an elastic net, so that most weights are exactly zero; a temperature,
 fitted on a part of the sample that training does not see, calibrates the probabilities.
 
-Bounds: about ``per_language`` documents of each language are sampled by hash of the id (whole texts), of at
-most ``most_languages`` languages, the most frequent ones. Frequencies of documents come from that sample:
-held-out texts are not to be learned from.
+Bounds: about ``per_language`` documents of each language are sampled by hash of the id (whole texts); every
+language is learned, rare ones from all their documents. Frequencies of documents come from that sample: held-out
+texts are not to be learned from.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled
 document everything is; with one language, that is the answer, score 1; ties go to the language first in
@@ -142,10 +142,10 @@ def train(texts: list[str | None], labels: list[str], buckets: int = BUCKETS, ep
     return model
 
 
-def fit(docs: DataFrame, per_language: int = 700, most_languages: int = 500, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> Model:
-    """Fits on docs with a language; held-out rows are already gone."""
+def fit(docs: DataFrame, per_language: int = 700, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> Model:
+    """Fits on docs with a language; held-out rows are already gone. Every language is learned, so the model grows with their number."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).where("_lang is not null and _text is not null")
-    count = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(most_languages).collect()}
+    count = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not count:
         return Model()
     rate = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, min(1.0, per_language / n))])

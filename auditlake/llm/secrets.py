@@ -131,10 +131,19 @@ def stretches(run: str, enc) -> Iterator[tuple[int, int, int]]:
         yield wide(start, end)
 
 
+def few_letters(n: int) -> float:
+    """How many different letters n random ones of one case have at least: four fifths of the mean.
+
+    Long words that a vocabulary does not know repeat their syllables; random letters seldom come again.
+    """
+    return 0.8 * 26 * (1 - (25 / 26) ** n)
+
+
 def is_random(s: str, enc, most: float) -> bool:
     """The token-efficiency test, stricter where words and numbers come close to random strings.
 
-    Letters without digits may have 0.2 characters a token less, and so may strings under SHORT. Words of one case are
+    Letters with few digits or none may have 0.2 characters a token less, and so may strings under SHORT. Where nearly
+    all are letters of one case, few of them may come twice. Words of one case are
     read apart, so that separators do not count. Numbers, dates, versions and paths of short names are left out: few
     letters, segments of under three characters, or none of eight between the separators of names.
     """
@@ -145,7 +154,10 @@ def is_random(s: str, enc, most: float) -> bool:
     letters = sum(c.isalpha() for c in s)
     if 20 * letters < 3 * size or size < 3 * len(segments) or all(len(_mark.sub("", x)) < 8 for x in _names.split(s)):
         return False
-    read, most = [s], most - 0.2 * (letters == size) - 0.2 * (len(s) < SHORT)
+    mostly = 7 * letters >= 6 * size and (s.islower() or s.isupper())
+    if mostly and len({x for x in s if x.isalpha()}) < few_letters(letters):
+        return False
+    read, most = [s], most - 0.2 * (letters == size or mostly) - 0.2 * (len(s) < SHORT)
     if letters == size and all(x.islower() or x.isupper() or x.istitle() for x in segments):
         if size < LEAST_LENGTH:
             return False

@@ -12,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.llm import audit, lexical, pii
+from auditlake.llm import audit, langid, lexical, pii, secrets
 
 from .test_llm_operators import DOCS, HOSTILE, documents, folder
 
@@ -287,3 +287,24 @@ def test_respelled_seeds_and_empty_tables(spark):
     assert got == {0: [("phone", 5, 22)], 1: [("found_phone", 3, 17)], 2: [], 3: []}
     assert pii.scan(documents(spark, [])).count() == 0
     assert pii.scan(docs.withColumn("row", F.lit(1)).withColumn("spans", F.lit(2)), keep=("row", "spans", "doc_id")).columns == ["row", "spans", "doc_id", "pii_spans"]
+
+
+# --- earlier operators -------------------------------------------------------------------------------------
+
+
+def test_long_words_of_prose_are_no_secrets(spark):
+    """Words that the vocabulary does not know, as the prose of the sample tables has them."""
+    enc = secrets.encoding(secrets.VOCABULARY)
+    for t in ("so einpfauaueinchpf und einieerpfverkeit.", "the edtionrereinsh.78@mail of", "Rindfleischetikettierungsüberwachung KRANKENVERSICHERUNGSANSTALT"):
+        assert secrets.random_spans(t, secrets.base_spans(t), enc, secrets.MOST_CHARS_PER_TOKEN) == [], t
+    import os
+
+    if os.path.exists("/root/testdata/sf0.01/documents.parquet"):
+        found = secrets.op1_secret_scan(spark, "/root/testdata/sf0.01")
+        assert found.where("n_random > 0").count() == 0
+
+
+def test_more_languages_than_five_hundred_are_all_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join([letters[i % 26] + letters[i // 26] * 2 + letters[(i * 7) % 26]] * 6), f"l{i:03}", "s", 1) for i in range(510)]
+    assert len(langid.fit(spark.createDataFrame(rows, DOCS), buckets=1 << 10, epochs=1).languages) == 510
