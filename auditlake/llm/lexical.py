@@ -35,11 +35,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from .common import Stash, in_arrow, slices
 from .ngrams import split_words
 
-#: Terms are runs of ASCII letters and digits and of everything beyond ASCII.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are runs of ASCII letters and digits and of everything beyond ASCII: bytes as they count, all others blanks.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
-BLOCK_BYTES, BLOCK_DOCS = 8_000_000, 1 << 16
+BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 1 << 16
 #: Per tier but the last: the share of a term's postings in a block down to its end, and how many at least.
 TIERS = ((1 / 16, 16), (1 / 4, 64))
 #: A batch of items that goes to every task: distinct terms with their item, and items.
@@ -55,11 +54,30 @@ def folded(texts: pa.Array) -> pa.Array:
     texts = pc.fill_null(texts.cast(pa.string()), "")
     if not len(texts):
         return texts
-    _, offsets, data = pa.concat_arrays([texts]).buffers()
+    texts = pa.concat_arrays([texts])  # a slice without the rows around it
+    _, offsets, data = texts.buffers()
     body = data.to_pybytes().translate(_FOLD) if data is not None else b""
     return pa.Array.from_buffers(pa.string(), len(texts), [None, offsets, pa.py_buffer(body)], offset=texts.offset)
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(documents with terms, occurrences of terms) of each slice, by the bytes where a term begins."""
+    import numpy as np
+
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts = folded(part.column("text"))
+            _, offsets, data = texts.buffers()
+            ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            inside = np.frombuffer(data, np.uint8) != 32 if data is not None else np.empty(0, bool)
+            begins = inside.copy()
+            begins[1:] &= ~inside[:-1]
+            cuts = ends[(ends > 0) & (ends < len(inside))]
+            begins[cuts] = inside[cuts]
+            n = np.diff(np.concatenate([[0], np.cumsum(begins)])[ends])
+            yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["documents", "terms"])
+
+
 @dataclass
 class Statistics:
     documents: int  # with a term or more
@@ -128,9 +146,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     from pyspark.sql.pandas.types import to_arrow_type
 
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM))
-    row = docs.select(count.alias("n")).agg(F.count_if(F.col("n") > 0).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    stats = Statistics(row["documents"], row["terms"])
+    row = in_arrow(docs.select("text"), _counts, "documents long, terms long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("documents", "terms")]).first()
+    stats = Statistics(*row)
     schema = _schema(docs.schema["doc_id"].dataType, len(tiers) + 1)
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
