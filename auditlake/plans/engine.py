@@ -103,8 +103,6 @@ def page_scores(states: DataFrame) -> DataFrame:
 
 
 PARTS = frozenset({"articles", "citation", "robots", "broken", "profiles", "sitemap", "orphans"})
-#: Without a crawl of the sitemap, its link graph is known for so many locations at most and under so many inner pages, as in the reference.
-MOST_ORPHAN_LOCS, CRAWL_CAP = 60, 10
 
 
 def sites(pages: DataFrame, meta: DataFrame | None = None, broken: DataFrame | None = None, parts: frozenset[str] = PARTS) -> DataFrame:
@@ -159,17 +157,20 @@ def sites(pages: DataFrame, meta: DataFrame | None = None, broken: DataFrame | N
         return home.select("site", "final_url").join(m.select("site", "sitemap_xml"), "site").select("site", sitemap_facts(F.col("sitemap_xml"), F.col("final_url")).alias("sitemap"))
 
     def orphans() -> DataFrame:
-        """Sitemap pages of the site's own host that were not read and that no page links to; no row where that cannot be told."""
+        """Sitemap pages of the site's own host that were not read and that no page links to.
+
+        All pages of a site are at hand, so its link graph is whole whatever its size; only an index that was not
+        expanded, or a sitemap without locations, tells nothing, and has no row.
+        """
         locs = sitemap_locs(F.col("sitemap_xml"))
-        small = home.select("site", U.bare_host(F.col("final_url")).alias("own")).join(m.where(~is_index(F.col("sitemap_xml"))).select("site", locs.alias("locs")), "site")
-        small = small.where(F.size("locs").between(1, MOST_ORPHAN_LOCS)).join(counts.where(F.col("n") >= CRAWL_CAP).select("site"), "site", "left_anti")
-        listed = small.select("site", "own", F.explode("locs").alias("loc")).select("site", "own", U.crawl_key(F.col("loc")).alias("k")).where(F.split_part("k", F.lit("/"), F.lit(1)) == F.col("own"))
-        judged = p.join(small.select("site"), "site", "left_semi")
+        judgeable = home.select("site", U.bare_host(F.col("final_url")).alias("own")).join(m.where(~is_index(F.col("sitemap_xml"))).select("site", locs.alias("locs")), "site").where(F.size("locs") > 0)
+        listed = judgeable.select("site", "own", F.explode("locs").alias("loc")).select("site", "own", U.crawl_key(F.col("loc")).alias("k")).where(F.split_part("k", F.lit("/"), F.lit(1)) == F.col("own"))
+        judged = p.join(judgeable.select("site"), "site", "left_semi")
         anchors = judged.select("site", F.explode("dom.anchors").alias("a")).where(F.col("a.host").isNotNull())
         linked = anchors.select("site", U.crawl_key(F.concat(F.col("a.scheme"), F.lit("://"), F.col("a.host"), F.col("a.path"))).alias("k")).distinct()
         read = judged.select("site", F.explode(F.array(U.crawl_key(F.col("url")), U.crawl_key(F.col("final_url")))).alias("k")).distinct()
         left = listed.join(linked, ["site", "k"], "left_anti").join(read, ["site", "k"], "left_anti").groupBy("site").agg(F.count("*").alias("n_left"))
-        return small.select("site").join(left, "site", "left").select("site", F.coalesce("n_left", F.lit(0)).cast("long").alias("orphans"))
+        return judgeable.select("site").join(left, "site", "left").select("site", F.coalesce("n_left", F.lit(0)).cast("long").alias("orphans"))
 
     for name, make, columns in (
         ("articles", articles, {"articles": "struct<n:long,lacking:long>"}), ("citation", citation, {"citation": "map<string,struct<share:double,inner_fails:long>>"}),

@@ -6,13 +6,13 @@ import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ship import ship
 
-#: Bodies are read up to this many bytes, as a fetch would.
+#: A fetch reads so many bytes of a body; longer pages are marked as cut.
 MOST_BYTES = 2_000_000
 
 _FACTS = (
@@ -31,13 +31,18 @@ def facts_schema() -> T.StructType:
     return T.StructType.fromDDL(f"dom {_FACTS}")["dom"].dataType
 
 
+def capped(body: Column, most: int = MOST_BYTES) -> Column:
+    """A body as a fetch reads it: so many bytes, a character that the end falls into replaced by U+FFFD."""
+    first = F.substring(F.encode(body, "UTF-8"), 1, most).cast("string")
+    return F.when(F.octet_length(body) > most, F.make_valid_utf8(first)).otherwise(body)
+
+
 def parsed(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """pages with ``dom``; a page that cannot be read has only ``dom.error``. No shuffle."""
+    """pages with ``dom``, read from whole texts; a page that cannot be read has only ``dom.error``. No shuffle."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     ship(pages.sparkSession)
     arrow = to_arrow_type(facts_schema())
-    cut = pages.withColumn(html, F.when(F.octet_length(html) > MOST_BYTES, F.decode(F.substring(F.encode(html, "UTF-8"), 1, MOST_BYTES), "UTF-8")).otherwise(F.col(html)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .dom import facts_of
@@ -53,4 +58,4 @@ def parsed(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
                         out.append({"error": f"{type(e).__name__}: {e}"[:200]})
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, arrow)], names=[*part.schema.names, "dom"])
 
-    return cut.mapInArrow(each, T.StructType([*cut.schema.fields, T.StructField("dom", facts_schema())]))
+    return pages.mapInArrow(each, T.StructType([*pages.schema.fields, T.StructField("dom", facts_schema())]))

@@ -80,9 +80,9 @@ def test_orphan_pages(spark):
     pages = [page(s, 0, "/", GOOD) for s in maps] + [page(s, 1, "/deep/a", "<a class=x href='b.html'>b</a>") for s in maps if s != "alone"] + [page("capped", i, f"/p{i}", "x") for i in range(2, 11)]
     p = spark.createDataFrame(pages, "site string, page_idx long, is_home boolean, url string, final_url string, status int, body string")
     rows = engine.sites(p, spark.createDataFrame(list(maps.items()), "site string, sitemap_xml string"), parts=frozenset({"orphans"})).persist()
-    assert {r["site"]: r["orphans"] for r in rows.select("site", "crawl.orphans").collect()} == {"linked": 0, "orphan": 1, "other-host": 0, "none": None, "index": None, "large": None, "capped": None, "alone": 1}
+    assert {r["site"]: r["orphans"] for r in rows.select("site", "crawl.orphans").collect()} == {"linked": 0, "orphan": 1, "other-host": 0, "none": None, "index": None, "large": 61, "capped": 1, "alone": 1}
     outcomes = engine.evaluate(rows, [r for r in catalogue.rules() if r.id == "orphan-pages"]).select("site", "passed", "finding.id").collect()
-    assert {r["site"]: (r["passed"], r["id"]) for r in outcomes} == {"linked": (True, None), "orphan": (False, "crawl:orphan-pages"), "other-host": (True, None), "alone": (False, "crawl:orphan-pages")}
+    assert {r["site"]: (r["passed"], r["id"]) for r in outcomes} == {"linked": (True, None), "orphan": (False, "crawl:orphan-pages"), "other-host": (True, None), **{s: (False, "crawl:orphan-pages") for s in ("alone", "large", "capped")}}
 
 
 def test_weights(spark):
@@ -99,6 +99,26 @@ def test_broken_pages_fail_no_job(spark):
     assert o.groupBy("site").count().count() == 2
 
 
+def test_long_pages_are_read_whole_and_cut_only_where_asked(spark):
+    """A page whose byte 2,000,000 lies inside a character, and one of 5 MB."""
+    from auditlake.functions.text import word_count
+    from auditlake.sources.html import MOST_BYTES, capped, parsed
+
+    inside = "<title>x</title>" + "a" * 1_999_983 + "\u00e9" * 20
+    assert inside.encode()[MOST_BYTES - 1 : MOST_BYTES + 1] == "\u00e9".encode()
+    long = "<title>long</title><p>" + "word \U0001f600 " * 500_000 + "</p><h1>last</h1>"
+    pages = spark.createDataFrame([(1, "https://a.test/", inside), (2, "https://b.test/", long), (3, "https://c.test/", None), (4, "https://d.test/", "\u00e9")], "page_id long, url string, html string")
+    facts = {r["page_id"]: r for r in parsed(pages).select("page_id", "dom.error", "dom.h1", word_count(F.col("dom.text")).alias("words")).collect()}
+    assert all(r["error"] is None for r in facts.values())
+    assert (facts[1]["words"], facts[2]["words"], facts[2]["h1"]) == (1, 1_000_001, 1)
+    cut = {r["page_id"]: (r["t"] or "") for r in pages.select("page_id", capped(F.col("html")).alias("t")).collect()}
+    assert cut[1] == inside.encode()[:MOST_BYTES].decode(errors="replace") and cut[4] == "\u00e9"
+    assert len(cut[2].encode()) <= MOST_BYTES + 2 and cut[2] == long.encode()[:MOST_BYTES].decode(errors="replace")
+    rows = engine.page_responses(pages).select("page_idx", "truncated").collect()
+    assert {r["page_idx"] for r in rows if r["truncated"]} == {1, 2}
+    assert engine.evaluate(engine.sites(engine.page_responses(pages), parts=frozenset())).where("id = 'not-truncated' and not passed").count() == 2
+
+
 def test_html_recovery():
     f = facts_of("https://x.test/a/", "<p>one<p>two<ul><li>a<li>b</ul></div>end<table><tr><td>1<td>2</table>")
     assert f["paragraphs"] == ["one", "two"] and f["text"] == "onetwoabend12"
