@@ -13,6 +13,7 @@ BLOCKED_NETWORKS = [
     ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15),
     ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
 ]
+BLOCKED_NETWORKS_6 = [("::", 127), ("64:ff9b::", 96), ("2001:db8::", 32), ("fc00::", 7), ("fe80::", 10), ("ff00::", 8)]
 ASSET = r"\.(png|jpe?g|gif|webp|svg|ico|css|js|mjs|pdf|zip|gz|mp4|mp3|woff2?|ttf|xml|json|txt)$"
 PLATFORM_HOSTS = [
     ("facebook.com", "facebook", "www.facebook.com"), ("fb.com", "facebook", "www.facebook.com"), ("fb.me", "facebook", "www.facebook.com"), ("instagram.com", "instagram", "www.instagram.com"), ("x.com", "x", "x.com"),
@@ -126,6 +127,77 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(good, number)
 
 
+def address_hex(ip: Column) -> Column:
+    """An IPv4 or IPv6 address as 32 hexadecimal digits, which order as the numbers do; null if it is none.
+
+    IPv4 addresses become the IPv4-mapped ones of IPv6, so that one list of ranges serves both. A zone (%eth0) is left out.
+    """
+    v4 = ipv4_number(ip)
+    t = F.lower(F.split_part(ip, F.lit("%"), F.lit(1)))
+    tail = ipv4_number(F.regexp_extract(t, r":([0-9.]+)\z", 1))
+    dotted = F.concat(F.regexp_extract(t, r"^(.*:)[0-9.]+\z", 1), F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"), F.lower(F.hex(tail.bitwiseAND(65535))))
+    t = F.when(t.contains("."), dotted).otherwise(t)
+    groups = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":", -1))
+    short = t.contains("::")
+    head, rest = groups(F.split_part(t, F.lit("::"), F.lit(1))), F.when(short, groups(F.split_part(t, F.lit("::"), F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    n = F.size(head) + F.size(rest)
+    good = F.forall(F.concat(head, rest), lambda g: g.rlike(r"^[0-9a-f]{1,4}\z")) & ~t.contains(":::") & (F.split_part(t, F.lit("::"), F.lit(3)) == "") & F.when(short, n <= 7).otherwise(n == 8)
+    digits = lambda part: F.array_join(F.transform(part, lambda g: F.lpad(g, 4, "0")), "")
+    v6 = F.when(good, F.concat(digits(head), F.repeat(F.lit("0000"), F.greatest(F.lit(0), 8 - n)), digits(rest)))
+    return F.when(v4.isNotNull(), F.concat(F.lit("0" * 20 + "ffff"), F.lower(F.lpad(F.hex(v4), 8, "0")))).when(ip.contains(":"), v6)
+
+
+def address_ranges() -> list[tuple[str, str, str]]:
+    """(network, first, last) of all networks that no public site is in, as address_hex has addresses."""
+    import ipaddress
+
+    nets = [(f"{n}/{b}", ipaddress.ip_network(f"::ffff:{n}/{96 + b}")) for n, b in BLOCKED_NETWORKS] + [(f"{n}/{b}", ipaddress.ip_network(f"{n}/{b}")) for n, b in BLOCKED_NETWORKS_6]
+    return [(name, f"{int(x[0]):032x}", f"{int(x[-1]):032x}") for name, x in nets]
+
+
+def is_blocked_address(ip: Column) -> Column:
+    """Whether an address is none that a public site resolves to; what is no address is blocked too."""
+    h = address_hex(ip)
+    listed = F.lit(False)
+    for _, lo, hi in address_ranges():
+        listed = listed | h.between(lo, hi)
+    return F.coalesce(listed, F.lit(True))
+
+
+def without_dots(p: Column) -> Column:
+    """A path that begins with a slash, its . and .. segments worked off; they may be written with %2e."""
+    one, two = F.lit("(?i)^(\\.|%2e)\\z"), F.lit("(?i)^(\\.|%2e){2}\\z")
+    segments = F.split(F.substring(p, 2, 1 << 30), "/", -1)
+    kept = F.aggregate(segments, F.lit(""), lambda acc, x: F.when(F.rlike(x, two), F.regexp_replace(acc, r"/[^/]*\z", "")).when(F.rlike(x, one), acc).otherwise(F.concat(acc, F.lit("/"), x)))
+    last = F.element_at(segments, -1)
+    return F.concat(kept, F.when(F.rlike(last, one) | F.rlike(last, two) | (kept == ""), "/").otherwise(""))
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """A reference in markup made absolute against an http address, without its fragment; null if that is no web address.
+
+    Blanks around it and line ends and tabs inside count for nothing, backslashes are slashes; scheme and host are
+    lower-cased, default ports dropped, an empty path is a slash.
+    """
+    r = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]+", "")
+    r = F.regexp_replace(r, r"#(?s).*\z", "")
+    own, has_scheme = F.regexp_extract(base, r"^([^?#]*)", 1), r.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
+    slashed = F.concat(F.replace(F.regexp_extract(r, r"^([^?]*)", 1), F.lit("\\"), F.lit("/")), F.regexp_extract(r, r"(\?(?s).*)\z", 1))
+    b_scheme, b_auth = scheme(base), F.regexp_extract(own, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/]*)", 1)
+    b_path = F.coalesce(F.nullif(F.regexp_extract(own, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(/.*)\z", 1), F.lit("")), F.lit("/"))
+    b_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    root = F.concat(b_scheme, F.lit("://"), b_auth)
+    full = (
+        F.when(has_scheme, F.when(r.rlike(r"(?i)^https?:[/\\]{2}"), slashed)).when(slashed.startswith("//"), F.concat(b_scheme, F.lit(":"), slashed)).when(slashed.startswith("/"), F.concat(root, slashed))
+        .when(slashed == "", F.concat(root, b_path, b_query)).when(slashed.startswith("?"), F.concat(root, b_path, slashed)).otherwise(F.concat(root, F.regexp_replace(b_path, r"[^/]*\z", ""), slashed))
+    )
+    parts = r"^([a-zA-Z]+)://(?:[^/?@]*@)?([^/?:]*)(?::([0-9]*))?(/[^?]*)?(\?(?s).*)?\z"
+    s, h, port, p, q = (F.regexp_extract(full, parts, i) for i in range(1, 6))
+    s = F.lower(s)
+    port = F.when((port == "") | ((s == "http") & (port == "80")) | ((s == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
+    return F.when((h != "") & s.isin("http", "https"), F.concat(s, F.lit("://"), F.lower(h), port, without_dots(F.when(p == "", "/").otherwise(p)), F.when(q == "?", "").otherwise(q)))
+
+
 def network_range(net: str, bits: int) -> tuple[int, int]:
     a = 0
     for x in net.split("."):

@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..sources.anchors import with_hrefs
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, url, target of every anchor with an address that is absolute or rooted; scheme-relative ones count as rooted on the page."""
-    href = F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href")
-    out = pages.select("page_id", "url", href)
-    u, h = F.col("url"), F.col("href")
-    target = F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), h).when(h.startswith("/"), F.concat(U.scheme(u), F.lit("://"), U.host(u), h))
-    return out.select("page_id", "url", target.alias("target"))
+    """page_id, url, target of every anchor that has an address, in whatever form: resolved, null where it is none on the web."""
+    found = with_hrefs(pages.select("page_id", "url", "html")).select("page_id", "url", F.explode("hrefs").alias("href"))
+    return found.select("page_id", "url", U.resolve(F.col("href"), F.col("url")).alias("target"))
 
 
 def internal_paths(found: DataFrame) -> DataFrame:
