@@ -216,22 +216,28 @@ def platform_of(name: Column) -> Column:
 
 def social_profile(url: Column) -> Column:
     """struct<platform, url, handle, kind> of a link to a social site; null for anything else."""
+    segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
+    read = F.struct(platform_of(host(url)).alias("k"), segments.alias("segments"), scheme(url).isin("http", "https").alias("web"), F.nullif(F.regexp_extract(part(url, 5), r"[?&]id=([^&]+)", 1), F.lit("")).alias("id"))
+    # Bound once: each part is used many times below, and the plan would repeat it each time.
+    return F.transform(F.array(read), _profile)[0]
+
+
+def _profile(read: Column) -> Column:
     names = F.array(*[F.lit(p) for _, p, _ in PLATFORM_HOSTS])
     homes = F.array(*[F.lit(c) for *_, c in PLATFORM_HOSTS])
-    k = platform_of(host(url))
+    k, segments = read["k"], read["segments"]
     platform, home = F.get(names, k), F.get(homes, k)
-    segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
     first, second = F.get(segments, F.lit(0)), F.get(segments, F.lit(1))
     two = lambda *heads: F.when(first.isin(*heads) & second.isNotNull(), F.concat_ws("/", first, second))
     handle = (
         F.when(platform == "linkedin", two("company", "in", "school"))
         .when(platform == "youtube", F.coalesce(F.when(first.startswith("@"), first), two("channel", "c", "user")))
-        .when((platform == "facebook") & (first == "profile.php"), F.concat(F.lit("profile.php?id="), F.nullif(F.regexp_extract(part(url, 5), r"[?&]id=([^&]+)", 1), F.lit(""))))
+        .when((platform == "facebook") & (first == "profile.php"), F.concat(F.lit("profile.php?id="), read["id"]))
         .when((platform == "facebook") & first.isin("pages", "people", "groups") & second.isNotNull(), F.concat_ws("/", first, second))
         .when(platform == "tiktok", F.when(first.startswith("@"), first))
         .otherwise(first)
     )
-    web = scheme(url).isin("http", "https") & k.isNotNull()
+    web = read["web"] & k.isNotNull()
     make = lambda u, h, kind: F.struct(platform.alias("platform"), u.alias("url"), h.alias("handle"), F.lit(kind).alias("kind"))
     front = make(F.concat(F.lit("https://"), home, F.lit("/")), F.lit(None).cast("string"), "homepage")
     profile = make(F.concat(F.lit("https://"), home, F.lit("/"), handle), handle, "profile")

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 
 
-def page_table(facts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """url, title, headline, h1, words, issues of each page. facts: url, title, headline, h1, words; evidence: finding, url.
+def page_table(facts: DataFrame, evidence: DataFrame, *more: str) -> DataFrame:
+    """url, title, headline, h1, words, issues of each page, and more columns of facts. facts: url, title, headline, h1, words; evidence: finding, url.
 
     A finding that names one page several times counts once; addresses are compared by their table key.
     """
     n = evidence.select(U.table_key(F.col("url")).alias("k"), "finding").distinct().groupBy("k").agg(F.count("*").alias("issues"))
-    cut = facts.select("url", F.substring("title", 1, 120).alias("title"), F.substring("headline", 1, 120).alias("headline"), "h1", "words", U.table_key(F.col("url")).alias("k"))
-    return cut.join(n, "k", "left").select("url", "title", "headline", "h1", "words", F.coalesce("issues", F.lit(0)).alias("issues"))
+    cut = facts.select(*more, "url", F.substring("title", 1, 120).alias("title"), F.substring("headline", 1, 120).alias("headline"), "h1", "words", U.table_key(F.col("url")).alias("k"))
+    return cut.join(n, "k", "left").select(*more, "url", "title", "headline", "h1", "words", F.coalesce("issues", F.lit(0)).alias("issues"))
 
 
 def compared(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import pages as P
 from ..plans import engine
 from ..sources import robots
 from ..sources.html import parsed
@@ -75,6 +76,28 @@ def citation_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.page_scores(engine.citation_states(p.withColumn("entity", F.col("dom.entity")))).select("site", "page_idx", "answer-passage", "structure", "clarity", "score")
 
 
+_PAGE_RULES = {"technical": ("title-length", "single-h1", "pages-titles", "pages-descriptions", "pages-h1", "pages-content"), "geo": ("content-in-html",)}
+_KEY = f"{_SITE} || rtrim(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')"
+
+
+@query(f"""
+WITH f AS (SELECT page_id, url, {_SITE} AS site, {_KEY} AS key, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<h1[ >]')) AS h1, {_n_words(_PLAIN)} AS words, regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS description FROM pages),
+g AS (SELECT f.*, page_id = min(page_id) OVER (PARTITION BY site) AS is_home FROM f),
+t AS (SELECT g.*, (SELECT count(DISTINCT url) FROM g o WHERE o.site = g.site AND lower(o.title) = lower(g.title)) AS same_title, (SELECT count(DISTINCT url) FROM g o WHERE o.site = g.site AND lower(o.description) = lower(g.description)) AS same_description FROM g),
+bad AS (SELECT site, page_id, url, key, unnest(list_filter([CASE WHEN is_home AND title <> '' AND length(title) NOT BETWEEN 15 AND 60 THEN 'title-length' END, CASE WHEN is_home AND h1 <> 1 THEN 'single-h1' END, CASE WHEN is_home AND words < 150 THEN 'content-in-html' END,
+  CASE WHEN NOT is_home AND (title = '' OR same_title > 1) THEN 'pages-titles' END, CASE WHEN NOT is_home AND (description = '' OR same_description > 1) THEN 'pages-descriptions' END, CASE WHEN NOT is_home AND h1 <> 1 THEN 'pages-h1' END, CASE WHEN NOT is_home AND words < 100 THEN 'pages-content' END], lambda x: x IS NOT NULL)) AS rule FROM t),
+kept AS (SELECT *, row_number() OVER (PARTITION BY site, rule ORDER BY page_id, url) AS n FROM bad), i AS (SELECT key, count(DISTINCT site || rule) AS issues FROM kept WHERE n <= 6 GROUP BY key)
+SELECT page_id, substr(title, 1, 120) AS title, CAST(h1 AS BIGINT) AS h1, words, coalesce(issues, 0) AS issues FROM f LEFT JOIN i USING (key)""")
+def issues_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page table with the issues that name each page, from the findings' evidence: seven rules, at most six pages a finding."""
+    p = table(spark, sf_dir, "pages")
+    rules = [r for m, ids in _PAGE_RULES.items() for r in engine.C.rules((m,)) if r.id in ids]
+    found = engine.evaluate(engine.sites(engine.page_responses(p), parts=frozenset({"evidence"})), rules).where("finding is not null")
+    evidence = found.select(F.concat_ws(" ", "site", "finding.id").alias("finding"), F.explode("finding.evidence").alias("e")).select("finding", "e.url")
+    facts = parsed(p).select("page_id", "url", F.col("dom.title_line").alias("title"), F.col("dom.h1_text").alias("headline"), F.col("dom.h1").cast("long").alias("h1"), T.word_count(F.col("dom.text")).alias("words"))
+    return P.page_table(facts, evidence, "page_id").select("page_id", "title", "h1", "words", "issues")
+
+
 _ROBOTS = [
     ("a", "User-agent: *\nDisallow: /private\nAllow: /private/open\nSitemap: https://a.test/s.xml"),
     ("b", "user-agent: GPTBot\nuser-agent: Googlebot\nDisallow: /\n\nUser-agent: *\nAllow: /"),
