@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import crc_mod, free_name, in_arrow, slices
+from .common import crc_mod, free_name, in_arrow, release_memory, slices
 from .ngrams import char_ngrams, split_words
 
 BUCKETS = 1 << 17
@@ -85,7 +85,7 @@ def _rows(texts: list[str | None], buckets: int) -> list[tuple]:
         share = np.bincount(where, weights=np.repeat(times, m), minlength=len(feature))
         cuts = np.searchsorted(feature // buckets, np.arange(1, n))
         for f, s in zip(np.split(feature % buckets, cuts), np.split(share, cuts), strict=True):
-            out.append((f, s / max(s.sum(), 1)))
+            out.append((f.astype(np.int32), s / max(s.sum(), 1)))
     return out
 
 
@@ -152,7 +152,10 @@ def fit(docs: DataFrame, per_language: int = 700, doc_id: str = "doc_id", text:
     unit = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(unit < F.coalesce(F.try_element_at(rate, F.col("_lang")), F.lit(0.0)))
     sample = sorted(sample.distinct().toLocalIterator(), key=lambda r: (str(r["_id"]), r["_lang"], r["_text"]))
-    return train([r["_text"] for r in sample], [r["_lang"] for r in sample], **options)
+    model = train([r["_text"] for r in sample], [r["_lang"] for r in sample], **options)
+    del sample
+    release_memory()  # the driver goes on with other work
+    return model
 
 
 def log_odds(texts: pa.Array, model: Model, chunk: int = 10_000) -> tuple:
