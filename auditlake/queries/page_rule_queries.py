@@ -1,0 +1,60 @@
+"""The rules over every site of the pages table, their verdicts found again by SQL from markup.
+
+The table holds neither headers nor files beside the pages, so rules on those have one verdict everywhere; rules whose
+part is absent (probes, rendering, robots lines, measurements) do not apply and have no row in either engine.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans import catalogue as C
+from ..plans import engine
+from . import rule_fixtures as R
+from .registry import query, table
+from .rule_queries import _PLAIN, _SITE, _n_words, _unescape
+
+_BLOCK = "p|h[1-6]|div|ul|ol|table|article|section|footer|nav|aside|header|form|blockquote"
+_CUT = rf"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(</?(?:{_BLOCK}|body)[ >])', '</p>\1', 'g')"
+#: Paragraphs as a browser closes them: at the next block, whatever closes it in the markup.
+_PARAGRAPHS = _unescape("regexp_replace(x, '<[^>]*>', '', 'g')")
+_PS = rf"list_transform(regexp_extract_all({_CUT}, '(?s)<p>(.*?)</p>', 1), lambda x: trim(regexp_replace({_PARAGRAPHS}, '\s+', ' ', 'g')))"
+
+_GEO = R._GEO | {"content-in-html": f"{_n_words(_PLAIN)} >= 150", "citable-passage": R._some(_PS, f"{R._words('x')} BETWEEN 40 AND 200")}
+_CONTENT = {k: v for k, v in R._CONTENT.items() if k not in ("content-depth", "readability")} | {"copyright-year": "coalesce(TRY_CAST(regexp_extract(html, '(?:©|&copy;|\\(c\\)|copyright)[^0-9<]{0,20}([0-9]{4})', 1) AS INT) >= 2023, true)"}
+_BY_MODULE = {"technical": R._TECHNICAL, "geo": _GEO, "content": _CONTENT, "marketing": R._MARKETING, "social": R._SOCIAL}
+_KINDS = {"string": "VARCHAR", "boolean": "BOOLEAN", "int": "INT", "double": "DOUBLE"}
+_GIVEN = {"site": _SITE, "url": "url", "html": "html", "status": "200", "truncated": "strlen(html) > 2000000", "broken": "0"}
+_HOMES = "(SELECT " + ", ".join(f"{_GIVEN.get(k, f'CAST(NULL AS {_KINDS[R._type(k)]})')} AS {k}" for k in R._HOMES[0]) + f" FROM (SELECT *, page_id = min(page_id) OVER (PARTITION BY {_SITE}) AS is_home FROM pages) WHERE is_home) v"
+_INNER_IDS = ("pages-titles", "pages-descriptions", "pages-h1", "pages-content", "internal-redirects")
+
+
+def _wanted() -> list[C.Rule]:
+    of_home = [r for m, own in _BY_MODULE.items() for r in C.rules((m,)) if r.id in own]
+    return of_home + [r for r in C.rules(("technical", "crawl")) if r.id in _INNER_IDS]
+
+
+def _sql() -> str:
+    pairs = ", ".join(f"{{'module': '{m}', 'id': '{k}', 'passed': {v}}}" for m, own in _BY_MODULE.items() for k, v in own.items())
+    title = _unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+    return rf"""
+WITH h AS (SELECT * FROM {_HOMES}), f AS (SELECT *, {R._READ}, coalesce(regexp_extract_all(sitemap, '<loc>([^<]*)</loc>', 1), []) AS locs FROM h),
+g AS (SELECT *, array_to_string(ps, ' ') AS p, list_distinct(list_filter(list_transform(hrefs, lambda x: regexp_extract(x, '^https?://(www[.])?(facebook|linkedin)[.]com/[a-z]', 2)), lambda x: x <> '')) AS platforms FROM f),
+own AS (SELECT site, u.module AS module, u.id AS id, u.passed AS passed FROM (SELECT site, unnest([{pairs}]) AS u FROM g)),
+pf AS (SELECT page_id, url, {_SITE} AS site, trim(regexp_replace({title}, '\s+', ' ', 'g')) AS title, regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS description, len(regexp_extract_all(html, '<h1[ >]')) AS h1, {_n_words(_PLAIN)} AS words FROM pages),
+pg AS (SELECT *, page_id = min(page_id) OVER (PARTITION BY site) AS is_home FROM pf),
+pt AS (SELECT *, (SELECT count(DISTINCT url) FROM pg o WHERE o.site = pg.site AND lower(o.title) = lower(pg.title)) AS t, (SELECT count(DISTINCT url) FROM pg o WHERE o.site = pg.site AND lower(o.description) = lower(pg.description)) AS d FROM pg),
+inn AS (SELECT site, bool_and(title <> '' AND t = 1) AS titles, bool_and(description <> '' AND d = 1) AS descriptions, bool_and(h1 = 1) AS h1s, bool_and(words >= 100) AS contents FROM pt WHERE NOT is_home GROUP BY site),
+every AS (SELECT * FROM own UNION ALL SELECT site, u.module, u.id, u.passed FROM (SELECT site, unnest([{{'module': 'technical', 'id': 'pages-titles', 'passed': titles}}, {{'module': 'technical', 'id': 'pages-descriptions', 'passed': descriptions}}, {{'module': 'technical', 'id': 'pages-h1', 'passed': h1s}},
+  {{'module': 'technical', 'id': 'pages-content', 'passed': contents}}, {{'module': 'crawl', 'id': 'internal-redirects', 'passed': true}}]) AS u FROM inn)),
+w AS (SELECT * FROM (VALUES {", ".join(f"('{r.module}', '{r.id}', {r.weight}, '{r.severity}')" for r in _wanted())}) v(module, id, weight, severity))
+SELECT site, module, id, CAST(weight AS INT) AS weight, passed, CASE WHEN NOT passed THEN severity END AS severity FROM every JOIN w USING (module, id) WHERE passed IS NOT NULL"""
+
+
+@query(_sql())
+def page_rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, verdict and severity of about eighty rules for every site of the pages table."""
+    parts = engine.PARTS - {"evidence", "citation"}
+    o = engine.evaluate(engine.sites(engine.page_responses(table(spark, sf_dir, "pages")), parts=parts), _wanted())
+    return o.select("site", "module", "id", "weight", "passed", F.col("finding.severity").alias("severity"))
