@@ -167,10 +167,18 @@ def is_blocked_address(ip: Column) -> Column:
 def without_dots(p: Column) -> Column:
     """A path that begins with a slash, its . and .. segments worked off; they may be written with %2e."""
     one, two = F.lit("(?i)^(\\.|%2e)\\z"), F.lit("(?i)^(\\.|%2e){2}\\z")
-    segments = F.split(F.substring(p, 2, 1 << 30), "/", -1)
+    return _once(F.split(F.substring(p, 2, 1 << 30), "/", -1), lambda segments: _worked_off(segments, one, two))
+
+
+def _worked_off(segments: Column, one: Column, two: Column) -> Column:
     kept = F.aggregate(segments, F.lit(""), lambda acc, x: F.when(F.rlike(x, two), F.regexp_replace(acc, r"/[^/]*\z", "")).when(F.rlike(x, one), acc).otherwise(F.concat(acc, F.lit("/"), x)))
     last = F.element_at(segments, -1)
-    return F.concat(kept, F.when(F.rlike(last, one) | F.rlike(last, two) | (kept == ""), "/").otherwise(""))
+    return _once(kept, lambda k: F.concat(k, F.when(F.rlike(last, one) | F.rlike(last, two) | (k == ""), "/").otherwise("")))
+
+
+def _once(value: Column, f) -> Column:
+    """f(value) with value evaluated a single time: a plan repeats an expression wherever it is used."""
+    return F.transform(F.array(value), f)[0]
 
 
 def resolve(href: Column, base: Column) -> Column:
@@ -179,23 +187,27 @@ def resolve(href: Column, base: Column) -> Column:
     Blanks around it and line ends and tabs inside count for nothing, backslashes are slashes; scheme and host are
     lower-cased, default ports dropped, an empty path is a slash.
     """
-    r = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]+", "")
-    r = F.regexp_replace(r, r"#(?s).*\z", "")
-    own, has_scheme = F.regexp_extract(base, r"^([^?#]*)", 1), r.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
-    slashed = F.concat(F.replace(F.regexp_extract(r, r"^([^?]*)", 1), F.lit("\\"), F.lit("/")), F.regexp_extract(r, r"(\?(?s).*)\z", 1))
-    b_scheme, b_auth = scheme(base), F.regexp_extract(own, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/]*)", 1)
-    b_path = F.coalesce(F.nullif(F.regexp_extract(own, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(/.*)\z", 1), F.lit("")), F.lit("/"))
-    b_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
-    root = F.concat(b_scheme, F.lit("://"), b_auth)
-    full = (
-        F.when(has_scheme, F.when(r.rlike(r"(?i)^https?:[/\\]{2}"), slashed)).when(slashed.startswith("//"), F.concat(b_scheme, F.lit(":"), slashed)).when(slashed.startswith("/"), F.concat(root, slashed))
-        .when(slashed == "", F.concat(root, b_path, b_query)).when(slashed.startswith("?"), F.concat(root, b_path, slashed)).otherwise(F.concat(root, F.regexp_replace(b_path, r"[^/]*\z", ""), slashed))
-    )
-    parts = r"^([a-zA-Z]+)://(?:[^/?@]*@)?([^/?:]*)(?::([0-9]*))?(/[^?]*)?(\?(?s).*)?\z"
-    s, h, port, p, q = (F.regexp_extract(full, parts, i) for i in range(1, 6))
-    s = F.lower(s)
-    port = F.when((port == "") | ((s == "http") & (port == "80")) | ((s == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
-    return F.when((h != "") & s.isin("http", "https"), F.concat(s, F.lit("://"), F.lower(h), port, without_dots(F.when(p == "", "/").otherwise(p)), F.when(q == "?", "").otherwise(q)))
+    clean = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+\z|(?<!^)[\t\n\r]+", ""), r"#(?s).*\z", "")
+    slashed = lambda r: F.concat(F.replace(F.regexp_extract(r, r"^([^?]*)", 1), F.lit("\\"), F.lit("/")), F.regexp_extract(r, r"(\?(?s).*)\z", 1))
+    of_base = F.struct(scheme(base).alias("scheme"), F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1).alias("host"), F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1).alias("query"))
+
+    def full(r: Column, b: Column) -> Column:
+        root, path = F.concat(b["scheme"], F.lit("://"), b["host"]), F.when(b["path"] == "", "/").otherwise(b["path"])
+        return (
+            F.when(r.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.when(r.rlike(r"(?i)^https?://"), r)).when(r.startswith("//"), F.concat(b["scheme"], F.lit(":"), r)).when(r.startswith("/"), F.concat(root, r)).when(r == "", F.concat(root, path, b["query"]))
+            .when(r.startswith("?"), F.concat(root, path, r)).otherwise(F.concat(root, F.regexp_replace(path, r"[^/]*\z", ""), r))
+        )
+
+    def normal(u: Column) -> Column:
+        parts = r"^([a-zA-Z]+)://(?:[^/?@]*@)?([^/?:]*)(?::([0-9]*))?(/[^?]*)?(\?(?s).*)?\z"
+        return _once(F.struct(*[F.lower(F.regexp_extract(u, parts, i)).alias(n) if i < 3 else F.regexp_extract(u, parts, i).alias(n) for i, n in enumerate(("s", "h", "port", "p", "q"), 1)]), joined)
+
+    def joined(x: Column) -> Column:
+        port = F.when((x["port"] == "") | ((x["s"] == "http") & (x["port"] == "80")) | ((x["s"] == "https") & (x["port"] == "443")), "").otherwise(F.concat(F.lit(":"), x["port"]))
+        dots = F.when(x["p"] == "", "/").when(~x["p"].rlike(r"(?i)/(\.|%2e)"), x["p"]).otherwise(without_dots(x["p"]))  # most paths have none to work off
+        return F.when((x["h"] != "") & x["s"].isin("http", "https"), F.concat(x["s"], F.lit("://"), x["h"], port, dots, F.when(x["q"] == "?", "").otherwise(x["q"])))
+
+    return _once(of_base, lambda b: _once(_once(clean, slashed), lambda r: _once(full(r, b), normal)))
 
 
 def network_range(net: str, bits: int) -> tuple[int, int]:
@@ -219,7 +231,7 @@ def social_profile(url: Column) -> Column:
     segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
     read = F.struct(platform_of(host(url)).alias("k"), segments.alias("segments"), scheme(url).isin("http", "https").alias("web"), F.nullif(F.regexp_extract(part(url, 5), r"[?&]id=([^&]+)", 1), F.lit("")).alias("id"))
     # Bound once: each part is used many times below, and the plan would repeat it each time.
-    return F.transform(F.array(read), _profile)[0]
+    return _once(read, _profile)
 
 
 def _profile(read: Column) -> Column:
