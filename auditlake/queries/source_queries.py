@@ -10,6 +10,8 @@ from ..operators import crawl as K
 from ..operators import readers as R
 from ..operators import vitals as V
 from ..sources.anchors import with_hrefs
+from ..sources.tables import read_events, shared_path
+from ..streaming import sink, steps, windows
 from .registry import query, table
 from .url_queries import _BARE, _K2
 
@@ -124,3 +126,43 @@ def vitals_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     speed = e.where(i % 3 > 0).select("event_id", (i % 900).alias("lcp_ms"), ((i % 40) / 100).alias("cls"), F.when(i % 4 == 0, i % 600).alias("inp_ms"))
     browser = e.where(i % 7 > 0).select("event_id", (i % 5 == 0).alias("light"), (u % 500).alias("lcp_ms"), (u % 300).alias("cls_milli"), F.when(u % 2 == 0, u % 700).otherwise(0).alias("inp_ms"))
     return V.merged(speed, browser, "event_id").withColumn("cls", F.round("cls", 6))
+
+
+def in_slices(events: DataFrame, ts: str = "ts", n: int = 4) -> str:
+    """A folder with the events in n files by time, one after the other, as a stream finds them; a row of the year 2100 lets the watermark pass all."""
+    spark = events.sparkSession
+    path, us = shared_path(spark, "slices"), F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(us, [(i + 1) / n for i in range(n - 1)], 10_000)).first()[0] or []
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        own = events if lo is None else events.where(us > lo)
+        (own if hi is None else own.where(us <= hi)).coalesce(1).write.mode("append").parquet(path)
+    last = events.limit(0).unionByName(spark.range(1).select(F.lit("2100-01-01").cast("timestamp").alias(ts)), allowMissingColumns=True)
+    last.select(*[F.col(c).cast(t) for c, t in events.dtypes]).write.mode("append").parquet(path)
+    return path
+
+
+_PATIENCE = 5 * 86_400_000_000
+_KIND = "CASE CAST(json_extract(props, '$.k') AS INT) % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'done' ELSE 'warn' END"
+
+
+@query(f"""
+WITH e AS (SELECT user_id AS scan_id, event_type AS step, epoch_us(ts) AS us, {_KIND} AS kind FROM events), n AS (SELECT *, lead(kind) OVER w AS then_kind, lead(us) OVER w - us AS gap FROM e WINDOW w AS (PARTITION BY scan_id, step ORDER BY us, kind))
+SELECT scan_id, step, us AS began_us, CASE WHEN gap <= {_PATIENCE} THEN gap END AS took_us, CASE WHEN gap IS NULL OR gap > {_PATIENCE} THEN 'lost' ELSE then_kind END AS outcome FROM n WHERE kind = 'start' AND (gap IS NULL OR gap > {_PATIENCE} OR then_kind <> 'start')""")
+def step_times_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps paired over a stream of four batches, those that never end given out as lost: equal to one look at all events."""
+    k = F.get_json_object("props", "$.k").cast("int") % 3
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("scan_id"), F.col("event_type").alias("step"), F.col("ts").cast("timestamp").alias("ts"), F.when(k == 0, "start").when(k == 1, "done").otherwise("warn").alias("kind"))
+    stream = windows.event_stream(spark, in_slices(e), e.schema)
+    return windows.drained(steps.step_times(stream, patience_us=_PATIENCE), "auditlake_steps", mode="append")
+
+
+@query("SELECT event_type AS event, event_id, user_id, value FROM events")
+def events_through_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as server-sent events by a stream in batches, and read back."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), "event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    out = shared_path(spark, "sse")
+    stream = windows.event_stream(spark, in_slices(e), e.schema).where("event is not null").drop("ts")
+    sink.written(stream, f"{out}/events", f"{out}/state")
+    back = read_events(sink.committed(spark, f"{out}/events"))
+    return back.select("event", F.from_json("data", "event_id long, user_id long, value double").alias("d")).select("event", "d.event_id", "d.user_id", "d.value")
