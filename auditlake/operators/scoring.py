@@ -33,9 +33,12 @@ def earned() -> Column:
 
 
 def module_scores(outcomes: DataFrame, unchecked: DataFrame | None = None) -> DataFrame:
-    """site, module, score, status, n_passed, n_findings. unchecked: site, module of what could not be checked."""
+    """site, module, score, status, n_passed, n_findings. unchecked: site, module of what could not be checked.
+
+    Sums of credits depend on their order in the last bits; rounded to nine places first, a half is a half on any cluster.
+    """
     agg = outcomes.groupBy("site", "module").agg(
-        T.js_round(F.try_divide(F.sum(earned()) * 100, F.nullif(F.sum("weight").cast("double"), F.lit(0.0)))).alias("score"), F.count_if("passed").alias("n_passed"), F.count("finding").alias("n_findings")
+        T.js_round(F.round(F.try_divide(F.sum(earned()) * 100, F.nullif(F.sum("weight").cast("double"), F.lit(0.0))), 9)).alias("score"), F.count_if("passed").alias("n_passed"), F.count("finding").alias("n_findings")
     )
     if unchecked is None:
         return agg.withColumn("status", F.lit("ok"))

@@ -128,7 +128,7 @@ _H = r"lower(regexp_extract(url, '://([^/?#:]*)', 1))"
 
 
 @query(f"""
-WITH p AS (SELECT page_id, CAST(page_id % 5 AS INT) AS site, {_H} AS h FROM pages),
+WITH p AS (SELECT page_id, CAST(page_id // 8 AS INT) AS site, {_H} AS h FROM pages),
 n AS (SELECT site, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END AS source_ord, page_id AS pos, CASE WHEN page_id % 3 = 0 THEN 'shop.' || h ELSE h END AS domain FROM p),
 r AS (SELECT *, {_registrable("domain")} AS reg FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY site, reg ORDER BY source_ord, pos) AS n FROM r WHERE reg <> 'example.com'),
 q AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY source_ord, pos) AS place, domain, CASE WHEN source_ord = 0 THEN 'ai' ELSE 'search' END AS source FROM k WHERE n = 1)
@@ -136,7 +136,7 @@ SELECT * FROM q WHERE place <= 6""")
 def competitor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rivals named by a model, then by a search; one of each registrable domain."""
     h = U.host(F.col("url"))
-    p = table(spark, sf_dir, "pages").select((F.col("page_id") % 5).cast("int").alias("site"), F.lit("www.example.com").alias("own"), (F.col("page_id") % 2).cast("int").alias("source_ord"), F.when(F.col("page_id") % 2 == 0, "ai").otherwise("search").alias("source"), F.col("page_id").alias("pos"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("shop."), h)).otherwise(h).alias("domain"))
+    p = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 8).cast("int").alias("site"), F.lit("www.example.com").alias("own"), (F.col("page_id") % 2).cast("int").alias("source_ord"), F.when(F.col("page_id") % 2 == 0, "ai").otherwise("search").alias("source"), F.col("page_id").alias("pos"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("shop."), h)).otherwise(h).alias("domain"))
     return intake.candidates(p, 6)
 
 
@@ -167,8 +167,8 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_table(facts, evidence).drop("headline")
 
 
-_TRUTH = "(SELECT CAST(l_suppkey % 12 AS INT) AS site, CAST(l_partkey % 9 AS INT) AS id, CASE WHEN (l_suppkey % 12 + l_partkey % 9) % 3 = 0 THEN 'absent' ELSE 'expect' END AS kind, l_suppkey % 12 % 2 = 0 AS exact FROM lineitem WHERE l_orderkey % 5 = 0 AND l_partkey % 9 < 6)"
-_SEEN = "(SELECT DISTINCT CAST(l_suppkey % 12 AS INT) AS site, CAST(l_partkey % 9 AS INT) AS id FROM lineitem WHERE (l_suppkey + l_partkey) % 4 <> 1)"
+_TRUTH = "(SELECT CAST(l_orderkey AS INT) AS site, CAST(l_partkey % 9 AS INT) AS id, CASE WHEN (l_orderkey + l_partkey % 9) % 3 = 0 THEN 'absent' ELSE 'expect' END AS kind, l_orderkey % 2 = 0 AS exact FROM lineitem WHERE l_orderkey % 5 = 0 AND l_partkey % 9 < 6)"
+_SEEN = "(SELECT DISTINCT CAST(l_orderkey AS INT) AS site, CAST(l_partkey % 9 AS INT) AS id FROM lineitem WHERE (l_suppkey + l_partkey) % 4 <> 1)"
 
 
 @query(f"""
@@ -176,7 +176,7 @@ WITH t AS (SELECT DISTINCT * FROM {_TRUTH}), s AS {_SEEN}, j AS (SELECT coalesce
 SELECT site, count(*) FILTER (kind = 'expect') AS n_expected, count(*) FILTER (kind = 'expect' AND hit) AS n_found, count(*) FILTER (hit AND (kind = 'absent' OR (kind IS NULL AND exact))) AS n_false FROM j JOIN x USING (site) GROUP BY site""")
 def findings_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings against expected, absent and exact ones, by a full outer join."""
-    site, id = (F.col("l_suppkey") % 12).cast("int"), (F.col("l_partkey") % 9).cast("int")
+    site, id = F.col("l_orderkey").cast("int"), (F.col("l_partkey") % 9).cast("int")
     lines = table(spark, sf_dir, "lineitem")
     truth = lines.where("l_orderkey % 5 = 0 and l_partkey % 9 < 6").select(site.alias("site"), id.alias("id"), F.when((site + id) % 3 == 0, "absent").otherwise("expect").alias("kind"), (site % 2 == 0).alias("exact"))
     return pages.compared(lines.where("(l_suppkey + l_partkey) % 4 <> 1").select(site.alias("site"), id.alias("id")), truth)
@@ -204,21 +204,21 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT DISTINCT o_custkey % 20 AS site, o_orderstatus || o_orderpriority AS value FROM orders WHERE o_orderkey % 7 = 0), t AS (SELECT DISTINCT o_custkey % 20 AS site, o_orderkey % 3 AS rival, o_orderstatus || o_orderpriority AS value FROM orders WHERE o_orderkey % 7 = 1)
+WITH o AS (SELECT DISTINCT o_custkey AS site, o_orderstatus || o_orderpriority AS value FROM orders WHERE o_orderkey % 7 = 0), t AS (SELECT DISTINCT o_custkey AS site, o_orderkey % 3 AS rival, o_orderstatus || o_orderpriority AS value FROM orders WHERE o_orderkey % 7 = 1)
 SELECT t.site, rival, count(o.value) AS n_shared FROM t LEFT JOIN o ON o.site = t.site AND o.value = t.value GROUP BY t.site, rival""")
 def shared_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("site"), (F.col("o_orderkey") % 3).alias("rival"), F.concat("o_orderstatus", "o_orderpriority").alias("value"), "o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("site"), (F.col("o_orderkey") % 3).alias("rival"), F.concat("o_orderstatus", "o_orderpriority").alias("value"), "o_orderkey")
     return pages.shared_values(o.where("o_orderkey % 7 = 0").select("site", "value"), o.where("o_orderkey % 7 = 1").select("site", "rival", "value"))
 
 
 @query("""
-SELECT DISTINCT o_custkey % 9 AS site, 'orders' AS what, o_orderpriority AS why FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey % 9, 'customers', c_mktsegment FROM customer UNION SELECT s_suppkey % 9, 'suppliers', 'late' FROM supplier""")
+SELECT DISTINCT o_custkey AS site, 'orders' AS what, o_orderpriority AS why FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey, 'customers', c_mktsegment FROM customer UNION SELECT s_suppkey, 'suppliers', 'late' FROM supplier""")
 def could_not_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     return pages.could_not_check(
-        t("orders").where("o_orderstatus = 'F'").select((F.col("o_custkey") % 9).alias("site"), F.lit("orders").alias("what"), F.col("o_orderpriority").alias("why")),
-        t("customer").select((F.col("c_custkey") % 9).alias("site"), F.lit("customers").alias("what"), F.col("c_mktsegment").alias("why")),
-        t("supplier").select((F.col("s_suppkey") % 9).alias("site"), F.lit("suppliers").alias("what"), F.lit("late").alias("why")),
+        t("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("site"), F.lit("orders").alias("what"), F.col("o_orderpriority").alias("why")),
+        t("customer").select(F.col("c_custkey").alias("site"), F.lit("customers").alias("what"), F.col("c_mktsegment").alias("why")),
+        t("supplier").select(F.col("s_suppkey").alias("site"), F.lit("suppliers").alias("what"), F.lit("late").alias("why")),
     )
 
 

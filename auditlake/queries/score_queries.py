@@ -1,4 +1,4 @@
-"""Scores, rankings and comparisons over outcomes that both engines derive from lineitem in the same way."""
+"""Scores, rankings and comparisons over outcomes that both engines derive from lineitem in the same way: a site an order."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ OUTCOMES_SQL = f"""
 SELECT site, {_CASE('k', [k.split(':')[0] for k in _IDS])} AS module, {_CASE('k', [str(C.MODULES.index(k.split(':')[0])) for k in _IDS])} AS module_text, k AS check_ord, {_CASE('k', [k.split(':')[1] for k in _IDS])} AS id,
   1 + a % 20 AS weight, b % 3 <> 0 AS passed, CASE WHEN b % 3 = 0 AND a % 4 = 0 THEN (a % 13) / 10.0 - 0.1 END AS credit, b % 3 = 0 AND a % 4 <> 0 AS found,
   {_CASE('a % 4', C.SEVERITIES)} AS severity, {_CASE('b % 5 % 3', C.EFFORTS)} AS effort
-FROM (SELECT l_orderkey % 300 AS site, l_partkey % {len(_IDS)} AS k, max(l_partkey) AS a, max(l_suppkey + l_linenumber) AS b FROM lineitem GROUP BY l_orderkey % 300, l_partkey % {len(_IDS)}) g"""
+FROM (SELECT l_orderkey AS site, (l_partkey + 11 * j) % {len(_IDS)} AS k, max(l_partkey + j) AS a, max(l_suppkey + l_linenumber + j) AS b FROM lineitem CROSS JOIN (VALUES (0), (1), (2)) v(j) GROUP BY l_orderkey, (l_partkey + 11 * j) % {len(_IDS)}) g"""
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _O = f"o AS ({OUTCOMES_SQL})"
-_M = f"""{_O}, m AS (SELECT site, module, CAST(floor(100 * sum(weight * CASE WHEN passed THEN 1.0 ELSE least(1.0, greatest(0.0, coalesce(CAST(credit AS DOUBLE), 0.0))) END) / CAST(sum(weight) AS DOUBLE) + 0.5) AS BIGINT) AS score,
+_M = f"""{_O}, m AS (SELECT site, module, CAST(floor(round(100 * sum(weight * CASE WHEN passed THEN 1.0 ELSE least(1.0, greatest(0.0, coalesce(CAST(credit AS DOUBLE), 0.0))) END) / CAST(sum(weight) AS DOUBLE), 9) + 0.5) AS BIGINT) AS score,
   count(*) FILTER (passed) AS n_passed, count(*) FILTER (found) AS n_findings FROM o GROUP BY site, module)"""
 _SEV = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 _EFF = "CASE effort WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
@@ -164,12 +164,12 @@ def site_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A site's rivals are the three after it.
-_RIVAL = "v AS (SELECT (m.site - d.d + 300) % 300 AS site, m.site AS rival, m.module, m.score FROM m CROSS JOIN (VALUES (1), (2), (3)) d(d))"
+_RIVAL = "v AS (SELECT m.site - d.d AS site, m.site AS rival, m.module, m.score FROM m CROSS JOIN (VALUES (1), (2), (3)) d(d))"
 
 
 def _of_rivals(df: DataFrame) -> DataFrame:
     days = df.sparkSession.range(1, 4).withColumnRenamed("id", "d")
-    return df.withColumnRenamed("site", "rival").join(F.broadcast(days)).withColumn("site", (F.col("rival") - F.col("d") + 300) % 300).drop("d")
+    return df.withColumnRenamed("site", "rival").join(F.broadcast(days)).withColumn("site", F.col("rival") - F.col("d")).drop("d")
 
 
 @query(f"""WITH {_M}, {_RIVAL}, j AS (SELECT v.*, m.score AS mine FROM v JOIN m ON m.site = v.site AND m.module = v.module)
@@ -179,7 +179,7 @@ def competitor_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.score_gaps(m, _of_rivals(m))
 
 
-@query(f"""WITH {_O}, x AS (SELECT site, module || ':' || id AS id FROM o WHERE found), p AS (SELECT (site - d.d + 300) % 300 AS site, site AS rival, module || ':' || id AS id FROM o CROSS JOIN (VALUES (1), (2), (3)) d(d) WHERE passed),
+@query(f"""WITH {_O}, x AS (SELECT site, module || ':' || id AS id FROM o WHERE found), p AS (SELECT site - d.d AS site, site AS rival, module || ':' || id AS id FROM o CROSS JOIN (VALUES (1), (2), (3)) d(d) WHERE passed),
 n AS (SELECT site, count(DISTINCT rival) AS n FROM p GROUP BY site), c AS (SELECT x.site, x.id, count(*) AS n_pass FROM x JOIN p ON p.site = x.site AND p.id = x.id GROUP BY ALL)
 SELECT site, id, n_pass, place FROM (SELECT c.*, row_number() OVER (PARTITION BY c.site ORDER BY n_pass DESC, id) AS place FROM c JOIN n ON n.site = c.site WHERE n_pass >= ceil(n / 2.0)) WHERE place <= 4""")
 def competitor_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,14 +189,14 @@ def competitor_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.common_checks(failed, passed).select("site", "id", "n_pass", "place")
 
 
-@query(f"""WITH {_O}, a AS (SELECT DISTINCT site, effort || severity AS value FROM o WHERE found AND check_ord % 3 = 0), t AS (SELECT DISTINCT (site - d.d + 300) % 300 AS site, site AS rival, value FROM a CROSS JOIN (VALUES (1), (2), (3)) d(d)),
+@query(f"""WITH {_O}, a AS (SELECT DISTINCT site, effort || severity AS value FROM o WHERE found AND check_ord % 3 = 0), t AS (SELECT DISTINCT site - d.d AS site, site AS rival, value FROM a CROSS JOIN (VALUES (1), (2), (3)) d(d)),
 c AS (SELECT site, value, count(*) AS n FROM t GROUP BY ALL) SELECT site, value, n, place FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, value) AS place FROM c WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.site = c.site AND a.value = c.value)) WHERE place <= 5""")
 def competitor_only_theirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = outcomes(spark, sf_dir).where("finding is not null and check_ord % 3 = 0").select("site", F.concat("finding.effort", "finding.severity").alias("value")).distinct()
     return R.only_theirs(a, _of_rivals(a)).select("site", "value", "n", "place")
 
 
-@query(f"""WITH {_O}, w AS (SELECT site, sum(weight) AS value FROM o GROUP BY site), t AS (SELECT (site - d.d + 300) % 300 AS site, value FROM w CROSS JOIN (VALUES (1), (2), (3)) d(d)),
+@query(f"""WITH {_O}, w AS (SELECT site, sum(weight) AS value FROM o GROUP BY site), t AS (SELECT site - d.d AS site, value FROM w CROSS JOIN (VALUES (1), (2), (3)) d(d)),
 m AS (SELECT site, CAST(floor(median(value) + 0.5) AS BIGINT) AS median FROM t GROUP BY site) SELECT m.site, m.median, CAST(w.value AS BIGINT) AS value FROM m JOIN w USING (site) WHERE m.median >= w.value * 1.05""")
 def competitor_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = outcomes(spark, sf_dir).groupBy("site").agg(F.sum("weight").alias("value"))
