@@ -32,24 +32,35 @@ def refunded(hits: DataFrame, refunds: DataFrame, ts: str = "ts") -> DataFrame:
     return left.unionByName(r.select(bucket_of("refund").alias("bucket"), "us"))
 
 
+#: Into how many cells a window's length is cut.
+CELLS = 64
+
+
 def peek_all(asks: DataFrame, hits: DataFrame, key: str, ts: str = "ts", rules: list[tuple[str, str, int, int]] = RULES) -> DataFrame:
     """key, reason, retry_after_us for each ask (ip, domain, ts): the first rule that its moment breaks, null if it may go.
 
-    A window is open at its start and ends with the ask. Buckets are cut into stretches as long as the window, and a
-    hit goes to its own stretch and the next, so the bucket that all traffic shares is many small groups.
+    A window is open at its start and ends with the ask, so its count is what came up to the ask less what came up to its
+    start. Time is cut into cells of a 64th of the window: hits are counted by cell, the counts of a bucket's cells are
+    carried forward, and only within its own cell is a moment put among single hits. So the bucket that all traffic shares
+    is as many groups as there are cells, and what is walked in order is one row a cell.
     """
     asked = asks.select(F.col(key).alias("key"), micros(ts).alias("us"), F.coalesce("ip", F.lit("")).alias("ip"), F.coalesce("domain", F.lit("")).alias("domain"))
     found = None
     for place, (reason, kind, window, limit) in enumerate(rules):
-        own = hits.where(F.col("bucket").startswith("global" if kind == "global" else f"{kind}:"))
-        stretch = F.floor(F.col("us") / window)
-        # The window's count is what came up to now less what came up to its start: running sums, whatever it holds.
-        events = own.select("bucket", F.explode(F.array(stretch, stretch + 1)).alias("stretch"), "us", F.lit(None).cast(asked.schema["key"].dataType).alias("key"), F.lit(0).alias("mark"))
+        cell = F.floor(F.col("us") / (window // CELLS))
+        own = hits.where(F.col("bucket").startswith("global" if kind == "global" else f"{kind}:")).select("bucket", "us")
         marks = F.explode(F.array(F.struct(F.col("us").alias("us"), F.lit(1).alias("mark")), F.struct((F.col("us") - window).alias("us"), F.lit(2).alias("mark")))).alias("m")
-        rows = events.unionByName(asked.select(bucket_of(kind).alias("bucket"), stretch.alias("stretch"), "key", marks).select("bucket", "stretch", "m.us", "key", "m.mark"))
-        part, hit = Window.partitionBy("bucket", "stretch"), F.col("mark") == 0
+        marked = asked.select(bucket_of(kind).alias("bucket"), "key", marks).select("bucket", "m.us", "key", "m.mark")
+        rows = own.select("bucket", "us", F.lit(None).cast(asked.schema["key"].dataType).alias("key"), F.lit(0).alias("mark")).unionByName(marked).withColumn("cell", cell)
+        hit = F.col("mark") == 0
+        cells = rows.groupBy("bucket", "cell").agg(F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("us"))).alias("first"))
+        along = Window.partitionBy("bucket").orderBy("cell")
+        before = F.coalesce(F.sum("hits").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        after = F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+        part = Window.partitionBy("bucket", "cell")
         up, down = part.orderBy("us", ~hit).rowsBetween(Window.unboundedPreceding, 0), part.orderBy(F.desc("us"), hit).rowsBetween(Window.unboundedPreceding, 0)
         seen = rows.withColumn("n", F.count_if(hit).over(up)).withColumn("next", F.last(F.when(hit, F.col("us")), ignorenulls=True).over(down)).where("mark > 0")
+        seen = seen.join(cells.select("bucket", "cell", before.alias("before"), after.alias("after")), ["bucket", "cell"]).select("key", "mark", "us", (F.col("before") + F.col("n")).alias("n"), F.coalesce("next", "after").alias("next"))
         now, start = F.col("mark") == 1, F.col("mark") == 2
         counted = seen.groupBy("key").agg((F.max(F.when(now, F.col("n"))) - F.max(F.when(start, F.col("n")))).alias("n"), F.max(F.when(now, F.col("us"))).alias("us"), F.max(F.when(start, F.col("next"))).alias("oldest"))
         full = counted.where(F.col("n") >= limit).select("key", F.lit(place).alias("place"), F.lit(reason).alias("reason"), (window - (F.col("us") - F.coalesce("oldest", "us"))).alias("retry_after_us"))

@@ -44,24 +44,41 @@ def consume(requests: DataFrame, bucket: str, ts: str, tie: str, window: int, li
 
     limit: a number, or the column that holds each bucket's.
 
-    Grants depend on earlier grants, so each bucket is walked in order. A bucket's walk is one sorted stream in
-    one task that keeps ``limit`` times only; rows are never gathered.
+    Grants depend on earlier grants, so each bucket is walked in order, as one sorted stream in one task that keeps
+    ``limit`` times only. The walk goes from grant to grant: once a window is full, all requests up to the moment at which
+    its oldest grant leaves it are refused at once, found by bisection. Rows are never gathered.
     """
     ship(requests.sparkSession)
     rows = requests.withColumn("us", micros(ts)).repartition(bucket).sortWithinPartitions(bucket, "us", tie)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, granted = None, []
+        from collections import deque
+
+        import numpy as np
+
+        at, granted = object(), deque()
         for b in batches:
-            said = []
-            for key, us, most in zip(b[bucket], b["us"], [limit] * len(b) if isinstance(limit, int) else b[limit], strict=True):
-                if key != at:
-                    at, granted = key, []
-                granted = [t for t in granted if t > us - window]
-                ok = len(granted) < most
-                if ok:
-                    granted.append(us)
-                said.append(ok)
+            us, said = b["us"].to_numpy(), np.zeros(len(b), bool)
+            most = np.full(len(b), limit) if isinstance(limit, int) else b[limit].to_numpy()
+            name = b[bucket].to_numpy()
+            cuts = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), len(b)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if name[lo] != at:
+                    at, granted = name[lo], deque()
+                i = lo
+                while i < hi:
+                    while granted and granted[0] <= us[i] - window:
+                        granted.popleft()
+                    if len(granted) < most[i]:
+                        said[i] = True
+                        granted.append(int(us[i]))
+                        i += 1
+                    elif not granted:
+                        i = hi  # nothing is ever granted here
+                    else:
+                        i += int(np.searchsorted(us[i:hi], granted[0] + window))
             yield b.assign(granted=said)
 
     from pyspark.sql.types import BooleanType, StructField, StructType

@@ -24,7 +24,7 @@ def _full(reason: str, kind: str, window: int, limit: int, place: int) -> str:
 
 @query(f"""
 WITH e AS (SELECT event_id, epoch_us(ts) AS us, CAST(user_id % 60 AS VARCHAR) AS ip, CAST(user_id % 7 AS VARCHAR) AS domain, event_id % 25 = 3 AS back FROM events),
-a AS (SELECT * FROM e WHERE event_id % 10 = 0),
+a AS (SELECT * FROM e),
 h AS (SELECT 'global' AS bucket, us FROM e UNION ALL SELECT 'target:' || domain, us FROM e UNION ALL SELECT 'ip:' || ip, us FROM e WHERE NOT back UNION ALL SELECT 'refund:' || ip, us FROM e WHERE back),
 f AS ({" UNION ALL ".join(_full(*r, place=i) for i, r in enumerate(_RULES))}),
 b AS (SELECT event_id, min_by(reason, place) AS reason, min_by(wait, place) AS retry_after_us FROM f GROUP BY event_id)
@@ -33,7 +33,7 @@ def rate_limit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five rules over global, visitor, target and refund buckets; every scan leaves three hits, some are refunded."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 60).cast("string").alias("ip"), (F.col("user_id") % 7).cast("string").alias("domain"))
     hits = limits.refunded(limits.committed(e), e.where("event_id % 25 = 3"))
-    return limits.peek_all(e.where("event_id % 10 = 0"), hits, "event_id", rules=_RULES)
+    return limits.peek_all(e, hits, "event_id", rules=_RULES)
 
 
 _PROVIDER = "CASE CAST(user_id % 6 AS INT) WHEN 0 THEN 'llm' WHEN 1 THEN 'pagespeed' WHEN 2 THEN 'search' WHEN 3 THEN 'authority' WHEN 4 THEN 'instagram' ELSE 'other' END"

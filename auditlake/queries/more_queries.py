@@ -10,6 +10,7 @@ from ..functions.regex import every
 from ..operators import state
 from ..streaming import windows
 from .registry import SQL, query, rows, table
+from .state_queries import _stream
 
 # How profile pages say that they are missing or closed.
 NOT_FOUND = r"(this (page|content|account|profile) (isn'?t|is not|is no longer) available|page not found|doesn'?t exist|does not exist|couldn'?t find this (page|account)|sorry, this page isn'?t available|user not found)"
@@ -98,8 +99,7 @@ def vitals_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL.get("quota_consume"))
 def quota_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequential quota with state, over the events as a stream."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    events = _stream(spark, sf_dir).where("user_id is not null")
     counts = windows.running_limit(events, "user_id", "ts", state.DAY * 4, 3)
-    out = windows.drained(counts, "auditlake_quota", "append")
+    out = windows.drained(counts, "auditlake_quota")
     return out.groupBy("user_id").agg(F.sum("granted").alias("granted"), F.sum("refused").alias("refused"))

@@ -9,6 +9,7 @@ from ..operators import review, sinks, state
 from ..operators import scoring as S
 from ..streaming import windows
 from .registry import query, table
+from .source_queries import in_slices
 from .score_queries import _EFF, _F, _GRADE, _OV, _SEV, outcomes
 
 _END = "(SELECT max(epoch_us(ts)) FROM events)"
@@ -78,15 +79,17 @@ def step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    """The events as a stream of four batches by time and one that lets the watermark pass them all."""
+    e = table(spark, sf_dir, "events")
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows.event_stream(spark, in_slices(e), e.schema)
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL")
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits by hour over the events as a stream, until the files present are read."""
     s = windows.hits_per_window(_stream(spark, sf_dir), "event_type", "ts")
-    return windows.drained(s, "auditlake_hits").select(F.unix_micros("start").alias("start_us"), "event_type", "n")
+    return windows.drained(s, "auditlake_hits", mode="append").select(F.unix_micros("start").alias("start_us"), "event_type", "n")
 
 
 @query("""
@@ -96,7 +99,7 @@ SELECT user_id, min(us) AS start_us, count(*) AS n FROM s GROUP BY user_id, k"""
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's visits, six hours apart or more, over the events as a stream."""
     s = windows.sessions(_stream(spark, sf_dir), "user_id", "ts", "6 hours")
-    return windows.drained(s, "auditlake_sessions").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+    return windows.drained(s, "auditlake_sessions", mode="append").select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
 @query("""SELECT source, count(*) AS labelled, count(*) FILTER (bad AND quality = 0) AS hits, count(*) FILTER (bad AND quality = 1) AS false_alarms, count(*) FILTER (NOT bad AND quality = 0) AS missed

@@ -52,24 +52,21 @@ def running_limit(events: DataFrame, key: str, ts: str, window_us: int, limit: i
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {dict(events.dtypes)[key]}, granted long, refused long", "granted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """All that a stream gives for the files present, as a table of files in the shared folder.
 
-    A batch writes a folder of its own, so that one that is tried again replaces itself. In complete mode every
-    batch holds the whole result, and the last one is read.
+    A batch writes a folder of its own, so that one that is tried again replaces itself. In append mode a window comes out
+    once, when the watermark has passed it, and its state goes; those it has not passed yet stay out.
     """
     from ..sources.tables import shared_path
 
     spark, root = stream.sparkSession, shared_path(stream.sparkSession, name)
-    last = [-1]
+    wrote = []
 
     def write(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={k}")
-        last[0] = k
+        wrote.append(k)
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint or f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    if last[0] < 0:
-        return spark.createDataFrame([], stream.schema)
-    where = f"{root}/out/batch={last[0]}" if mode == "complete" else f"{root}/out/*"
-    return spark.read.schema(stream.schema).parquet(where)
+    return spark.read.schema(stream.schema).parquet(f"{root}/out/*") if wrote else spark.createDataFrame([], stream.schema)
