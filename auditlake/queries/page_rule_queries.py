@@ -26,7 +26,7 @@ _CONTENT = {k: v for k, v in R._CONTENT.items() if k not in ("content-depth", "r
 _BY_MODULE = {"technical": R._TECHNICAL, "geo": _GEO, "content": _CONTENT, "marketing": R._MARKETING, "social": R._SOCIAL}
 _KINDS = {"string": "VARCHAR", "boolean": "BOOLEAN", "int": "INT", "double": "DOUBLE"}
 _GIVEN = {"site": _SITE, "url": "url", "html": "html", "status": "200", "truncated": "strlen(html) > 2000000", "broken": "0"}
-_HOMES = "(SELECT " + ", ".join(f"{_GIVEN.get(k, f'CAST(NULL AS {_KINDS[R._type(k)]})')} AS {k}" for k in R._HOMES[0]) + f" FROM (SELECT *, page_id = min(page_id) OVER (PARTITION BY {_SITE}) AS is_home FROM pages) WHERE is_home) v"
+_HOMES = "(SELECT " + ", ".join(f"{_GIVEN.get(k, f'CAST(NULL AS {_KINDS[R._type(k)]})')} AS {k}" for k in R._HOMES[0] if k != "kind") + f" FROM (SELECT *, page_id = min(page_id) OVER (PARTITION BY {_SITE}) AS is_home FROM pages) WHERE is_home) v"
 _INNER_IDS = ("pages-titles", "pages-descriptions", "pages-h1", "pages-content", "internal-redirects")
 
 

@@ -1,4 +1,4 @@
-"""Every rule of the catalogue on small inline sites: the engine's outcomes against verdicts that SQL reads from the markup.
+"""Every rule of the catalogue on sites made of all pages: the engine's outcomes against verdicts that SQL reads from the markup.
 
 A healthy site is changed in one or two respects at a time. The same rows go to both engines; the SQL finds each
 rule's verdict by its own patterns over markup, headers and files, never from a list of answers.
@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..plans import catalogue as C
 from ..plans import engine
-from .registry import query
+from .registry import query, table
 
 _LOAF = "the loaf we bake at dawn is soft and warm and good to eat with salt or jam "
 _HEAVY = "organisational responsibilities necessitate internationalisation notwithstanding administrative considerations "
@@ -56,19 +56,19 @@ def _page(site: str, **changed) -> str:
     p = _PARTS | changed
     ld = "".join(f'<script type="application/ld+json">{x}</script>' for x in p["ld"])
     head = f'<title>{p["title"]}</title><meta name="description" content="{p["description"]}">' + "".join(p[k] for k in ("robots_meta", "viewport", "canonical", "og", "name", "alternates")) + ld + p["scripts"]
-    return f'<!doctype html>\n<html{p["lang"]}><head>{head}</head>\n<body>\n{p["nav"]}\n' + "\n".join(p[k] for k in _ORDER) + f'\n{p["footer"]}\n</body></html>'
+    return f'<!doctype html>\n<html{p["lang"]}><head>{head}</head>\n<body>\n{p["nav"]}\n' + "\n".join(p[k] for k in _ORDER) + f'\n<p>{{t}}</p>\n{p["footer"]}\n</body></html>'
 
 
 _BAKERY, _ARTICLE, _FIRM = _PARTS["ld"]
 _INNER_OK = {"title": "Rye bread", "h1": "<h1>Rye</h1>", "description": "About rye.", "canonical": '<link rel="canonical" href="https://{site}.test/{path}">', "ld": []}
 #: site: what differs from the healthy one. "inner": (path, final path, parts that differ) of further pages.
 _SITES: dict[str, dict] = {
-    "healthy": {}, "plain": {"url": "http://plain.test/", "http_to": "http://plain.test/", "alt_to": "http://www.plain.test/"}, "down": {"status": 503, "nf_status": 200, "broken": 3}, "noindex": {"robots_meta": '<meta name="robots" content="noindex">', "lang": ""},
+    "healthy": {}, "plain": {"url": "http://{site}.test/", "http_to": "http://{site}.test/", "alt_to": "http://www.{site}.test/"}, "down": {"status": 503, "nf_status": 200, "broken": 3}, "noindex": {"robots_meta": '<meta name="robots" content="noindex">', "lang": ""},
     "noindexhead": {"xrobots": "noindex"}, "untitled": {"title": "", "description": "", "og": "", "name": ""}, "short": {"title": "Bread", "description": "Bread daily."}, "twoheads": {"h1": "<h1>One more loaf</h1><h1>Two more loaves</h1>"}, "nohead": {"h1": "", "canonical": "", "r_h1": 1},
     "desktop": {"viewport": "", "overflow": True}, "images": {"images": '<img src="/a.png"> <img src="/b.png">'}, "bare": {"robots": None, "sitemap": None, "llms": None}, "nodata": {"ld": [], "r_ld": 2}, "brokendata": {"ld": ['{"@type": "Organization", ', _FIRM]},
     "heads": {"xcto": None, "xfo": None, "ref": None, "hsts": None, "truncated": True}, "incomplete": {"ld": ['{"@type":"Product","sku":"1"}', '{"@type":"Article","headline":"Rye"}']}, "elsewhere": {"canonical": '<link rel="canonical" href="https://elsewhere.test/other">'}, "jumps": {"more": f"<h4>Mill</h4>\n<p>{_of(_LOAF, 120)}</p>"},
     "island": {"nav": "", "cta": "", "privacy": "", "r_links": 40}, "langs": {"alternates": '<link rel="alternate" hreflang="english" href="/en">'}, "maps": {"sitemap": "<urlset><loc>http://other.test/</loc></urlset>", "robots": "User-agent: *\nAllow: /"},
-    "lost": {"sitemap": "<urlset><loc>https://lost.test/</loc><loc>https://lost.test/hidden</loc></urlset>"}, "shut": {"robots": "User-agent: PerplexityBot\nDisallow: /\n\nUser-agent: OAI-SearchBot\nDisallow: /\n\nUser-agent: Claude-SearchBot\nDisallow: /\n\nUser-agent: Googlebot\nDisallow: /"},
+    "lost": {"sitemap": "<urlset><loc>https://{site}.test/</loc><loc>https://{site}.test/hidden</loc></urlset>"}, "shut": {"robots": "User-agent: PerplexityBot\nDisallow: /\n\nUser-agent: OAI-SearchBot\nDisallow: /\n\nUser-agent: Claude-SearchBot\nDisallow: /\n\nUser-agent: Googlebot\nDisallow: /"},
     "script": {"first": "", "questions": "", "passage": "", "more": ""}, "unanswered": {"questions": _ask(1, 4)}, "undated": {"time": "", "ld": [_FIRM]}, "headed": {"time": "", "ld": [_FIRM], "modified": "Mon, 01 May 2023 10:00:00 GMT"},
     "quiet": {"cta": '<a href="/bread">Bread</a>', "contact": "", "ld": [_FIRM], "form": "", "proof": "", "offer": "", "nav": '<nav><a href="/a">A</a> <a href="/b">B</a></nav>', "privacy": "", "scripts": ""}, "dense": {"passage": f"<p>{_of(_HEAVY, 150)}</p>", "more": f"<h2>Mill</h2>\n<p>{_of(_HEAVY, 120)}</p>"},
     "old": {"footer": "<footer>© 2019 Leavenhall</footer>"}, "loner": {"social": '<a href="https://www.facebook.com/">f</a>', "ld": [_ARTICLE, _FIRM], "missing": 1, "newest": 400}, "slow": {"score": 0.4, "lcp": 6000.0, "cls": 0.4, "tbt": 900.0, "fcp": 4000.0, "r_errors": 2, "known": False},
@@ -80,13 +80,14 @@ _SITES: dict[str, dict] = {
 
 def _fixtures() -> tuple[list[dict], list[dict]]:
     homes, inner = [], []
-    for site, changed in _SITES.items():
+    for k0, (name, changed) in enumerate(_SITES.items()):
+        site = name + "{n}"
         fill = lambda v, site=site: v.replace("{site}", site) if isinstance(v, str) else v
         parts = {k: v for k, v in changed.items() if k in _PARTS}
         meta = {k: fill(changed.get(k, v)) for k, v in _META.items()}
-        homes.append({"site": site, **meta, "html": fill(_page(site, **parts))})
+        homes.append({"kind": k0, "site": site, **meta, "html": fill(_page(site, **parts))})
         for k, (path, final, own) in enumerate(changed.get("inner", ()), 1):
-            inner.append({"site": site, "idx": k, "url": f"https://{site}.test/{path}", "final_url": f"https://{site}.test/{final}", "html": fill(_page(site, **own)).replace("{path}", final)})
+            inner.append({"kind": k0, "site": site, "idx": k, "url": f"https://{site}.test/{path}", "final_url": f"https://{site}.test/{final}", "html": fill(_page(site, **own)).replace("{path}", final)})
     return homes, inner
 
 
@@ -103,6 +104,12 @@ def _relation(rows: list[dict]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(_literal, r.values())) + ")" for r in rows) + f") v({', '.join(rows[0])})"
 
 
+def _woven(rows: list[dict]) -> str:
+    """The rows as a relation over the pages table: every page makes a site of its own of one kind, with its number in all names and addresses and its title as one more paragraph."""
+    fields = [f"replace(replace({c}, '{{n}}', n), '{{t}}', t) AS {c}" if any(isinstance(r[c], str) for r in rows) else c for c in rows[0] if c != "kind"]
+    return f"(SELECT {', '.join(fields)} FROM {_relation(rows)} JOIN (SELECT page_id, CAST(page_id AS VARCHAR) AS n, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages) p ON page_id % {len(_SITES)} = kind) v"
+
+
 def _some(items: str, test: str) -> str:
     return f"len(list_filter({items}, lambda x: {test})) > 0"
 
@@ -172,17 +179,24 @@ _RENDERED = {"render-links": "NOT (r_links >= 8 AND len(list_filter(hrefs, lambd
 def _verdicts(rules: dict[str, str]) -> str:
     pairs = ", ".join(f"{{'id': '{k}', 'passed': {v}}}" for k, v in rules.items())
     return rf"""
-WITH h AS (SELECT * FROM {_relation(_HOMES)}),
+WITH h AS (SELECT * FROM {_woven(_HOMES)}),
 f AS (SELECT *, {_READ}, coalesce(regexp_extract_all(sitemap, '<loc>([^<]*)</loc>', 1), []) AS locs FROM h),
 g AS (SELECT *, array_to_string(ps, ' ') AS p, list_distinct(list_filter(list_transform(hrefs, lambda x: regexp_extract(x, '^https?://(www[.])?(facebook|linkedin)[.]com/[a-z]', 2)), lambda x: x <> '')) AS platforms,
   coalesce(nullif(regexp_extract(html, 'og:site_name" content="([^"]*)"', 1), ''), nullif(regexp_extract(lds, '"@type":"(?:Bakery|Organization)","name":"([^"]*)"', 1), ''), nullif(title, '')) AS entity FROM f)
 SELECT site, u.id AS id, u.passed AS passed FROM (SELECT site, unnest([{pairs}]) AS u FROM g) WHERE u.passed IS NOT NULL"""
 
 
-def _outcomes(spark: SparkSession, module: str) -> DataFrame:
-    """site, id, passed of one module's rules on the fixtures, by the engine."""
-    home = spark.createDataFrame([tuple(r.values()) for r in _HOMES], ", ".join(f"{k} {_type(k)}" for k in _HOMES[0]))
-    inner = spark.createDataFrame([tuple(r.values()) for r in _INNER], "site string, idx long, url string, final_url string, html string")
+def _made(spark: SparkSession, sf_dir: str, rows_: list[dict]) -> DataFrame:
+    """The same rows for Spark: a site of one kind for every page."""
+    kinds = spark.createDataFrame([tuple(r.values()) for r in rows_], ", ".join(f"{k} {_type(k, rows_)}" for k in rows_[0]))
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % len(_SITES)).cast("int").alias("kind"), F.col("page_id").cast("string").alias("n"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("t"))
+    every = pages.join(F.broadcast(kinds), "kind")  # a fixed number of kinds
+    return every.select(*[F.replace(F.replace(c, F.lit("{n}"), F.col("n")), F.lit("{t}"), F.col("t")).alias(c) if t == "string" else F.col(c) for c, t in kinds.dtypes if c != "kind"])
+
+
+def _outcomes(spark: SparkSession, sf_dir: str, module: str) -> DataFrame:
+    """site, id, passed of one module's rules on the sites made of all pages, by the engine."""
+    home, inner = _made(spark, sf_dir, _HOMES), _made(spark, sf_dir, _INNER)
     heads = {"x-content-type-options": "xcto", "x-frame-options": "xfo", "referrer-policy": "ref", "strict-transport-security": "hsts", "x-robots-tag": "xrobots", "last-modified": "modified"}
     headers = F.map_filter(F.create_map(*[x for k, c in heads.items() for x in (F.lit(k), F.col(c))]), lambda k, v: v.isNotNull())
     pages = home.select("site", F.lit(0).alias("page_idx"), F.lit(True).alias("is_home"), "url", F.col("url").alias("final_url"), "status", headers.alias("headers"), F.col("html").alias("body"), "truncated")
@@ -197,20 +211,20 @@ def _outcomes(spark: SparkSession, module: str) -> DataFrame:
     return engine.evaluate(engine.sites(pages, meta, broken), C.rules((module,))).select("site", "id", "passed")
 
 
-def _type(column: str) -> str:
-    kinds = {type(r[column]) for r in _HOMES} - {type(None)}
+def _type(column: str, rows_: list[dict] | None = None) -> str:
+    kinds = {type(r[column]) for r in rows_ or _HOMES} - {type(None)}
     return {str: "string", bool: "boolean", int: "int", float: "double"}[kinds.pop()]
 
 
 def _only(module: str, rules) -> callable:
-    return lambda spark, sf_dir: _outcomes(spark, module).where(F.col("id").isin(list(rules)))
+    return lambda spark, sf_dir: _outcomes(spark, sf_dir, module).where(F.col("id").isin(list(rules)))
 
 
 for _module, _rules in (("technical", _TECHNICAL), ("geo", _GEO), ("content", _CONTENT), ("marketing", _MARKETING), ("citation", _CITATION), ("social", _SOCIAL), ("performance", _SPEED)):
     query(_verdicts(_rules), f"rules_{_module}")(_only(_module, _rules))
 query(_verdicts(_RENDERED), "rules_rendering")(_only("crawl", _RENDERED))
 
-_ALL_PAGES = f"p AS (SELECT site, 0 AS idx, url, url AS final_url, html FROM {_relation(_HOMES)} UNION ALL SELECT site, idx, url, final_url, html FROM {_relation(_INNER)})"
+_ALL_PAGES = f"p AS (SELECT site, 0 AS idx, url, url AS final_url, html FROM {_woven(_HOMES)} UNION ALL SELECT site, idx, url, final_url, html FROM {_woven(_INNER)})"
 _AUTHORED = """json_valid(x) AND json_extract_string(CASE WHEN json_valid(x) THEN x END, '$."@type"') = 'Article'"""
 _INNER_SQL = rf"""
 WITH {_ALL_PAGES}, f AS (SELECT *, {_READ} FROM p),
@@ -218,7 +232,7 @@ g AS (SELECT *, idx > 0 AND (title = '' OR EXISTS (SELECT 1 FROM f o WHERE o.sit
   idx > 0 AND (description = '' OR EXISTS (SELECT 1 FROM f o WHERE o.site = f.site AND o.final_url <> f.final_url AND lower(o.description) = lower(f.description))) AS bad_description FROM f),
 s AS (SELECT site, NOT bool_or(bad_title) AS titles, NOT bool_or(bad_description) AS descriptions, bool_and(h1 = 1) FILTER (idx > 0) AS h1s, bool_and({_words('body')} >= 100) FILTER (idx > 0) AS contents, bool_and(canonical = final_url) FILTER (idx > 0 AND canonical <> '') AS canonicals,
   bool_and(url = final_url) FILTER (idx > 0) AS moves, count(*) FILTER (idx > 0) AS n, sum(len(list_filter(ld, lambda x: {_AUTHORED}))) AS articles, sum(len(list_filter(ld, lambda x: {_AUTHORED} AND (json_extract_string(CASE WHEN json_valid(x) THEN x END, '$.author') IS NULL OR json_extract_string(CASE WHEN json_valid(x) THEN x END, '$.datePublished') IS NULL)))) AS lacking FROM g GROUP BY site),
-loc AS (SELECT site, unnest(regexp_extract_all(sitemap, '<loc>([^<]*)</loc>', 1)) AS loc FROM {_relation(_HOMES)}),
+loc AS (SELECT site, unnest(regexp_extract_all(sitemap, '<loc>([^<]*)</loc>', 1)) AS loc FROM {_woven(_HOMES)}),
 left_over AS (SELECT site, count(*) FILTER (split_part(loc, '/', 3) = site || '.test' AND NOT EXISTS (SELECT 1 FROM f WHERE f.site = loc.site AND (rtrim(split_part(f.url, ':', 2), '/') = rtrim(split_part(loc, ':', 2), '/') OR rtrim(split_part(f.final_url, ':', 2), '/') = rtrim(split_part(loc, ':', 2), '/')
     OR list_contains(list_transform(f.own_hrefs, lambda x: rtrim('https://' || f.site || '.test' || x, '/')), rtrim(loc, '/'))))) AS n FROM loc GROUP BY site)
 SELECT site, u.id AS id, u.passed AS passed FROM (SELECT s.site, unnest([{{'id': 'pages-titles', 'passed': CASE WHEN s.n > 0 THEN titles END}}, {{'id': 'pages-descriptions', 'passed': CASE WHEN s.n > 0 THEN descriptions END}}, {{'id': 'pages-h1', 'passed': h1s}}, {{'id': 'pages-content', 'passed': contents}},
@@ -229,5 +243,5 @@ SELECT site, u.id AS id, u.passed AS passed FROM (SELECT s.site, unnest([{{'id':
 def rules_over_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that look at several pages of a site, of two modules."""
     wanted = ("pages-titles", "pages-descriptions", "pages-h1", "pages-content", "canonical-consistency", "internal-redirects", "article-authorship", "orphan-pages")
-    both = _outcomes(spark, "technical").unionByName(_outcomes(spark, "crawl"))
+    both = _outcomes(spark, sf_dir, "technical").unionByName(_outcomes(spark, sf_dir, "crawl"))
     return both.where(F.col("id").isin(list(wanted)))
