@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import intake, limits, pages, state
 from ..sources.html import parsed
-from .registry import query, rows, table
+from .registry import per_page, query, rows, table
 from .rule_queries import _PLAIN, _TITLE, _n_words
 from .url_queries import _registrable
 
@@ -52,23 +52,23 @@ def provider_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.spend(calls, "provider", "ts", "event_id").groupBy("provider").agg(F.count_if("granted").alias("granted"), F.count_if(~F.col("granted")).alias("refused"))
 
 
-_CLIENTS = "(VALUES (1, true, '1.2.3.4, 5.6.7.8', '9.9.9.9'), (2, true, NULL, '9.9.9.9'), (3, true, '', NULL), (4, false, '1.2.3.4', NULL), (5, NULL, '1.2.3.4', '1.1.1.1'), (6, true, ' 7.7.7.7 ', NULL))"
+_CLIENTS = per_page("(VALUES (1, true, '1.2.3.4, 5.6.7.8', '9.9.9.9'), (2, true, NULL, '9.9.9.9'), (3, true, '', NULL), (4, false, '1.2.3.4', NULL), (5, NULL, '1.2.3.4', '1.1.1.1'), (6, true, ' 7.7.7.7 ', NULL))", "id, trusted, fwd, real_ip", real_ip=('9.9.9.9', '9.9.9.{n}'))
 
 
 @query(f"SELECT id, CASE WHEN NOT coalesce(trusted, false) THEN 'untrusted-client' WHEN coalesce(fwd, '') <> '' THEN trim(split_part(fwd, ',', 1)) ELSE coalesce(real_ip, 'unknown') END AS ip FROM {_CLIENTS} v(id, trusted, fwd, real_ip)")
 def client_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, f"SELECT * FROM {_CLIENTS} AS v(id, trusted, fwd, real_ip)").select("id", limits.client_ip(F.col("trusted"), F.col("fwd"), F.col("real_ip")).alias("ip"))
+    return rows(spark, f"SELECT * FROM {_CLIENTS} AS v(id, trusted, fwd, real_ip)", sf_dir).select("id", limits.client_ip(F.col("trusted"), F.col("fwd"), F.col("real_ip")).alias("ip"))
 
 
-_FILES = "(VALUES (1, 200, 'text/plain', 'User-agent: *'), (2, 404, 'text/plain', 'gone'), (3, 200, 'text/html; charset=utf-8', 'hello'), (4, 200, NULL, '  <html>'), (5, 200, NULL, '# llms'), (6, 200, 'TEXT/HTML', 'x'), (7, 200, 'text/plain', NULL))"
+_FILES = per_page("(VALUES (1, 200, 'text/plain', 'User-agent: *'), (2, 404, 'text/plain', 'gone'), (3, 200, 'text/html; charset=utf-8', 'hello'), (4, 200, NULL, '  <html>'), (5, 200, NULL, '# llms'), (6, 200, 'TEXT/HTML', 'x'), (7, 200, 'text/plain', NULL))", "id, status, kind, body", body=('User-agent: *', 'User-agent: a{n}'))
 
 
 @query(f"SELECT id, CASE WHEN status = 200 AND NOT contains(lower(coalesce(kind, '')), 'html') AND NOT regexp_matches(body, '^\\s*<') THEN body END AS file FROM {_FILES} v(id, status, kind, body)")
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, f"SELECT * FROM {_FILES} AS v(id, status, kind, body)").select("id", intake.text_file(F.col("status"), F.col("kind"), F.col("body")).alias("file"))
+    return rows(spark, f"SELECT * FROM {_FILES} AS v(id, status, kind, body)", sf_dir).select("id", intake.text_file(F.col("status"), F.col("kind"), F.col("body")).alias("file"))
 
 
-_MAPS = "(VALUES (1, '<urlset><url><loc> https://a.test/x?a=1&amp;b=2 </loc></url><url><LOC><![CDATA[https://a.test/y?c=1&d=2]]></LOC></url></urlset>'), (2, '<urlset></urlset>'), (3, '<loc></loc><loc>&lt;odd&gt;&quot;&apos;</loc>'), (4, '<loc><![CDATA[ https://a.test/z ]]></loc>'))"
+_MAPS = per_page("(VALUES (1, '<urlset><url><loc> https://a.test/x?a=1&amp;b=2 </loc></url><url><LOC><![CDATA[https://a.test/y?c=1&d=2]]></LOC></url></urlset>'), (2, '<urlset></urlset>'), (3, '<loc></loc><loc>&lt;odd&gt;&quot;&apos;</loc>'), (4, '<loc><![CDATA[ https://a.test/z ]]></loc>'))", "id, xml", xml=('a.test', 'a{n}.test'))
 _DECODED = "replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')"
 
 
@@ -76,42 +76,42 @@ _DECODED = "replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'
 SELECT id, place, CASE WHEN starts_with(x, '<![') THEN trim(x[10:-4]) ELSE {_DECODED} END AS loc FROM (
   SELECT id, unnest(range(1, len(l) + 1)) AS place, unnest(l) AS x FROM (SELECT id, regexp_extract_all(xml, '(?is)<loc>\s*(<!\[CDATA\[.*?\]\]>|[^<\s][^<]*?)\s*</loc>', 1) AS l FROM {_MAPS} v(id, xml)))""")
 def sitemap_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = rows(spark, f"SELECT * FROM {_MAPS} AS v(id, xml)")
+    m = rows(spark, f"SELECT * FROM {_MAPS} AS v(id, xml)", sf_dir)
     return m.select("id", F.posexplode(intake.sitemap_locations(F.col("xml"))).alias("p", "loc")).select("id", (F.col("p") + 1).cast("long").alias("place"), "loc")
 
 
-_LOGS = "(VALUES (1, 'error', 'Hydration failed because the server'), (2, 'log', 'Hydration failed'), (3, 'warning', 'Text content did not match. Server: a Client: b'), (4, 'warn', 'hydrating 345 sections'), (5, 'error', 'Minified React error #418; visit'), (6, 'error', 'Minified React error #417'), (7, 'error', 'Prop `class` did not match'), (8, NULL, 'hydration mismatch'))"
+_LOGS = per_page("(VALUES (1, 'error', 'Hydration failed because the server'), (2, 'log', 'Hydration failed'), (3, 'warning', 'Text content did not match. Server: a Client: b'), (4, 'warn', 'hydrating 345 sections'), (5, 'error', 'Minified React error #418; visit'), (6, 'error', 'Minified React error #417'), (7, 'error', 'Prop `class` did not match'), (8, NULL, 'hydration mismatch'))", "id, kind, message")
 
 
 @query(f"SELECT id, coalesce(kind IN ('error', 'warning', 'warn') AND regexp_matches(message, '(?i){intake.HYDRATION}'), false) AS hit FROM {_LOGS} v(id, kind, message)")
 def hydration_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, f"SELECT * FROM {_LOGS} AS v(id, kind, message)").select("id", intake.is_hydration_error(F.col("kind"), F.col("message")).alias("hit"))
+    return rows(spark, f"SELECT * FROM {_LOGS} AS v(id, kind, message)", sf_dir).select("id", intake.is_hydration_error(F.col("kind"), F.col("message")).alias("hit"))
 
 
-_SNIPPETS = """(VALUES (1, '<img src="/a.png">', 'https://x.test/p/q'), (2, '<img src="b.png">', 'https://x.test/p/q'), (3, '<div style="background:url(https://cdn.test/c.png)">', 'https://x.test/'), (4, '<img src="data:image/png;base64,xx">', 'https://x.test/'), (5, '<h1>none</h1>', 'https://x.test/'), (6, '<img src="//cdn.test/d.png">', 'https://x.test/'))"""
+_SNIPPETS = per_page("""(VALUES (1, '<img src="/a.png">', 'https://x.test/p/q'), (2, '<img src="b.png">', 'https://x.test/p/q'), (3, '<div style="background:url(https://cdn.test/c.png)">', 'https://x.test/'), (4, '<img src="data:image/png;base64,xx">', 'https://x.test/'), (5, '<h1>none</h1>', 'https://x.test/'), (6, '<img src="//cdn.test/d.png">', 'https://x.test/'))""", "id, snippet, page", page=('x.test', 'x{n}.test'))
 
 
 @query(rf"""
 WITH s AS (SELECT id, coalesce(nullif(regexp_extract(snippet, '(?i)\bsrc="([^"]+)"', 1), ''), nullif(regexp_extract(snippet, '(?i)url\(([^)]+)\)', 1), '')) AS src, page FROM {_SNIPPETS} v(id, snippet, page))
 SELECT id, CASE WHEN starts_with(src, 'http') THEN src WHEN regexp_matches(src, '^[a-z]+:') THEN NULL WHEN starts_with(src, '//') THEN 'https:' || src WHEN starts_with(src, '/') THEN regexp_extract(page, '^[a-z]+://[^/]+') || src ELSE regexp_replace(page, '[^/]*$', '') || src END AS resource FROM s""")
 def lcp_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, f"SELECT * FROM {_SNIPPETS} AS v(id, snippet, page)").select("id", intake.lcp_resource(F.col("snippet"), F.col("page")).alias("resource"))
+    return rows(spark, f"SELECT * FROM {_SNIPPETS} AS v(id, snippet, page)", sf_dir).select("id", intake.lcp_resource(F.col("snippet"), F.col("page")).alias("resource"))
 
 
-_REPLIES = "(VALUES (1, 12, 'Acme', 6.449D, 'acme corp|ACME '), (2, -1, 'Acme', 11.0D, 'Acme Ltd'), (3, 10000001, '', 0.0D, 'x'), (4, NULL, NULL, NULL, NULL), (5, 10000000, 'Bo', 9.95D, 'bo'))"
+_REPLIES = per_page("(VALUES (1, 12, 'Acme', 6.449D, 'acme corp|ACME '), (2, -1, 'Acme', 11.0D, 'Acme Ltd'), (3, 10000001, '', 0.0D, 'x'), (4, NULL, NULL, NULL, NULL), (5, 10000000, 'Bo', 9.95D, 'bo'))", "id, links, entity, rank, labels")
 
 
 @query(f"""SELECT id, CASE WHEN links BETWEEN 0 AND 10000000 THEN links END AS links, CASE WHEN rank BETWEEN 0 AND 10 THEN floor(rank * 10 + 0.5) / 10 END AS rank,
   CASE WHEN coalesce(trim(entity), '') <> '' THEN coalesce(list_contains(list_transform(string_split(labels, '|'), lambda x: lower(trim(x))), lower(trim(entity))), false) END AS known FROM {_REPLIES.replace('D,', ',')} v(id, links, entity, rank, labels)""")
 def outside_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of a render reply, a domain's rank and an exactly named entity."""
-    r = rows(spark, f"SELECT * FROM {_REPLIES} AS v(id, links, entity, rank, labels)")
+    r = rows(spark, f"SELECT * FROM {_REPLIES} AS v(id, links, entity, rank, labels)", sf_dir)
     return r.select("id", intake.measured(F.col("links")).alias("links"), intake.domain_rank(F.col("rank")).alias("rank"), intake.named_exactly(F.col("entity"), F.split("labels", r"\|")).alias("known"))
 
 
-_IDEAS = """(VALUES (1, 1, 'Add a price list', 'Buyers look for it', 'content:cta-present', 'low'), (1, 2, 'add a PRICE list', 'Again', 'content:cta-present', 'low'), (1, 3, 'See www.evil.test', 'x', 'content:cta-present', 'low'), (1, 4, 'Call us', 'on +44 113 555 0199 today', 'content:cta-present', 'low'),
-  (1, 5, 'Made up', 'x', 'no:such', 'low'), (1, 6, 'Hi', 'too short', 'geo:llms-txt', 'low'), (1, 7, 'Write a guide', 'It helps', 'geo:llms-txt', 'huge'), (1, 8, 'Write a summary', 'It helps', 'geo:llms-txt', 'high'), (2, 1, 'Use `curl`', 'x', 'geo:llms-txt', 'low'), (2, 2, 'Show reviews', 'Trust', 'geo:llms-txt', 'medium'), (2, 3, 'Mail a@b.test', 'x', 'geo:llms-txt', 'low'))"""
-_FOUND = "(VALUES (1, 'content:cta-present'), (1, 'geo:llms-txt'), (2, 'geo:llms-txt'))"
+_IDEAS = per_page("""(VALUES (1, 1, 'Add a price list', 'Buyers look for it', 'content:cta-present', 'low'), (1, 2, 'add a PRICE list', 'Again', 'content:cta-present', 'low'), (1, 3, 'See www.evil.test', 'x', 'content:cta-present', 'low'), (1, 4, 'Call us', 'on +44 113 555 0199 today', 'content:cta-present', 'low'),
+  (1, 5, 'Made up', 'x', 'no:such', 'low'), (1, 6, 'Hi', 'too short', 'geo:llms-txt', 'low'), (1, 7, 'Write a guide', 'It helps', 'geo:llms-txt', 'huge'), (1, 8, 'Write a summary', 'It helps', 'geo:llms-txt', 'high'), (2, 1, 'Use `curl`', 'x', 'geo:llms-txt', 'low'), (2, 2, 'Show reviews', 'Trust', 'geo:llms-txt', 'medium'), (2, 3, 'Mail a@b.test', 'x', 'geo:llms-txt', 'low'))""", "site, ord, title, why, cites, effort")
+_FOUND = per_page("(VALUES (1, 'content:cta-present'), (1, 'geo:llms-txt'), (2, 'geo:llms-txt'))", "site, id")
 _UNSAFE = "(?i)" + intake.UNSAFE_IDEA.replace("'", "''")
 
 
@@ -121,7 +121,7 @@ WITH g AS (SELECT i.* FROM {_IDEAS} i(site, ord, title, why, cites, effort) WHER
 o AS (SELECT *, row_number() OVER (PARTITION BY site, lower(title) ORDER BY ord) AS n FROM g)
 SELECT site, row_number() OVER (PARTITION BY site ORDER BY ord) AS place, title, cites FROM o WHERE n = 1""")
 def ideas_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake.usable_ideas(rows(spark, f"SELECT * FROM {_IDEAS} AS v(site, ord, title, why, cites, effort)"), rows(spark, f"SELECT * FROM {_FOUND} AS v(site, id)"))
+    return intake.usable_ideas(rows(spark, f"SELECT * FROM {_IDEAS} AS v(site, ord, title, why, cites, effort)", sf_dir), rows(spark, f"SELECT * FROM {_FOUND} AS v(site, id)", sf_dir))
 
 
 _H = r"lower(regexp_extract(url, '://([^/?#:]*)', 1))"
@@ -140,13 +140,13 @@ def competitor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.candidates(p, 6)
 
 
-_RESOLVED = "(VALUES (1, '93.184.216.34'), (2, '10.0.0.1'), (3, '93.184.216.34|127.0.0.1'), (4, ''), (5, '169.254.169.254'), (6, 'nonsense'), (7, '8.8.8.8|1.1.1.1'))"
+_RESOLVED = per_page("(VALUES (1, '93.184.216.34'), (2, '10.0.0.1'), (3, '93.184.216.34|127.0.0.1'), (4, ''), (5, '169.254.169.254'), (6, 'nonsense'), (7, '8.8.8.8|1.1.1.1'))", "id, addresses")
 _NETS = [("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16)]
 
 
 @query(f"""SELECT id, addresses <> '' AND len(list_filter(string_split(addresses, '|'), lambda x: NOT regexp_full_match(x, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') OR regexp_matches(x, '^(10|127)[.]|^169[.]254[.]|^192[.]168[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]'))) = 0 AS public FROM {_RESOLVED} v(id, addresses)""")
 def public_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rows(spark, f"SELECT * FROM {_RESOLVED} AS v(id, addresses)")
+    r = rows(spark, f"SELECT * FROM {_RESOLVED} AS v(id, addresses)", sf_dir)
     numbers = F.transform(F.filter(F.split("addresses", r"\|"), lambda x: x != ""), U.ipv4_number)
     return r.select("id", intake.host_is_public(numbers, [U.network_range(*n) for n in _NETS]).alias("public"))
 

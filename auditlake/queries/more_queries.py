@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.regex import every
 from ..operators import state
 from ..streaming import windows
-from .registry import SQL, query, rows, table
+from .registry import SQL, per_page, query, rows, table
 from .state_queries import _stream
 
 # How profile pages say that they are missing or closed.
@@ -23,7 +23,7 @@ def _sql(x: str) -> str:
     return x.replace("'", "''")
 
 
-_READS = r"""(VALUES (1, 404, '', ''), (2, 500, '', ''), (3, 200, 'Acme', 'Sorry, this page isn''t available'), (4, 200, 'Log in to Facebook', 'x'), (5, 200, 'Instagram', repeat('word ', 400)), (6, 200, 'Acme Bakery', repeat('bread ', 100)), (7, 200, 'Acme', 'short'), (8, 200, 'Acme', 'Join now to see'))"""
+_READS = per_page(r"""(VALUES (1, 404, '', ''), (2, 500, '', ''), (3, 200, 'Acme', 'Sorry, this page isn''t available'), (4, 200, 'Log in to Facebook', 'x'), (5, 200, 'Instagram', repeat('word ', 400)), (6, 200, 'Acme Bakery', repeat('bread ', 100)), (7, 200, 'Acme', 'short'), (8, 200, 'Acme', 'Join now to see'))""", "id, status, title, content", title=('Acme', 'Acme{n}'))
 
 
 @query(rf"""
@@ -33,7 +33,7 @@ SELECT CAST(id AS BIGINT) AS id, CASE WHEN status IN (404, 410) THEN 'not_found'
   WHEN regexp_matches(title, '(?i){_sql(GENERIC_TITLE)}') THEN 'login_wall' WHEN length(content) < 150 THEN 'unreadable' ELSE 'found' END AS status FROM {_READS} v(id, status, title, content)""")
 def profile_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader's answer says about a social profile."""
-    t = rows(spark, f"SELECT * FROM {_READS} AS v(id, status, title, content)")
+    t = rows(spark, f"SELECT * FROM {_READS} AS v(id, status, title, content)", sf_dir)
     title, content, status = F.col("title"), F.col("content"), F.col("status")
     like = lambda c, p: c.rlike("(?i)" + p)
     short = F.length(content) < 1500
@@ -69,13 +69,13 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 12")
 
 
-_SIGNALS = "(VALUES (1, 4.0, NULL, NULL), (2, 1.0, false, 5), (3, NULL, NULL, 0), (4, NULL, NULL, 3), (5, 1.0, NULL, 0), (6, NULL, true, NULL))"
+_SIGNALS = per_page("(VALUES (1, 4.0, NULL, NULL), (2, 1.0, false, 5), (3, NULL, NULL, 0), (4, NULL, NULL, 3), (5, 1.0, NULL, 0), (6, NULL, true, NULL))", "id, rank, entity, mentions")
 
 
 @query(f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN rank IS NULL AND entity IS NULL THEN CASE WHEN coalesce(mentions, 0) >= 3 THEN true END ELSE coalesce(rank, 0) >= 3 OR coalesce(entity, false) OR coalesce(mentions, 0) >= 3 END AS known FROM {_SIGNALS} v(id, rank, entity, mentions)""")
 def known_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-valued: known, unknown, or not measured."""
-    t = rows(spark, f"SELECT * FROM {_SIGNALS} AS v(id, rank, entity, mentions)")
+    t = rows(spark, f"SELECT * FROM {_SIGNALS} AS v(id, rank, entity, mentions)", sf_dir)
     known = (F.coalesce(F.col("rank"), F.lit(0)) >= 3) | F.coalesce("entity", F.lit(False)) | (F.coalesce("mentions", F.lit(0)) >= 3)
     measured = F.col("rank").isNotNull() | F.col("entity").isNotNull()
     return t.select(F.col("id").cast("long").alias("id"), F.when(measured | known, known).alias("known"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import rivals as R
 from ..operators import scoring as S
 from ..plans import catalogue as C
-from .registry import query, table
+from .registry import per_page, query, rows, table
 
 _MEMBERS = [k for _, ms in S.READINESS.values() for k in ms]
 _ALL = [f"{m}:{r}" for m, rs in {"technical": ["title", "https", "hsts"], "geo": ["x-one"], "content": ["cta", "nav"], "marketing": ["offer", "proof"], "social": ["links"], "performance": ["lcp", "cls"]}.items() for r in rs]
@@ -211,7 +211,7 @@ def issues_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("site", F.col("page").cast("long").alias("page")).agg(F.countDistinct("id").alias("issues"))
 
 
-_PSI = "(VALUES (1, 0.95, 2100.0, 0.05, 150.0, 1500.0), (2, 0.45, 3900.0, 0.2, 650.0, 2000.0), (3, 0.7, 4100.0, 0.3, 200.0, 3100.0))"
+_PSI = per_page("(VALUES (1, 0.95, 2100.0, 0.05, 150.0, 1500.0), (2, 0.45, 3900.0, 0.2, 650.0, 2000.0), (3, 0.7, 4100.0, 0.3, 200.0, 3100.0))", "id, score, lcp, cls, tbt, fcp")
 
 
 @query(f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN lcp <= 2500 THEN 1.0 WHEN lcp <= 4000 THEN 0.5 ELSE 0.0 END::DOUBLE AS lcp, CASE WHEN cls <= 0.1 THEN 1.0 WHEN cls <= 0.25 THEN 0.5 ELSE 0.0 END::DOUBLE AS cls,
@@ -219,5 +219,5 @@ _PSI = "(VALUES (1, 0.95, 2100.0, 0.05, 150.0, 1500.0), (2, 0.45, 3900.0, 0.2, 6
 def perf_credit_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import text as T
 
-    t = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, lcp, cls, tbt, fcp FROM {_PSI} AS v(id, score, lcp, cls, tbt, fcp)")
+    t = rows(spark, f"SELECT CAST(id AS BIGINT) AS id, lcp, cls, tbt, fcp FROM {_PSI} AS v(id, score, lcp, cls, tbt, fcp)", sf_dir)
     return t.select("id", *[T.speed_credit(F.col(c).cast("double"), a, b).alias(c) for c, a, b in (("lcp", 2500, 4000), ("cls", 0.1, 0.25), ("tbt", 200, 600), ("fcp", 1800, 3000))])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .registry import query, rows, table
+from .registry import per_page, query, rows, table
 
 _NO_EDGE_FACT = T.FACT.replace("'", "''")
 
@@ -72,22 +72,22 @@ def injection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction-like passages in documents, conversation turns and inline cases."""
     d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     c = table(spark, sf_dir, "conversations").select(F.lit("conversation").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    i = rows(spark, f"SELECT 'inline' AS kind, CAST(id AS BIGINT) AS id, text FROM {_HOSTILE} AS v(id, text)")
+    i = rows(spark, f"SELECT 'inline' AS kind, CAST(id AS BIGINT) AS id, text FROM {_HOSTILE} AS v(id, text)", sf_dir)
     found = d.unionByName(c).unionByName(i).select("kind", "id", F.explode(F.array(T.injection_attempts(F.col("text")))).alias("attempts"))
     return found.where((F.col("attempts") > 0) | (F.col("kind") == "inline"))
 
 
-_YEARS = r"""(VALUES (1, '© 2019-2024 Acme'), (2, 'Copyright (c) 2021'), (3, 'no notice'), (4, '© 2018. copyright 2020 - 2022'), (5, '&copy; 2024'))"""
+_YEARS = per_page(r"""(VALUES (1, '© 2019-2024 Acme'), (2, 'Copyright (c) 2021'), (3, 'no notice'), (4, '© 2018. copyright 2020 - 2022'), (5, '&copy; 2024'))""", "id, text")
 
 
 @query(rf"""
 SELECT CAST(id AS BIGINT) AS id, CAST(list_max(list_transform(list_filter(list_concat(regexp_extract_all(text, '(?i){T.COPYRIGHT}', 1), regexp_extract_all(text, '(?i){T.COPYRIGHT}', 2)), lambda y: y <> ''), lambda y: CAST(y AS INTEGER))) AS BIGINT) AS newest
 FROM {_YEARS} v(id, text)""")
 def copyright_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, f"SELECT CAST(id AS BIGINT) AS id, text FROM {_YEARS} AS v(id, text)").select("id", T.newest_copyright_year(F.col("text")).cast("long").alias("newest"))
+    return rows(spark, f"SELECT CAST(id AS BIGINT) AS id, text FROM {_YEARS} AS v(id, text)", sf_dir).select("id", T.newest_copyright_year(F.col("text")).cast("long").alias("newest"))
 
 
-_AUDIENCES = r"""(VALUES (1, '48,210 followers · 1,307 talking about this'), (2, '1.2K followers 3 posts 4 posts'), (3, 'no counts'), (4, '12 likes, 13 like, 5M subscribers, 9 following'), (5, '1234567890123 followers'))"""
+_AUDIENCES = per_page(r"""(VALUES (1, '48,210 followers · 1,307 talking about this'), (2, '1.2K followers 3 posts 4 posts'), (3, 'no counts'), (4, '12 likes, 13 like, 5M subscribers, 9 following'), (5, '1234567890123 followers'))""", "id, text")
 
 
 @query(rf"""
@@ -101,7 +101,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY id, label ORDER BY p) AS r FROM
 g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS n FROM f WHERE r = 1)
 SELECT CAST(v.id AS BIGINT) AS id, (SELECT string_agg(said, ', ' ORDER BY p) FROM g WHERE g.id = v.id AND n <= 3) AS note FROM {_AUDIENCES} v(id, text)""")
 def audience_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, f"SELECT CAST(id AS BIGINT) AS id, text FROM {_AUDIENCES} AS v(id, text)").select("id", T.audience_note(F.col("text")).alias("note"))
+    return rows(spark, f"SELECT CAST(id AS BIGINT) AS id, text FROM {_AUDIENCES} AS v(id, text)", sf_dir).select("id", T.audience_note(F.col("text")).alias("note"))
 
 
 def _top_terms(docs: DataFrame, pattern: str, stops: list[str], most: int) -> DataFrame:
@@ -185,27 +185,27 @@ def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(d, "doc_id").where(F.col("t").contains(F.col("q"))).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
-_NUMBERS = "(VALUES (0), (999), (1000), (1234), (15500), (999949), (999950), (1250000), (12000000))"
+_NUMBERS = "(SELECT DISTINCT CAST(floor(value * value * (1 + event_id % 700)) AS BIGINT) AS n FROM events)"
 
 
 @query(rf"""
 SELECT CAST(n AS BIGINT) AS n, CASE WHEN n >= 999950 THEN regexp_replace(printf('%.1f', floor(n / 100000.0 + 0.5) / 10), '\.0$', '') || 'M' WHEN n >= 1000 THEN regexp_replace(printf('%.1f', floor(n / 100.0 + 0.5) / 10), '\.0$', '') || 'K' ELSE CAST(n AS VARCHAR) END AS short FROM {_NUMBERS} v(n)""")
 def compact_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, f"SELECT CAST(n AS BIGINT) AS n FROM {_NUMBERS} AS v(n)").select("n", T.compact_number(F.col("n")).alias("short"))
+    return rows(spark, f"SELECT CAST(n AS BIGINT) AS n FROM {_NUMBERS} AS v(n)", sf_dir).select("n", T.compact_number(F.col("n")).alias("short"))
 
 
-_TRIES = "(VALUES (1, 0, 503, NULL), (2, 1, 429, 2500), (3, 2, 500, NULL), (4, 9, 408, NULL), (5, 0, 404, NULL), (6, 0, 429, 60000))"
+_TRIES = per_page("(VALUES (1, 0, 503, NULL), (2, 1, 429, 2500), (3, 2, 500, NULL), (4, 9, 408, NULL), (5, 0, 404, NULL), (6, 0, 429, 60000))", "id, attempt, status, asked")
 
 
 @query(rf"""
 SELECT CAST(id AS BIGINT) AS id, (status IN (408, 425, 429) OR status BETWEEN 500 AND 599) AS transient,
   least(4000.0, coalesce(CAST(asked AS DOUBLE), 400.0 * pow(2.0, attempt))) AS wait_ms FROM {_TRIES} v(id, attempt, status, asked)""")
 def retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, f"SELECT * FROM {_TRIES} AS v(id, attempt, status, asked)")
+    t = rows(spark, f"SELECT * FROM {_TRIES} AS v(id, attempt, status, asked)", sf_dir)
     return t.select(F.col("id").cast("long").alias("id"), T.transient(F.col("status")).alias("transient"), T.retry_wait(F.col("attempt"), F.col("asked")).alias("wait_ms"))
 
 
-_MARKUP = r"""(VALUES (1, 'a *bold* [link](x) & <b>'), (2, 'plain text'), (3, '  many   blanks '), (4, 'back`tick``s'))"""
+_MARKUP = per_page(r"""(VALUES (1, 'a *bold* [link](x) & <b>'), (2, 'plain text'), (3, '  many   blanks '), (4, 'back`tick``s'))""", "id, t", t=('plain text', 'plain text {n}'))
 
 
 @query(rf"""
@@ -213,5 +213,5 @@ SELECT CAST(id AS BIGINT) AS id, regexp_replace(replace(replace(replace(trim(reg
   repeat('`', CAST(greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda r: length(r))), 0)) AS BIGINT)) AS fence,
   replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM {_MARKUP} v(id, t)""")
 def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, f"SELECT CAST(id AS BIGINT) AS id, t FROM {_MARKUP} AS v(id, t)")
+    t = rows(spark, f"SELECT CAST(id AS BIGINT) AS id, t FROM {_MARKUP} AS v(id, t)", sf_dir)
     return t.select("id", T.escape_markdown(F.col("t")).alias("escaped"), T.code_fence(F.col("t")).alias("fence"), T.escape_xml(F.col("t")).alias("xml"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import links as L
-from .registry import query, rows, table
+from .registry import per_page, query, rows, table
 
 _SCHEME = r"regexp_extract(trim({0}), '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)"
 _HOST = r"lower(regexp_extract(trim({0}), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1))"
@@ -36,18 +36,18 @@ WITH t AS (SELECT page_id AS id, url FROM pages UNION ALL SELECT -id, url FROM {
 SELECT CAST(id AS BIGINT) AS id, {_K1.format('url')} AS k1, {_K2.format('url')} AS k2,
   ({_K2.format('url')}) || CASE WHEN {_QUERY.format('url')} = '?' THEN '' ELSE {_QUERY.format('url')} END AS k3, coalesce({_K1.format('url')}, url) AS k4 FROM t""")
 def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url").unionByName(rows(spark, f"SELECT CAST(-id AS BIGINT) AS id, url FROM {_ODD} AS v(id, url)"))
+    t = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url").unionByName(rows(spark, f"SELECT CAST(-id AS BIGINT) AS id, url FROM {_ODD} AS v(id, url)", sf_dir))
     u = F.col("url")
     return t.select("id", U.page_key(u).alias("k1"), U.crawl_key(u).alias("k2"), U.sitemap_key(u).alias("k3"), U.table_key(u).alias("k4"))
 
 
 @query(f"SELECT domain, count(*) AS n_pages FROM (SELECT {_registrable(_HOST.format('url'))} AS domain FROM pages UNION ALL SELECT {_registrable(_HOST.format('url'))} FROM {_ODD} v(id, url)) GROUP BY domain")
 def registrable_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "pages").select("url").unionByName(rows(spark, f"SELECT url FROM {_ODD} AS v(id, url)"))
+    t = table(spark, sf_dir, "pages").select("url").unionByName(rows(spark, f"SELECT url FROM {_ODD} AS v(id, url)", sf_dir))
     return t.groupBy(U.registrable(U.host(F.col("url"))).alias("domain")).agg(F.count("*").alias("n_pages"))
 
 
-_TARGETS = r"""(VALUES (1, 'example.com'), (2, ''), (3, 'ftp://example.com'), (4, 'https://u:p@example.com'), (5, 'https://example.com:8443/x'), (6, 'http://10.0.0.1/'), (7, 'localhost'), (8, 'https://intranet.local'), (9, 'https://shop.example.com:443/a'), (10, 'http://[::1]/'), (11, 'ex ample.com'))"""
+_TARGETS = per_page(r"""(VALUES (1, 'example.com'), (2, ''), (3, 'ftp://example.com'), (4, 'https://u:p@example.com'), (5, 'https://example.com:8443/x'), (6, 'http://10.0.0.1/'), (7, 'localhost'), (8, 'https://intranet.local'), (9, 'https://shop.example.com:443/a'), (10, 'http://[::1]/'), (11, 'ex ample.com'))""", "id, u", u=('example.com', 'p{n}.example.com'))
 
 
 @query(rf"""
@@ -57,7 +57,7 @@ SELECT CAST(id AS BIGINT) AS id, CASE WHEN t = '' THEN 'empty' WHEN length(t) >
   WHEN s NOT IN ('http', 'https') THEN 'scheme' WHEN regexp_matches(f, '^[^/]*//[^/?#]*@') THEN 'credentials' WHEN port NOT IN ('', '80', '443') THEN 'port'
   WHEN regexp_matches(h, '^[0-9.]+$') OR starts_with(h, '[') THEN 'ip address' WHEN NOT contains(h, '.') OR h = 'localhost' OR h LIKE '%.local' OR h LIKE '%.internal' THEN 'not public' END AS error FROM p""")
 def target_url_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, f"SELECT CAST(id AS BIGINT) AS id, u FROM {_TARGETS} AS v(id, u)").select("id", U.target_error(F.col("u")).alias("error"))
+    return rows(spark, f"SELECT CAST(id AS BIGINT) AS id, u FROM {_TARGETS} AS v(id, u)", sf_dir).select("id", U.target_error(F.col("u")).alias("error"))
 
 
 _NETS = ", ".join("('{}/{}', {}, {})".format(n, b, *U.network_range(n, b)) for n, b in U.BLOCKED_NETWORKS)
@@ -70,7 +70,7 @@ SELECT net, count(*) AS addresses FROM a JOIN b ON n BETWEEN lo AND hi GROUP BY
 def blocked_address_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses in blocked networks: a range join with 14 broadcast rows."""
     o = table(spark, sf_dir, "orders").select(F.concat_ws(".", (F.col("o_custkey") % 256).cast("string"), (F.col("o_orderkey") % 256).cast("string"), (F.col("o_custkey") % 7).cast("string"), F.lit("1")).alias("ip")).distinct()
-    nets = rows(spark, f"SELECT net, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM (VALUES {_NETS}) AS v(net, lo, hi)")
+    nets = rows(spark, f"SELECT net, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM (VALUES {_NETS}) AS v(net, lo, hi)", sf_dir)
     n = o.withColumn("n", U.ipv4_number(F.col("ip")))
     return n.join(F.broadcast(nets), (F.col("n") >= F.col("lo")) & (F.col("n") <= F.col("hi"))).groupBy("net").agg(F.count("*").alias("addresses"))
 
@@ -141,8 +141,8 @@ def duplicate_titles_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.twins(table(spark, sf_dir, "pages").select("page_id", U.bare_host(F.col("url")).alias("site"), "url", title.alias("value")))
 
 
-_HREFS = r"""(VALUES (1, 'https://www.facebook.com/acme'), (2, 'https://facebook.com/'), (3, 'https://m.facebook.com/sharer/x'), (4, 'https://linkedin.com/company/acme/about'), (5, 'https://youtube.com/@acme'), (6, 'https://youtube.com/channel/UC1'),
-  (7, 'https://youtube.com/watch?v=1'), (8, 'https://www.facebook.com/profile.php?id=77'), (9, 'https://tiktok.com/acme'), (10, 'https://tiktok.com/@acme'), (11, 'https://notfacebook.com/acme'), (12, 'https://x.com/acme'), (13, 'ftp://x.com/acme'), (14, 'https://linkedin.com/jobs/1'))"""
+_HREFS = per_page(r"""(VALUES (1, 'https://www.facebook.com/acme'), (2, 'https://facebook.com/'), (3, 'https://m.facebook.com/sharer/x'), (4, 'https://linkedin.com/company/acme/about'), (5, 'https://youtube.com/@acme'), (6, 'https://youtube.com/channel/UC1'),
+  (7, 'https://youtube.com/watch?v=1'), (8, 'https://www.facebook.com/profile.php?id=77'), (9, 'https://tiktok.com/acme'), (10, 'https://tiktok.com/@acme'), (11, 'https://notfacebook.com/acme'), (12, 'https://x.com/acme'), (13, 'ftp://x.com/acme'), (14, 'https://linkedin.com/jobs/1'))""", "id, u", u=('acme', 'acme{n}'))
 _PLATFORM = "CASE " + " ".join(f"WHEN h = '{d}' OR h LIKE '%.{d}' THEN '{p}|{c}'" for d, p, c in U.PLATFORM_HOSTS) + " END"
 
 
@@ -157,7 +157,7 @@ g AS (SELECT *, CASE WHEN len(s) = 0 THEN NULL WHEN lower(s[1]) IN ({_in(U.RESER
   WHEN platform = 'tiktok' THEN CASE WHEN starts_with(s[1], '@') THEN s[1] END ELSE s[1] END AS handle FROM p)
 SELECT CAST(id AS BIGINT) AS id, platform, 'https://' || c || '/' || coalesce(handle, '') AS url, handle, CASE WHEN handle IS NULL THEN 'homepage' ELSE 'profile' END AS kind FROM g WHERE handle IS NOT NULL OR len(s) = 0""")
 def social_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, f"SELECT CAST(id AS BIGINT) AS id, u FROM {_HREFS} AS v(id, u)").select("id", U.social_profile(F.col("u")).alias("p"))
+    t = rows(spark, f"SELECT CAST(id AS BIGINT) AS id, u FROM {_HREFS} AS v(id, u)", sf_dir).select("id", U.social_profile(F.col("u")).alias("p"))
     return t.where("p is not null").select("id", "p.platform", "p.url", "p.handle", "p.kind")
 
 
@@ -166,12 +166,12 @@ WITH h AS (SELECT CAST(id AS BIGINT) AS id, {_HOST.format('u')} AS h FROM {_HREF
 SELECT id, domain, platform FROM h JOIN d ON h = domain OR h LIKE '%.' || domain""")
 def platform_suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A host against listed domains: an equi-join on the host's own suffixes, not a theta join."""
-    h = rows(spark, f"SELECT CAST(id AS BIGINT) AS id, u FROM {_HREFS} AS v(id, u)").select("id", U.host(F.col("u")).alias("h"))
-    d = rows(spark, f"SELECT * FROM (VALUES {', '.join(f"('{d}', '{p}')" for d, p, _ in U.PLATFORM_HOSTS)}) AS v(domain, platform)")
+    h = rows(spark, f"SELECT CAST(id AS BIGINT) AS id, u FROM {_HREFS} AS v(id, u)", sf_dir).select("id", U.host(F.col("u")).alias("h"))
+    d = rows(spark, f"SELECT * FROM (VALUES {', '.join(f"('{d}', '{p}')" for d, p, _ in U.PLATFORM_HOSTS)}) AS v(domain, platform)", sf_dir)
     return L.by_suffix(h, "h", d).select("id", "domain", "platform")
 
 
-_RAW = r"""(VALUES (1, 'https://www.Rival.com.au/x'), (2, 'shop.own.com'), (3, 'facebook.com'), (4, 'bad domain'), (5, 'rival.de'), (6, 'localhost'), (7, 'a.amazon.com'))"""
+_RAW = per_page(r"""(VALUES (1, 'https://www.Rival.com.au/x'), (2, 'shop.own.com'), (3, 'facebook.com'), (4, 'bad domain'), (5, 'rival.de'), (6, 'localhost'), (7, 'a.amazon.com'))""", "id, r", r=('rival.de', 'rival{n}.de'))
 
 
 @query(rf"""
@@ -179,5 +179,5 @@ WITH d AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(trim(r)
 g AS (SELECT id, CASE WHEN regexp_matches(d, '^[a-z0-9-]+(\.[a-z0-9-]+)+$') AND {_registrable('d')} <> 'own.com' AND NOT ({' OR '.join(f"d = '{x}' OR d LIKE '%.{x}'" for x in U.NOT_COMPETITORS)}) THEN d END AS domain FROM d)
 SELECT CAST(id AS BIGINT) AS id, domain, CASE string_split(domain, '.')[-1] {' '.join(f"WHEN '{t}' THEN '{n}'" for t, n in U.MARKETS.items())} END AS market FROM g""")
 def competitor_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, f"SELECT CAST(id AS BIGINT) AS id, r FROM {_RAW} AS v(id, r)").select("id", U.clean_domain(F.col("r"), F.lit("own.com")).alias("domain"))
+    t = rows(spark, f"SELECT CAST(id AS BIGINT) AS id, r FROM {_RAW} AS v(id, r)", sf_dir).select("id", U.clean_domain(F.col("r"), F.lit("own.com")).alias("domain"))
     return t.select("id", "domain", U.market(F.col("domain")).alias("market"))
