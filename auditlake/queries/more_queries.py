@@ -84,15 +84,15 @@ def known_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PSI = """{"lighthouseResult":{"audits":{"layout-shifts":{"details":{"items":[{"score":0.1,"node":{"selector":"a"}},{"score":0.4,"node":{"selector":"b"}},{"node":{"selector":"c"}},{"score":0.2,"node":{"selector":"d"}},{"score":0.3,"node":{"selector":"e"}},{"score":0.05,"node":{"selector":"f"}}]}},"bootup-time":{"details":{"items":[{"url":"https://x.test/a.js","total":120.5},{"url":"inline","total":900},{"url":"https://x.test/","total":500},{"url":"https://y.test/b.js","total":300},{"url":"https://y.test/c.js","total":20},{"url":"https://y.test/d.js","total":10}]}}}}}"""
 
 
-@query("SELECT kind, name, CAST(amount AS DOUBLE) AS amount, CAST(place AS BIGINT) AS place FROM (VALUES ('shift', 'b', 0.4, 1), ('shift', 'e', 0.3, 2), ('shift', 'd', 0.2, 3), ('shift', 'a', 0.1, 4), ('script', 'https://y.test/b.js', 300, 1), ('script', 'https://x.test/a.js', 121, 2), ('script', 'https://y.test/c.js', 20, 3)) v(kind, name, amount, place)")
+@query("SELECT page_id, kind, name, CAST(amount AS DOUBLE) AS amount, CAST(place AS BIGINT) AS place FROM pages, (VALUES ('shift', 'b', 0.4, 1), ('shift', 'e', 0.3, 2), ('shift', 'd', 0.2, 3), ('shift', 'a', 0.1, 4), ('script', 'https://y.test/b.js', 300, 1), ('script', 'https://x.test/a.js', 121, 2), ('script', 'https://y.test/c.js', 20, 3)) v(kind, name, amount, place)")
 def vitals_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest layout shifts and the heaviest scripts in a lab report of unknown shape."""
-    r = spark.createDataFrame([("https://x.test/", _PSI)], "url string, reply string").withColumn("v", F.try_parse_json("reply"))
+    r = table(spark, sf_dir, "pages").select("page_id", F.lit("https://x.test/").alias("url"), F.try_parse_json(F.lit(_PSI)).alias("v"))
     items = lambda audit, kind: F.try_variant_get("v", f"$.lighthouseResult.audits['{audit}'].details.items", kind)
-    shifts = r.select(F.lit("shift").alias("kind"), F.explode(items("layout-shifts", "array<struct<score:double,node:struct<selector:string>>>")).alias("i")).where("i.score is not null and i.node is not null").select("kind", F.col("i.node.selector").alias("name"), F.col("i.score").alias("amount"))
-    scripts = r.select("url", F.lit("script").alias("kind"), F.explode(items("bootup-time", "array<struct<url:string,total:double>>")).alias("i")).where(F.col("i.url").rlike("(?i)^https?://") & F.col("i.total").isNotNull() & (F.col("i.url") != F.col("url")))
-    scripts = scripts.select("kind", F.col("i.url").alias("name"), F.floor(F.col("i.total") + 0.5).cast("double").alias("amount"))
-    w = Window.partitionBy("kind").orderBy(F.desc("amount"), "name")
+    shifts = r.select("page_id", F.lit("shift").alias("kind"), F.explode(items("layout-shifts", "array<struct<score:double,node:struct<selector:string>>>")).alias("i")).where("i.score is not null and i.node is not null").select("page_id", "kind", F.col("i.node.selector").alias("name"), F.col("i.score").alias("amount"))
+    scripts = r.select("page_id", "url", F.lit("script").alias("kind"), F.explode(items("bootup-time", "array<struct<url:string,total:double>>")).alias("i")).where(F.col("i.url").rlike("(?i)^https?://") & F.col("i.total").isNotNull() & (F.col("i.url") != F.col("url")))
+    scripts = scripts.select("page_id", "kind", F.col("i.url").alias("name"), F.floor(F.col("i.total") + 0.5).cast("double").alias("amount"))
+    w = Window.partitionBy("page_id", "kind").orderBy(F.desc("amount"), "name")
     return shifts.unionByName(scripts).withColumn("place", F.row_number().over(w).cast("long")).where("(kind = 'shift' and place <= 4) or (kind = 'script' and place <= 3)")
 
 

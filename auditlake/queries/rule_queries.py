@@ -11,7 +11,7 @@ from ..operators import pages as P
 from ..plans import engine
 from ..sources import robots
 from ..sources.html import parsed
-from .registry import query, table
+from .registry import per_page, query, rows, table
 
 _SITE = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]*)', 1)), '^www\.', '')"
 _BODY = r"regexp_replace(regexp_replace(html, '(?s)^.*?<body>', ''), '(?s)<script>.*?</script>', '', 'g')"
@@ -118,30 +118,34 @@ def _values(tuples: list[tuple]) -> str:
 
 
 @query(f"""
-WITH q AS (SELECT s.site, a.agent, a.path FROM {_values([(s, '') for s, _ in _ROBOTS])} s(site, x) CROSS JOIN {_values(_ASKED)} a(agent, path)),
+WITH q AS (SELECT s.kind || s.page_id AS site, s.kind, a.agent, a.path FROM (SELECT page_id, substr('abcd', CAST(page_id % 4 AS INT) + 1, 1) AS kind FROM pages) s CROSS JOIN {_values(_ASKED)} a(agent, path)),
 t AS (SELECT * FROM {_values([(a, x) for a, xs in _TOKENS.items() for x in xs])} v(agent, token)), r AS (SELECT * FROM {_values(_RULES)} v(site, grp, name, verdict, pattern, size)),
-own AS (SELECT DISTINCT q.site, q.agent FROM q JOIN t USING (agent) JOIN r ON r.site = q.site AND r.name = t.token),
-f AS (SELECT q.*, r.verdict, r.size FROM q JOIN r ON r.site = q.site AND regexp_matches(q.path, r.pattern) AND (r.name IN (SELECT token FROM t WHERE t.agent = q.agent) OR (r.name = '*' AND NOT EXISTS (SELECT 1 FROM own WHERE own.site = q.site AND own.agent = q.agent)))),
+own AS (SELECT DISTINCT q.site, q.agent FROM q JOIN t USING (agent) JOIN r ON r.site = q.kind AND r.name = t.token),
+f AS (SELECT q.*, r.verdict, r.size FROM q JOIN r ON r.site = q.kind AND regexp_matches(q.path, r.pattern) AND (r.name IN (SELECT token FROM t WHERE t.agent = q.agent) OR (r.name = '*' AND NOT EXISTS (SELECT 1 FROM own WHERE own.site = q.site AND own.agent = q.agent)))),
 b AS (SELECT site, agent, path, verdict, row_number() OVER (PARTITION BY site, agent, path ORDER BY size DESC, verdict = 'allow' DESC) AS n FROM f)
 SELECT q.site, q.agent, q.path, coalesce(b.verdict = 'allow', true) AS allowed FROM q LEFT JOIN b ON b.site = q.site AND b.agent = q.agent AND b.path = q.path AND b.n = 1""")
 def robots_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts are parsed here; the SQL holds what they mean."""
-    texts = spark.createDataFrame(_ROBOTS, "site string, robots_txt string")
-    asked = spark.createDataFrame([(s, a, p) for s, _ in _ROBOTS for a, p in _ASKED], "site string, agent string, path string")
+    """A robots file of one of four kinds for every page's site; the texts are parsed here, the SQL holds what they mean."""
+    kinds = F.broadcast(spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(_ROBOTS)], "i int, kind string, robots_txt string"))
+    p = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 4).cast("int").alias("i")).join(kinds, "i")
+    texts = p.select(F.concat("kind", F.col("page_id").cast("string")).alias("site"), "robots_txt")
+    asked = texts.select("site", F.inline(F.array(*[F.struct(F.lit(a).alias("agent"), F.lit(x).alias("path")) for a, x in _ASKED])))
     return robots.decide(robots.parse(texts), asked)
 
 
-_HEADINGS = [(1, 1), (1, 2), (1, 4), (2, 1), (2, 2), (2, 3), (2, 2), (3, 2), (3, 5), (3, 6)]
+_HEADINGS = [(1, 1, 1), (1, 2, 2), (1, 3, 4), (2, 1, 1), (2, 2, 2), (2, 3, 3), (2, 4, 2), (3, 1, 2), (3, 2, 5), (3, 3, 6)]
 
 
 @query(f"""
-WITH h AS (SELECT CAST(p AS BIGINT) AS page, CAST(l AS BIGINT) AS level, row_number() OVER () AS n FROM {_values(_HEADINGS)} v(p, l)), g AS (SELECT page, level, n, lag(level) OVER (PARTITION BY page ORDER BY n) AS up FROM h)
+WITH h AS (SELECT CAST(p AS BIGINT) AS page, CAST(l AS BIGINT) AS level, n FROM {per_page(_values(_HEADINGS), 'p, n, l')} v(p, n, l)), g AS (SELECT page, level, n, lag(level) OVER (PARTITION BY page ORDER BY n) AS up FROM h)
 SELECT page, min_by(up, n) AS from_level, min_by(level, n) AS to_level FROM g WHERE level - up > 1 GROUP BY page""")
 def heading_skip_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = {}
-    for p, n in _HEADINGS:
+    html: dict[int, str] = {}
+    for p, _, n in _HEADINGS:
         html[p] = html.get(p, "") + f"<h{n}>x</h{n}>"
-    pages = parsed(spark.createDataFrame([(p, "https://x.test/", h) for p, h in html.items()], "page long, url string, html string"))
+    kinds = F.broadcast(spark.createDataFrame([(p - 1, h) for p, h in html.items()], "kind int, html string"))
+    own = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), "url", (F.col("page_id") % len(html)).cast("int").alias("kind"))
+    pages = parsed(own.join(kinds, "kind"))
     levels = F.transform("dom.headings", lambda h: h["level"].cast("long"))
     steps = T.once(levels, lambda l: F.filter(F.transform(l, lambda x, i: F.struct(F.get(l, i - 1).alias("a"), x.alias("b"))), lambda s: s["b"] - s["a"] > 1))
     return pages.select("page", F.get(steps, F.lit(0)).alias("s")).where("s is not null").select("page", F.col("s.a").alias("from_level"), F.col("s.b").alias("to_level"))
@@ -150,13 +154,14 @@ def heading_skip_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LD = [
     (1, '{"@type":"Organization","name":"A","sameAs":["https://x.com/a"]}'), (2, '{"@graph":[{"@type":["Product","Thing"]},{"@type":"FAQPage","mainEntity":[]}]}'), (3, '{"broken": '), (4, ""), (5, '[{"@type":"Bakery","name":"Your Business"}]'),
 ]
-_LD_SQL = f"(SELECT CAST(id AS BIGINT) AS id, j FROM {_values(_LD)} v(id, j) WHERE json_valid(j))"
+_LD_ROWS = per_page(_values(_LD), "id, j", j=('"A"', '"A{n}"'))
+_LD_SQL = f"(SELECT CAST(id AS BIGINT) AS id, j FROM {_LD_ROWS} v(id, j) WHERE json_valid(j))"
 
 
 @query(rf"""
 SELECT DISTINCT id, unnest(list_concat(regexp_extract_all(j, '"@type":"([^"]*)"', 1), flatten(list_transform(regexp_extract_all(j, '"@type":\[([^\]]*)\]', 1), lambda x: regexp_extract_all(x, '"([^"]*)"', 1))))) AS type FROM {_LD_SQL}""")
 def jsonld_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ld(spark).select("id", F.explode("dom.schema_types").alias("type"))
+    return _ld(spark, sf_dir).select("id", F.explode("dom.schema_types").alias("type"))
 
 
 @query(rf"""
@@ -164,12 +169,12 @@ WITH n AS (SELECT id, unnest(regexp_extract_all(j, '\{{[^{{}}]*\}}')) AS n FROM
 SELECT id, 'missing' AS kind, type, property FROM n JOIN needs ON regexp_matches(n, '"@type":[^,}}]*"' || type || '"') WHERE NOT regexp_matches(n, '"' || property || '":("[^"]|\[[^\]]|\{{[^}}]|[0-9])')
 UNION ALL SELECT id, 'placeholder', regexp_extract(n, '"@type":[^"]*"([^"]*)"', 1), NULL FROM n WHERE regexp_matches(n, '(?i)"your (business|company)[^"]*"')""")
 def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ld(spark).select("id", F.inline("dom.schema_problems")).select("id", "kind", "type", "property")
+    return _ld(spark, sf_dir).select("id", F.inline("dom.schema_problems")).select("id", "kind", "type", "property")
 
 
-def _ld(spark: SparkSession) -> DataFrame:
-    pages = [(i, "https://x.test/", f'<script type="application/ld+json">{j}</script>') for i, j in _LD]
-    return parsed(spark.createDataFrame(pages, "id long, url string, html string"))
+def _ld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = rows(spark, f"SELECT id, j FROM {_LD_ROWS} AS v(id, j)", sf_dir)
+    return parsed(j.select("id", F.lit("https://x.test/").alias("url"), F.concat(F.lit('<script type="application/ld+json">'), "j", F.lit("</script>")).alias("html")))
 
 
 @query(f"""
@@ -194,11 +199,14 @@ _MAPS = [
 ]
 
 
+_MAP_ROWS = per_page(_values(_MAPS), "id, u, x", u=("a.test", "a{n}.test"), x=("a.test", "a{n}.test"))
+
+
 @query(rf"""
-WITH m AS (SELECT CAST(id AS BIGINT) AS id, u, regexp_extract_all(x, '<loc>([^<]*)</loc>', 1) AS l FROM {_values(_MAPS)} v(id, u, x)),
+WITH m AS (SELECT CAST(id AS BIGINT) AS id, u, regexp_extract_all(x, '<loc>([^<]*)</loc>', 1) AS l FROM {_MAP_ROWS} v(id, u, x)),
 k AS (SELECT *, list_transform(l, lambda x: rtrim(regexp_replace(x, '^[a-z]+://(www\.)?', ''), '/')) AS keys, rtrim(regexp_replace(u, '^[a-z]+://(www\.)?', ''), '/') AS own FROM m)
 SELECT id, CASE WHEN len(l) = 0 THEN 1 ELSE CAST(len(list_filter(keys, lambda x: split_part(x, '/', 1) <> split_part(own, '/', 1))) > 0 AS BIGINT) + CAST(starts_with(u, 'https:') AND len(list_filter(l, lambda x: starts_with(x, 'http:'))) > 0 AS BIGINT)
   + CAST(len(list_distinct(keys)) < len(keys) AS BIGINT) + CAST(NOT list_contains(keys, own) AS BIGINT) END AS issues FROM k""")
 def sitemap_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = spark.createDataFrame(_MAPS, "id long, url string, xml string")
+    m = rows(spark, f"SELECT id, u AS url, x AS xml FROM {_MAP_ROWS} AS v(id, u, x)", sf_dir)
     return m.select("id", engine.sitemap_facts(F.col("xml"), F.col("url"))["n_issues"].cast("long").alias("issues"))

@@ -119,11 +119,13 @@ _REPLIES = [
 _EXPECTED = [(1, "audience", "true", ""), (1, "cta-clarity", "", "no quote from the page"), (1, "value-prop", "false", ""), *[(s, i, "", "not answered") for s in (2, 3) for i in ("audience", "cta-clarity", "value-prop") if (s, i) != (3, "audience")], (3, "audience", "", "no quote from the page")]
 
 
-@query("SELECT CAST(site AS BIGINT) AS site, id, CAST(nullif(passed, '') AS BOOLEAN) AS passed, nullif(why, '') AS unchecked FROM (VALUES " + ", ".join(f"({s}, '{i}', '{p}', '{w}')" for s, i, p, w in _EXPECTED) + ") v(site, id, passed, why)")
+@query("SELECT page_id AS site, id, CAST(nullif(passed, '') AS BOOLEAN) AS passed, nullif(why, '') AS unchecked FROM pages JOIN (VALUES " + ", ".join(f"({s}, '{i}', '{p}', '{w}')" for s, i, p, w in _EXPECTED) + ") v(kind, id, passed, why) ON page_id % 3 + 1 = kind")
 def ai_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replies = spark.createDataFrame(_REPLIES, "site long, round int, reply string")
+    """Replies of one of three kinds on every page, checked against its texts."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("site"), (F.col("page_id") % 3 + 1).alias("kind"))
+    replies = p.join(F.broadcast(spark.createDataFrame(_REPLIES, "kind long, round int, reply string")), "kind").drop("kind")
     rubric = spark.createDataFrame([(i, i, "rework") for i in ("value-prop", "audience", "cta-clarity")], "id string, title string, fix string")
-    pages = spark.createDataFrame([(s, "https://x.test/", "Bakery", "For small shops everywhere", "We make GREAT bread!", "two words more") for s in (1, 2, 3)], "site long, url string, title string, description string, h1 string, body string")
+    pages = p.select("site", *[F.lit(v).alias(c) for c, v in (("url", "https://x.test/"), ("title", "Bakery"), ("description", "For small shops everywhere"), ("h1", "We make GREAT bread!"), ("body", "two words more"))])
     return review.reviewed(review.answers(replies), rubric, pages, "content", 5).select("site", "id", "passed", "unchecked")
 
 
