@@ -56,7 +56,8 @@ def peek_all(asks: DataFrame, hits: DataFrame, key: str, ts: str = "ts", rules:
         cells = rows.groupBy("bucket", "cell").agg(F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("us"))).alias("first"))
         along = Window.partitionBy("bucket").orderBy("cell")
         before = F.coalesce(F.sum("hits").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        after = F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+        back = Window.partitionBy("bucket").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that ends at the last row would be read again for each row
+        after = F.last("first", ignorenulls=True).over(back)
         part = Window.partitionBy("bucket", "cell")
         up, down = part.orderBy("us", ~hit).rowsBetween(Window.unboundedPreceding, 0), part.orderBy(F.desc("us"), hit).rowsBetween(Window.unboundedPreceding, 0)
         seen = rows.withColumn("n", F.count_if(hit).over(up)).withColumn("next", F.last(F.when(hit, F.col("us")), ignorenulls=True).over(down)).where("mark > 0")
