@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans import catalogue as C
 from ..ship import ship
 
 MOST_CHARS, MOST_RESTARTS, MOST_VALUES = 20_000, 20, 50
@@ -59,3 +60,21 @@ def reviewed(found: DataFrame, rubric: DataFrame, pages: DataFrame, module: str,
     finding = F.struct(F.concat(F.lit(f"{module}:"), "id").alias("id"), F.lit(module).alias("module"), severity.alias("severity"), F.lit("medium").alias("effort"), F.col("problem").alias("title"), "fix", evidence.alias("evidence"))
     why = F.when(F.col("passed").isNull(), "not answered").when(~ok, "no quote from the page")
     return j.select("site", "id", F.lit(weight).alias("weight"), why.alias("unchecked"), F.when(why.isNull(), F.col("passed")).alias("passed"), F.when(why.isNull() & ~F.col("passed"), finding).alias("finding"))
+
+
+def outcomes(found: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, unchecked) of all questions of the rubric, outcomes with the columns of the engine's: they union with the rules'.
+
+    found: answers (see ``answers``); pages: site, url, title, description, h1, body. A question without a usable answer is no
+    outcome; it is in unchecked (site, what, why).
+    """
+    spark, at = pages.sparkSession, len(C.rules())
+    rows = None
+    for module, questions in C.AI_RUBRIC.items():
+        asked = spark.createDataFrame(list(questions), "id string, title string, fix string")
+        own = reviewed(found, asked, pages, module, C.AI_WEIGHT).withColumn("module", F.lit(module))
+        rows = own if rows is None else rows.unionByName(own)
+    order = F.create_map(*[x for k, (m, i) in enumerate((m, q[0]) for m, qs in C.AI_RUBRIC.items() for q in qs) for x in (F.lit(f"{m}:{i}"), F.lit(at + k))])
+    place = F.create_map(*[x for i, m in enumerate(C.MODULES) for x in (F.lit(m), F.lit(i))])
+    out = rows.where("passed is not null").select("site", "module", F.element_at(place, F.col("module")).alias("module_ord"), F.element_at(order, F.concat_ws(":", "module", "id")).alias("check_ord"), "id", "weight", "passed", F.lit(None).cast("double").alias("credit"), "finding")
+    return out, rows.where("passed is null").select("site", F.concat_ws(":", "module", "id").alias("what"), F.col("unchecked").alias("why"))

@@ -35,3 +35,25 @@ def medians(own: DataFrame, theirs: DataFrame, factor: float = 1.5) -> DataFrame
     """Sites whose number lies well below the median of their rivals' (site, rival, value)."""
     m = theirs.where("value is not null").groupBy("site").agg(T.js_round(F.median("value")).alias("median"))
     return m.join(own, "site").where(F.col("median") >= F.col("value") * factor)
+
+
+def sentences(gaps: DataFrame, n_rivals: DataFrame, checks: DataFrame, theirs: DataFrame, words: DataFrame) -> DataFrame:
+    """site, place, sentence: what the comparison says, in a fixed order; one line a site where it says nothing.
+
+    gaps: as score_gaps, with ord for the module's place; n_rivals: site, n; checks: as common_checks, with label and n; theirs:
+    as only_theirs; words: as medians, with value. Every kind has a bounded number of rows a site.
+    """
+    s, t = lambda c: F.col(c).cast("string"), F.lit
+    of = F.concat(t(" of "), s("n_rivals"), t(" rivals "))
+    parts = [
+        gaps.join(n_rivals.withColumnRenamed("n", "n_rivals"), "site").select("site", t(0).alias("kind"), F.col("ord").cast("long").alias("ord"), F.concat(s("n_ahead"), of, t("lead by 10 points or more in "), "module", t(": "), s("leader"), t(" has "), s("best"), t(", you have "), s("mine"), t(".")).alias("sentence")),
+        checks.join(n_rivals.withColumnRenamed("n", "n_rivals"), "site").select("site", t(1).alias("kind"), F.col("place").alias("ord"), F.concat(s("n_pass"), of, t("pass where you fail: "), "label", t(".")).alias("sentence")),
+        theirs.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("v")).select("site", t(2).alias("kind"), t(0).cast("long").alias("ord"), F.concat(t("Only rivals have: "), F.array_join(F.transform("v", lambda x: x["value"]), ", "), t(".")).alias("sentence")),
+        words.select("site", t(3).alias("kind"), t(0).cast("long").alias("ord"), F.concat(t("Rivals' median is "), s("median"), t(" against your "), s("value"), t(".")).alias("sentence")),
+    ]
+    said = parts[0]
+    for p in parts[1:]:
+        said = said.unionByName(p)
+    none = n_rivals.join(said.select("site").distinct(), "site", "left_anti").select("site", t(9).alias("kind"), t(0).cast("long").alias("ord"), t("No clear gap to these rivals.").alias("sentence"))
+    order = Window.partitionBy("site").orderBy("kind", "ord", "sentence")
+    return said.unionByName(none).select("site", F.row_number().over(order).cast("long").alias("place"), "sentence")

@@ -42,3 +42,30 @@ def fix_kit(found: DataFrame) -> DataFrame:
     fired = found.groupBy("site").agg(F.collect_set("id").alias("ids"))
     items = F.array_compact(F.array(*[F.when(F.arrays_overlap("ids", F.array(*map(F.lit, ids))), k) for k, ids in KIT.items()], F.lit("scheduled-audit")))
     return fired.select("site", F.array_join(items, " ").alias("items"))
+
+
+def sections(report: DataFrame, parts: list[tuple[str, DataFrame, Column, str]]) -> DataFrame:
+    """report (site, report) with more sections. parts: heading, rows (site, ord and columns of its own), their line, what stands there without rows.
+
+    Each part's rows are a bounded list a site, gathered in order; a site without rows of a part gets its other text.
+    """
+    out = report
+    for k, (heading, rows, line, otherwise) in enumerate(parts):
+        lines = rows.select("site", "ord", line.alias("line")).groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias(f"_{k}"))
+        out = out.join(lines, "site", "left").withColumn("report", F.concat("report", F.lit(f"\n\n## {heading}\n\n"), F.coalesce(f"_{k}", F.lit(otherwise)))).drop(f"_{k}")
+    return out
+
+
+def lookup(asked: DataFrame, reports: DataFrame, now: Column, most_age_us: int) -> DataFrame:
+    """asked (id) with status and the newest report (id, us, report): 404 where there is none, or none young enough."""
+    newest = reports.groupBy("id").agg(F.max_by(F.struct("us", "report"), F.struct("us", "report")).alias("r"))
+    fresh = F.col("r").isNotNull() & (F.col("r.us") > now - most_age_us)
+    return asked.join(newest, "id", "left").select("id", F.when(fresh, 200).otherwise(404).alias("status"), F.when(fresh, F.col("r.report")).alias("report"))
+
+
+def accuracy(cards: DataFrame) -> DataFrame:
+    """site, recall_percent, false_positives, verdict of comparisons (site, n_expected, n_found, n_false)."""
+    recall = F.try_divide(F.col("n_found") * 100.0, F.col("n_expected"))
+    shown = F.floor(recall * 10 + 0.5) / 10
+    verdict = F.when(F.coalesce(recall, F.lit(100.0)) < 95, "below the floor").when(F.col("n_false") > 0, "false alarms").otherwise("sound")
+    return cards.select("site", shown.alias("recall_percent"), F.col("n_false").alias("false_positives"), verdict.alias("verdict"))

@@ -143,3 +143,37 @@ def test_kit_texts_are_escaped_for_their_places(spark):
     assert got["b.test", "head"].startswith("<title>b.test</title>\n<meta name=\"viewport\"")
     found = spark.createDataFrame([("a.test", "technical:canonical"), ("b.test", "geo:llms-txt"), ("b.test", "no:such")], "site string, id string")
     assert {(r["site"], r["item"]) for r in kit.called_for(kit.texts(sites, pages), found).collect()} == {("a.test", "canonical"), ("b.test", "llms.txt")}
+
+
+def test_evidence_names_the_first_pages_in_order(spark):
+    page = lambda s, i, title, h1=1, body="": (s, i, i == 0, f"https://{s}.test/{i or ''}", f"https://{s}.test/{i or ''}", 200, f"<title>{title}</title>" + "<h1>x</h1>" * h1 + body)
+    many = [page("a", i, "Same" if i % 2 else f"Own {i}", 0) for i in range(40)]
+    rows = many + [page("b", 0, "Home"), page("b", 1, "One", body="<p>" + "word " * 120), page("c", 0, "Alone")]
+    p = spark.createDataFrame(rows, "site string, page_idx long, is_home boolean, url string, final_url string, status int, body string").repartition(7)
+    broken = spark.createDataFrame([("b", f"https://b.test/x{i:02}", 404) for i in range(20)], "site string, url string, status int")
+    found = {(r["site"], r["id"]): [e["url"].rsplit("/", 1)[1] for e in r["finding"]["evidence"]] for r in engine.evaluate(engine.sites(p, None, broken)).where("finding is not null").collect()}
+    assert found["a", "pages-titles"] == [str(i) for i in (1, 3, 5, 7, 9, 11)] and found["a", "pages-h1"] == [str(i) for i in range(1, 7)] and found["a", "pages-content"] == found["a", "pages-h1"]
+    assert found["b", "broken-links"] == [f"x{i:02}" for i in range(8)] and ("b", "pages-titles") not in found and ("b", "pages-h1") not in found and ("c", "pages-titles") not in found
+    assert found["c", "title-length"] == [""]
+
+
+def test_missing_markup_is_made_from_what_a_page_states(spark):
+    import json
+
+    from auditlake.operators import snippets
+    from auditlake.sources.html import parsed
+
+    words = "word " * 320
+    pages = [
+        ("a", False, "https://a.test/blog/x", f'<meta name="author" content=" Ann  Lee "><meta property="og:image" content="i.png"><article><h1>{"T" * 200}</h1><time datetime="2024-02-03">x</time><p>{words}</p></article>'), ("a", True, "https://a.test/", f"<article><h1>Home</h1><p>{words}</p></article>"),
+        ("b", False, "https://b.test/p", '<meta name="description" content="Nice"><meta property="product:price:amount" content="9.5"><meta property="product:price:currency" content="EUR"><h1>Mug</h1>$9.50 <button>Add to cart</button>'), ("b", False, "https://b.test/list", "<h1>All</h1>" + "".join(f"${i}.00 <button>Buy now</button>" for i in range(6))),
+        ("c", True, "https://c.test/", "".join(f"<h2>Is it {i}?</h2><p>Yes it is number {i} today</p>" for i in range(12))), ("c", False, "https://c.test/q", "<h2>Why?</h2><p>Too short</p>" * 4), ("d", True, "https://d.test/", "<<<"),
+    ]
+    df = parsed(spark.createDataFrame(pages, "site string, is_home boolean, final_url string, body string"), "final_url", "body").withColumn("entity", F.when(F.col("site") == "a", "Acme"))
+    got = {(r["url"], r["type"]): json.loads(r["snippet"]) for r in snippets.schema_gaps(df).collect()}
+    assert set(got) == {("https://a.test/blog/x", "Article"), ("https://b.test/p", "Product"), ("https://c.test/", "FAQPage")}
+    article = got["https://a.test/blog/x", "Article"]
+    assert article["author"] == {"@type": "Person", "name": "Ann Lee"} and article["datePublished"] == "2024-02-03" and article["publisher"]["name"] == "Acme" and len(article["headline"]) == 110 and article["image"] == "i.png"
+    assert got["https://b.test/p", "Product"]["offers"] == {"@type": "Offer", "price": "9.5", "priceCurrency": "EUR", "availability": "https://schema.org/InStock"}
+    assert len(got["https://c.test/", "FAQPage"]["mainEntity"]) == 10
+    assert snippets.faq_pairs(df).where("site = 'c'").count() == 12
