@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..plans import catalogue as C
 from ..plans import engine
+from ..sources.html import parsed
 from . import rule_fixtures as R
 from .registry import query, table
-from .rule_queries import _PLAIN, _SITE, _n_words, _unescape
+from .rule_queries import _BODY, _PLAIN, _SITE, _n_words, _unescape
 
 _BLOCK = "p|h[1-6]|div|ul|ol|table|article|section|footer|nav|aside|header|form|blockquote"
 _CUT = rf"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(</?(?:{_BLOCK}|body)[ >])', '</p>\1', 'g')"
@@ -58,3 +60,24 @@ def page_rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = engine.PARTS - {"evidence", "citation"}
     o = engine.evaluate(engine.sites(engine.page_responses(table(spark, sf_dir, "pages")), parts=parts), _wanted())
     return o.select("site", "module", "id", "weight", "passed", F.col("finding.severity").alias("severity"))
+
+
+_MAIN = rf"regexp_replace(regexp_replace(regexp_replace({_CUT}, '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<footer>.*?</footer>', '', 'g'), '(?s)<aside>.*?</aside>', '', 'g')"
+_MAIN_PS = rf"list_filter(list_transform(regexp_extract_all({_MAIN}, '(?s)<p>(.*?)</p>', 1), lambda x: trim(regexp_replace({_PARAGRAPHS}, '\s+', ' ', 'g'))), lambda x: x <> '')"
+_MAIN_WORDS = _n_words(_unescape(rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_BODY}, '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<footer>.*?</footer>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"))
+_SENTENCES = "list_filter(regexp_split_to_array(replace(replace(replace(x, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), '[\\x01]'), lambda s: NOT regexp_matches(s, '[0-9]'))"
+_ACRONYMS = rf"list_filter(list_distinct(regexp_extract_all(t, '\b[A-Z]{{2,6}}\b')), lambda a: len(list_filter(regexp_extract_all(t, '\b[A-Z]{{2,6}}\b'), lambda b: b = a)) >= 2 AND NOT list_contains([{', '.join(repr(a) for a in T.COMMON_ACRONYMS)}], a) AND NOT contains(t, '(' || a || ')') AND NOT regexp_matches(t, a || '\s*\('))"
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, {_SITE} AS site, {_MAIN_PS} AS ps, {_MAIN_WORDS} AS words, len(regexp_extract_all(html, '<h[23][ >]')) AS sections FROM pages),
+q AS (SELECT *, list_transform(ps, lambda x: {R._words('x')}) AS sizes, array_to_string(ps, ' ') AS t, coalesce(list_sum(list_transform(ps, lambda x: coalesce(list_sum(list_transform({_SENTENCES}, lambda s: len(regexp_extract_all(s, '(?i){T.VAGUE}')))), 0))), 0) AS vague FROM p),
+s AS (SELECT *, coalesce(list_sum(sizes), 0) AS prose FROM q)
+SELECT site, page_id AS page_idx, CASE WHEN words >= 100 AND prose >= 100 THEN CASE WHEN len(list_filter(sizes, lambda n: n BETWEEN 134 AND 167)) > 0 THEN 1.0 WHEN len(list_filter(sizes, lambda n: n BETWEEN 40 AND 200)) > 0 THEN 0.5 ELSE 0.0 END END::DOUBLE AS answer_passage,
+  CASE WHEN words >= 100 AND prose >= 100 THEN CASE WHEN len(list_filter(sizes, lambda n: n > 200)) > 0 OR (prose >= 400 AND sections < 2) THEN 0.0 ELSE 1.0 END END::DOUBLE AS structure,
+  CASE WHEN words >= 100 THEN CASE WHEN vague < 3 AND len({_ACRONYMS}) < 2 THEN 1.0 ELSE 0.0 END END::DOUBLE AS clarity FROM s""")
+def citation_states_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each page's paragraphs answer, are built well and are clear, found again by SQL from the markup."""
+    p = parsed(engine.page_responses(table(spark, sf_dir, "pages")), "final_url", "body").drop("body")
+    states = engine.citation_states(p.withColumn("entity", F.col("dom.entity")))
+    return states.select("site", "page_idx", F.col("answer-passage").alias("answer_passage"), "structure", "clarity")
