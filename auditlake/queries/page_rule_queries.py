@@ -17,6 +17,43 @@ from . import rule_fixtures as R
 from .registry import query, table
 from .rule_queries import _BODY, _PLAIN, _SITE, _n_words, _unescape
 
+# Weight and severity of every rule, by module.
+FIXED = {
+    "technical": (
+        "status-ok 8 critical; https 7 high; indexable 8 critical; title 6 high; title-length 3 low; meta-description 5 medium; meta-description-length 2 low; single-h1 5 medium; "
+        "canonical 3 medium; html-lang 2 low; viewport 5 high; image-alt 4 medium; robots-txt 3 low; sitemap 5 medium; structured-data 4 medium; open-graph 2 low; mobile-layout 4 medium; "
+        "hsts 2 low; not-truncated 2 medium; json-ld-valid 4 high; schema-complete 3 medium; canonical-valid 3 medium; heading-order 2 low; security-headers 3 low; image-dimensions 2 low; "
+        "internal-links 3 low; broken-links 4 high; https-redirect 3 high; host-redirect 3 medium; soft-404 3 medium; hreflang-valid 3 medium; article-authorship 3 medium; "
+        "sitemap-quality 3 medium; robots-sitemap 2 low; pages-titles 4 medium; pages-descriptions 3 medium; pages-h1 3 low; pages-content 3 low"
+    ),
+    "geo": (
+        "ai-crawler-oai-searchbot 10 high; ai-crawler-claude-searchbot 10 high; ai-crawler-perplexitybot 10 high; ai-crawler-googlebot 6 critical; content-in-html 20 critical; "
+        "organisation-schema 12 medium; question-headings 10 medium; question-answers 3 medium; citable-passage 14 medium; llms-txt 4 low; freshness-signals 4 low"
+    ),
+    "content": (
+        "cta-present 18 high; headline-clear 10 medium; contact-info 10 medium; trust-signals 8 medium; navigation 10 medium; about-page 6 low; policy-pages 6 medium; content-depth 4 low; "
+        "readability 4 low; copyright-year 4 low"
+    ),
+    "marketing": (
+        "analytics 10 medium; lead-capture 12 medium; offer-clarity 10 medium; content-hub 8 low; reviews-markup 8 low; risk-reversal 8 low; specific-proof 8 medium; contact-channels 6 low"
+    ),
+    "social": (
+        "has-profiles 25 medium; profile-links-valid 15 low; key-platforms 15 medium; schema-sameas 10 low; profiles-reachable 25 high; profile-activity 10 medium"
+    ),
+    "performance": (
+        "perf-score 40 medium; lcp 20 medium; cls 15 medium; tbt 15 medium; fcp 10 medium"
+    ),
+    "citation": (
+        "entity-early 12 medium; definition 12 medium; answer-passage 18 medium; facts 8 low; structure 10 medium; clarity 8 low; schema-fit 10 high; authority 10 low; "
+        "external-authority 12 low"
+    ),
+    "crawl": (
+        "canonical-consistency 20 high; orphan-pages 15 low; internal-redirects 10 low; render-links 15 high; render-schema 10 medium; render-headings 15 high; render-hydration 15 high"
+    ),
+}
+#: (module, id, weight, severity); a test holds them against the catalogue, whose rules are made only with a Spark context.
+RULES = [(m, *x.split(" ")) for m, own in FIXED.items() for x in own.split("; ")]
+
 _BLOCK = "p|h[1-6]|div|ul|ol|table|article|section|footer|nav|aside|header|form|blockquote"
 _CUT = rf"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(</?(?:{_BLOCK}|body)[ >])', '</p>\1', 'g')"
 #: Paragraphs as a browser closes them: at the next block, whatever closes it in the markup.
@@ -38,6 +75,7 @@ def _wanted() -> list[C.Rule]:
 
 
 def _sql() -> str:
+    wanted = [x for x in RULES if x[1] in _BY_MODULE.get(x[0], ()) or x[1] in _INNER_IDS]
     pairs = ", ".join(f"{{'module': '{m}', 'id': '{k}', 'passed': {v}}}" for m, own in _BY_MODULE.items() for k, v in own.items())
     title = _unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")
     return rf"""
@@ -50,7 +88,7 @@ pt AS (SELECT *, (SELECT count(DISTINCT url) FROM pg o WHERE o.site = pg.site AN
 inn AS (SELECT site, bool_and(title <> '' AND t = 1) AS titles, bool_and(description <> '' AND d = 1) AS descriptions, bool_and(h1 = 1) AS h1s, bool_and(words >= 100) AS contents FROM pt WHERE NOT is_home GROUP BY site),
 every AS (SELECT * FROM own UNION ALL SELECT site, u.module, u.id, u.passed FROM (SELECT site, unnest([{{'module': 'technical', 'id': 'pages-titles', 'passed': titles}}, {{'module': 'technical', 'id': 'pages-descriptions', 'passed': descriptions}}, {{'module': 'technical', 'id': 'pages-h1', 'passed': h1s}},
   {{'module': 'technical', 'id': 'pages-content', 'passed': contents}}, {{'module': 'crawl', 'id': 'internal-redirects', 'passed': true}}]) AS u FROM inn)),
-w AS (SELECT * FROM (VALUES {", ".join(f"('{r.module}', '{r.id}', {r.weight}, '{r.severity}')" for r in _wanted())}) v(module, id, weight, severity))
+w AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{i}', {w}, '{v}')" for m, i, w, v in wanted)}) v(module, id, weight, severity))
 SELECT site, module, id, CAST(weight AS INT) AS weight, passed, CASE WHEN NOT passed THEN severity END AS severity FROM every JOIN w USING (module, id) WHERE passed IS NOT NULL"""
 
 

@@ -12,18 +12,18 @@ from ..sources.html import parsed
 from . import rule_fixtures as R
 from . import score_queries as Q
 from .intake_queries import findings_compared
+from .page_rule_queries import RULES
 from .registry import SQL, query, table
 
-_LABELS = [(r.module, r.id, r.weight, r.title) for r in C.rules()]
-_RUBRIC = "(VALUES " + ", ".join("('{}', '{}', {}, '{}')".format(m, i, w, t.replace("'", "''")) for m, i, w, t in _LABELS) + ") r(module, id, full_weight, label)"
+_RUBRIC = "(VALUES " + ", ".join(f"('{m}', '{i}', {w}, '{v}')" for m, i, w, v in RULES) + ") r(module, id, full_weight, usual_severity)"
 
 
-@query(f"""WITH {Q._O} SELECT r.module, r.id, label, full_weight, count(*) AS sites, count(*) FILTER (passed) AS passed, count(*) FILTER (found) AS findings FROM o JOIN {_RUBRIC} USING (module, id) GROUP BY ALL""")
+@query(f"""WITH {Q._O} SELECT r.module, r.id, full_weight, usual_severity, count(*) AS sites, count(*) FILTER (passed) AS passed, count(*) FILTER (found) AS findings FROM o JOIN {_RUBRIC} USING (module, id) GROUP BY ALL""")
 def rubric_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules by their plain names: how many sites they were asked of, passed on and found wanting."""
-    named = F.broadcast(C.rubric(spark).where("kind = 'rule'").select("module", "id", "label", F.col("weight").alias("full_weight")))
+    """The rules of the rubric: how many sites each was asked of, passed on and found wanting."""
+    named = F.broadcast(C.rubric(spark).where("kind = 'rule'").select("module", "id", F.col("weight").alias("full_weight"), F.col("severity").alias("usual_severity")))
     o = Q.outcomes(spark, sf_dir).join(named, ["module", "id"])
-    return o.groupBy("module", "id", "label", "full_weight").agg(F.count("*").alias("sites"), F.count_if("passed").alias("passed"), F.count("finding").alias("findings"))
+    return o.groupBy("module", "id", "full_weight", "usual_severity").agg(F.count("*").alias("sites"), F.count_if("passed").alias("passed"), F.count("finding").alias("findings"))
 
 
 _QUESTIONS = [(m, i) for m, qs in C.AI_RUBRIC.items() for i, *_ in qs]

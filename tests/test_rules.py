@@ -94,6 +94,16 @@ def test_weights(spark):
     assert len({(r.module, r.id) for r in catalogue.rules()}) == len(catalogue.rules())
 
 
+def test_the_rubric_lists_every_rule_and_question(spark):
+    from auditlake.queries.page_rule_queries import RULES
+
+    assert [(m, i, int(w), v) for m, i, w, v in RULES] == [(r.module, r.id, r.weight, r.severity) for r in catalogue.rules()]
+    table = catalogue.rubric(spark).collect()
+    assert len(table) == len(RULES) + 10 and len({(r["module"], r["id"]) for r in table}) == len(table) and len({r["check_ord"] for r in table}) == len(table)
+    ai = {m: sum(r["weight"] for r in table if r["module"] == m and r["kind"] == "review") for m in ("content", "marketing")}
+    assert ai == {"content": 20, "marketing": 30}
+
+
 def test_broken_pages_fail_no_job(spark):
     o = site(spark, {"junk": ("<<<>>><p><b></i></table><script>", {}), "none": ("", {})})
     assert o.groupBy("site").count().count() == 2
