@@ -61,6 +61,16 @@ def twins(values: DataFrame) -> DataFrame:
     return v.join(second, ["site", "key"]).select("page_id", "site", F.when(F.col("url") == F.col("a.url"), F.col("b")).otherwise(F.col("a.p")).alias("twin"))
 
 
+def status_classes(read: DataFrame) -> DataFrame:
+    """site and how its addresses answered. read: site, url, final_url, status (0 or null: no answer). A page that moved counts as moved, whatever it answered."""
+    moved, s = U.crawl_key(F.col("url")) != U.crawl_key(F.col("final_url")), F.coalesce("status", F.lit(0))
+    c = read.select("site", moved.alias("moved"), s.alias("s"))
+    m, s = F.col("moved"), F.col("s")
+    return c.groupBy("site").agg(
+        F.count_if(~m & s.between(1, 399)).alias("ok"), F.count_if(m).alias("redirected"), F.count_if(~m & s.between(400, 499)).alias("client_error"), F.count_if(~m & (s >= 500)).alias("server_error"), F.count_if(~m & (s == 0)).alias("unreachable")
+    )
+
+
 def by_suffix(rows: DataFrame, host: str, listed: DataFrame, domain: str = "domain") -> DataFrame:
     """rows joined with listed domains that are the host or a parent of it."""
     labels = F.split(F.col(host), r"\.")

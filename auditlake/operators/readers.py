@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..plans.engine import first_rows
+from .vitals import number, string
 
 NOT_SET_UP = "the reader for this platform is not set up"
 
@@ -49,3 +51,41 @@ def first_of(parts: list[DataFrame], most: int, by: str = "site", key: str = "ke
     every = reduce(DataFrame.unionByName, [p.select(by, key, F.struct(F.lit(i).alias("source"), F.col(pos).cast("long").alias("pos"), *rest).alias("at")) for i, p in enumerate(parts)])
     first = every.groupBy(by, key).agg(F.min("at").alias("at"))
     return first_rows(first, [by], ["at", key], most).select(by, key, *[F.col("at")[c].alias(c) for c in rest], F.col("n").cast("long").alias("place"))
+
+
+# Error codes of the business reader by what they mean, and a valid account name.
+EXPIRED, BUSY, PRIVATE, PRIVATE_SUB = (190,), (4, 17, 32, 613), (110, 24), (2207013, 2207001)
+HANDLE = r"^[A-Za-z0-9._]{1,30}\z"
+MOST_POSTS = 5
+
+
+def business_profiles(replies: DataFrame, key: str) -> DataFrame:
+    """key, status, title, description, note, newest (timestamp) of a business reader's replies.
+
+    replies: key, handle, granted (whether the budget allowed the call), http (null if it could not be reached), reply. The
+    reply is a variant: a refused token, a full budget and a private account are told apart by their codes; numbers and
+    texts of the wrong kind count as absent.
+    """
+    v = F.try_parse_json("reply")
+    p = lambda path, kind: number(F.col("v"), path) if kind == "n" else string(F.col("v"), path)
+    line = lambda c, most: F.substring(F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x7f]+", " "), r"\s+", " ")), 1, most)
+    d = "$.business_discovery."
+    code, sub = p("$.error.code", "n"), p("$.error.error_subcode", "n")
+    followers, posts = p(d + "followers_count", "n").cast("long"), p(d + "media_count", "n").cast("long")
+    stamps = F.transform(F.coalesce(F.try_variant_get("v", d + "media.data", "array<variant>"), F.array().cast("array<variant>")), lambda m: F.try_to_timestamp(string(m, "$.timestamp")))
+    read = replies.select(key, "handle", "granted", "http", F.inline(F.array(F.struct(v.alias("v")))))
+    read = read.select(
+        key, "handle", "granted", "http", code.alias("code"), sub.alias("sub"), F.schema_of_variant(F.try_variant_get("v", "$.business_discovery", "variant")).startswith("OBJECT").alias("has"), followers.alias("followers"), posts.alias("posts"),
+        line(F.coalesce(p(d + "name", "s"), F.lit("")), 120).alias("name"), line(F.coalesce(p(d + "username", "s"), F.col("handle")), 40).alias("user"), line(F.coalesce(p(d + "biography", "s"), F.lit("")), 300).alias("about"), F.array_max(F.slice(stamps, 1, MOST_POSTS)).alias("newest"),
+    )
+    why = (
+        F.when(~F.coalesce(F.col("handle"), F.lit("")).rlike(HANDLE), "the link names no valid account").when(~F.col("granted"), "the daily budget is used up").when(F.col("http").isNull(), "could not be reached").when(F.col("code").isin(*EXPIRED), "the access token has to be renewed")
+        .when(F.col("code").isin(*BUSY), "the rate limit was met").when(F.col("code").isin(*PRIVATE) | F.col("sub").isin(*PRIVATE_SUB), "not a business account, private or not there").when(F.col("http") >= 400, F.format_string("no usable answer (HTTP %d)", F.col("http")))
+        .when(~F.coalesce("has", F.lit(False)), "no business details")
+    )
+    stats = F.array_join(F.array_compact(F.array(F.concat(T.compact_number(F.col("followers")), F.lit(" followers")), F.concat(F.col("posts").cast("string"), F.lit(" posts")))), ", ")
+    found = why.isNull()
+    return read.select(
+        key, F.when(found, "found").otherwise("unreadable").alias("status"), F.when(found, F.when(F.col("name") != "", F.col("name")).otherwise(F.col("user"))).alias("title"), F.when(found, F.nullif(F.col("about"), F.lit(""))).alias("description"),
+        F.when(found, F.nullif(stats, F.lit(""))).otherwise(why).alias("note"), F.when(found, F.col("newest")).alias("newest"),
+    )

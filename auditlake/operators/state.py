@@ -99,6 +99,28 @@ def telemetry(steps: DataFrame) -> DataFrame:
     )
 
 
+# The steps of an audit in order, and which of them call each provider, the main one first.
+STEPS = "fetch render technical geo crawl citation content marketing performance social competitors synthesis".split()
+PROVIDERS = {"llm": ("citation", "content", "marketing", "competitors", "synthesis"), "pagespeed": ("performance",), "fetch-service": ("render", "social")}
+
+
+def recent_telemetry(steps: DataFrame, now_us: Column, most_age_us: int, order: list[str] = STEPS) -> DataFrame:
+    """telemetry of steps (step, ms, warned, us) younger than most_age_us, with ``place``: the listed steps in their order, others after them by name."""
+    known = F.create_map(*[x for i, s in enumerate(order) for x in (F.lit(s), F.lit(i))])
+    t = telemetry(steps.where(F.col("us") > now_us - most_age_us)).withColumn("ord", F.coalesce(F.try_element_at(known, F.col("step")), F.lit(len(order))))
+    return t.withColumn("place", F.row_number().over(Window.orderBy("ord", "step")).cast("long")).drop("ord")  # a row a step
+
+
+def provider_use(steps: DataFrame, calls: DataFrame, providers: dict[str, tuple[str, ...]] = PROVIDERS) -> DataFrame:
+    """run, provider, ord, n_steps, n_calls: the done steps of a run (run, step, warned) that a provider serves, and its calls (run, provider)."""
+    serves = F.broadcast(steps.sparkSession.createDataFrame([(p, i, s) for i, (p, own) in enumerate(providers.items()) for s in own], "provider string, ord int, step string"))
+    done = steps.where(~F.col("warned")).select("run", "step").distinct().join(serves, "step").groupBy("run", "provider").agg(F.count("*").alias("n_steps"))
+    made = calls.groupBy("run", "provider").agg(F.count("*").alias("n_calls"))
+    order = F.create_map(*[x for i, p in enumerate(providers) for x in (F.lit(p), F.lit(i))])
+    j = done.join(made, ["run", "provider"], "full")
+    return j.select("run", "provider", F.coalesce(F.try_element_at(order, F.col("provider")), F.lit(len(providers))).alias("ord"), F.coalesce("n_steps", F.lit(0)).cast("long").alias("n_steps"), F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"))
+
+
 def step_times(events: DataFrame) -> DataFrame:
     """events: scan_id, step, us, kind (start, done or warn). Each end with the start before it in the same scan and step."""
     w = Window.partitionBy("scan_id", "step").orderBy("us", "kind")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import links
 from ..operators import pages as P
 from ..plans import engine
 from ..sources import robots
@@ -182,15 +183,9 @@ WITH p AS (SELECT {_SITE} AS site, url, page_id % 7 AS k FROM pages),
 s AS (SELECT site, CASE WHEN k = 0 THEN 'redirected' WHEN k = 1 THEN 'server' WHEN k = 2 THEN 'client' WHEN k = 3 THEN 'unreachable' ELSE 'ok' END AS class FROM p)
 SELECT site, count(*) FILTER (class = 'ok') AS ok, count(*) FILTER (class = 'redirected') AS redirected, count(*) FILTER (class = 'client') AS client_error, count(*) FILTER (class = 'server') AS server_error, count(*) FILTER (class = 'unreachable') AS unreachable FROM s GROUP BY site""")
 def status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    k = F.col("page_id") % 7
-    status = F.when(k == 1, 503).when(k == 2, 404).when(k == 3, 0).otherwise(200)
-    moved = U.crawl_key(F.regexp_replace("url", r"[?#].*", "")) != U.crawl_key(F.when(k == 0, F.concat(F.regexp_replace("url", r"[?#].*", ""), F.lit("/moved"))).otherwise(F.regexp_replace("url", r"[?#].*", "")))
-    read = p.select(U.bare_host(F.col("url")).alias("site"), moved.alias("moved"), status.alias("status"))
-    s, m = F.col("status"), F.col("moved")
-    return read.groupBy("site").agg(
-        F.count_if(~m & s.between(1, 399)).alias("ok"), F.count_if(m).alias("redirected"), F.count_if(~m & s.between(400, 499)).alias("client_error"), F.count_if(~m & (s >= 500)).alias("server_error"), F.count_if(~m & (s == 0)).alias("unreachable")
-    )
+    k, plain = F.col("page_id") % 7, F.regexp_replace("url", r"[?#].*", "")
+    read = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("site"), plain.alias("url"), F.when(k == 0, F.concat(plain, F.lit("/moved"))).otherwise(plain).alias("final_url"), F.when(k == 1, 503).when(k == 2, 404).when(k == 3, 0).otherwise(200).alias("status"))
+    return links.status_classes(read)
 
 
 _MAPS = [

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import crawl as K
 from ..operators import readers as R
+from ..operators import state
 from ..operators import vitals as V
 from ..sources.anchors import with_hrefs
 from ..sources.tables import read_events, shared_path
@@ -166,3 +167,50 @@ def events_through_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink.written(stream, f"{out}/events", f"{out}/state")
     back = read_events(sink.committed(spark, f"{out}/events"))
     return back.select("event", F.from_json("data", "event_id long, user_id long, value double").alias("d")).select("event", "d.event_id", "d.user_id", "d.value")
+
+
+_STEP = "CASE CAST(event_id % 14 AS INT) " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(state.STEPS)) + " WHEN 12 THEN 'zeta' ELSE 'alpha' END"
+
+
+@query(f"""
+WITH e AS (SELECT {_STEP} AS step, value AS ms, event_type = 'error' AS warned, epoch_us(ts) AS us FROM events), r AS (SELECT * FROM e WHERE us > (SELECT max(us) FROM e) - {20 * state.DAY}),
+t AS (SELECT step, count(*) AS runs, CAST(floor(median(ms) + 0.5) AS BIGINT) AS median_ms, CAST(floor(max(ms) + 0.5) AS BIGINT) AS max_ms, CAST(floor(100.0 * count(*) FILTER (warned) / count(*) + 0.5) AS BIGINT) AS warned_percent FROM r GROUP BY step)
+SELECT *, row_number() OVER (ORDER BY coalesce(list_position([{", ".join(f"'{x}'" for x in state.STEPS)}], step), 99), step) AS place FROM t""")
+def telemetry_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times by step over the last twenty days, in the order of the audit."""
+    e = table(spark, sf_dir, "events")
+    step = F.element_at(F.array(*map(F.lit, [*state.STEPS, "zeta", "alpha"])), (F.col("event_id") % 14).cast("int") + 1)
+    rows_ = e.select(step.alias("step"), F.col("value").alias("ms"), (F.col("event_type") == "error").alias("warned"), state.micros("ts").alias("us"))
+    return state.recent_telemetry(rows_, F.lit(e.agg(F.max(state.micros("ts"))).first()[0]), 20 * state.DAY)
+
+
+@query(f"""
+WITH e AS (SELECT user_id AS run, event_id, {_STEP} AS step, event_type = 'error' AS warned FROM events), s AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{x}')" for p, own in state.PROVIDERS.items() for x in own)}) v(provider, step)),
+d AS (SELECT run, provider, count(DISTINCT step) AS n_steps FROM e JOIN s USING (step) WHERE NOT warned GROUP BY run, provider), c AS (SELECT run, CASE event_id % 4 WHEN 0 THEN 'llm' WHEN 1 THEN 'search' WHEN 2 THEN 'pagespeed' ELSE 'fetch-service' END AS provider, count(*) AS n_calls FROM e WHERE event_id % 3 = 0 GROUP BY ALL)
+SELECT run, provider, CAST(coalesce(list_position([{", ".join(f"'{p}'" for p in state.PROVIDERS)}], provider) - 1, 3) AS INT) AS ord, coalesce(n_steps, 0) AS n_steps, coalesce(n_calls, 0) AS n_calls FROM d FULL JOIN c USING (run, provider)""")
+def provider_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each provider served and how often it was called, by run."""
+    step = F.element_at(F.array(*map(F.lit, [*state.STEPS, "zeta", "alpha"])), (F.col("event_id") % 14).cast("int") + 1)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", step.alias("step"), (F.col("event_type") == "error").alias("warned"))
+    provider = F.element_at(F.array(*map(F.lit, ("llm", "search", "pagespeed", "fetch-service"))), (F.col("event_id") % 4).cast("int") + 1)
+    return state.provider_use(e, e.where("event_id % 3 = 0").select("run", provider.alias("provider")))
+
+
+_ACCOUNT = """CASE event_id % 9 WHEN 0 THEN '{"error":{"code":190}}' WHEN 1 THEN '{"error":{"code":17,"message":"x"}}' WHEN 2 THEN '{"error":{"code":1,"error_subcode":2207013}}' WHEN 3 THEN '{"business_discovery":7}' WHEN 4 THEN '{broken'
+  ELSE '{"business_discovery":{"username":"user' || user_id || '","name":"' || CASE WHEN event_id % 2 = 0 THEN ' Shop  ' || user_id ELSE '' END || '","followers_count":' || CASE WHEN event_id % 5 = 0 THEN '"many"' ELSE @text@(event_id * 250) END || ',"media_count":' || user_id || ',"media":{"data":[{"timestamp":"2024-01-0' || (1 + event_id % 7) || 'T10:00:00+0000"},{"timestamp":"never"},{"timestamp":"2024-01-05T10:00:00+0000"}]}}}' END"""
+_HANDLE = "CASE WHEN event_id % 11 = 0 THEN 'no/such' ELSE 'user' || user_id END"
+_HTTP = "CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 500 ELSE 200 END"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, user_id, {_HANDLE} AS handle, event_id % 10 <> 7 AS granted, {_HTTP} AS http, CAST(event_id % 9 AS INT) AS kind FROM events),
+w AS (SELECT *, CASE WHEN handle = 'no/such' THEN 'the link names no valid account' WHEN NOT granted THEN 'the daily budget is used up' WHEN http IS NULL THEN 'could not be reached' WHEN kind = 0 THEN 'the access token has to be renewed' WHEN kind = 1 THEN 'the rate limit was met'
+  WHEN kind = 2 THEN 'not a business account, private or not there' WHEN http >= 400 THEN 'no usable answer (HTTP ' || http || ')' WHEN kind IN (3, 4) THEN 'no business details' END AS why, event_id * 250 AS n FROM e)
+SELECT event_id, CASE WHEN why IS NULL THEN 'found' ELSE 'unreadable' END AS status, CASE WHEN why IS NULL THEN CASE WHEN event_id % 2 = 0 THEN 'Shop ' || user_id ELSE 'user' || user_id END END AS title,
+  coalesce(why, CASE WHEN event_id % 5 <> 0 THEN CASE WHEN n >= 999950 THEN regexp_replace(printf('%.1f', floor(n / 100000.0 + 0.5) / 10), '\\.0$', '') || 'M' WHEN n >= 1000 THEN regexp_replace(printf('%.1f', floor(n / 100.0 + 0.5) / 10), '\\.0$', '') || 'K' ELSE CAST(n AS VARCHAR) END || ' followers, ' ELSE '' END || user_id || ' posts') AS note,
+  CASE WHEN why IS NULL THEN 1704016800000000 + 86400000000 * greatest(1 + event_id % 7, 5) END AS newest_us FROM w""")
+def business_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A business reader's reply for every event, refused tokens, full budgets and private accounts told apart."""
+    made = _ACCOUNT.replace("@text@", "string").replace("{", "{{").replace("}", "}}")
+    r = spark.sql(f"SELECT event_id, {_HANDLE} AS handle, event_id % 10 <> 7 AS granted, {_HTTP} AS http, {made} AS reply FROM {{events}}", events=table(spark, sf_dir, "events"))
+    return R.business_profiles(r, "event_id").select("event_id", "status", "title", "note", F.unix_micros("newest").alias("newest_us"))
