@@ -15,12 +15,14 @@ from .url_queries import _BARE, _K2
 
 _HOST_SQL = _BARE.format("url")
 _ROOT = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
-_PLAIN = "regexp_replace(url, '#.*$', '')"
+#: Addresses without fragment, made the page's own by its number: an address gives one answer.
+_PLAIN = "regexp_replace(url, '#.*$', '') || CASE WHEN contains(regexp_replace(url, '#.*$', ''), '?') THEN '&' ELSE '?' END || 'p=' || page_id"
 
 
 def _archive(spark: SparkSession, sf_dir: str) -> str:
     """A folder of recorded responses: every third page behind a redirect, every seventh behind two, every eleventh in a loop, every thirteenth not there."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*", "").alias("url"), U.bare_host(F.col("url")).alias("site"), F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1).alias("root"), "html")
+    plain_url = F.regexp_replace("url", "#.*", "")
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(plain_url, F.when(plain_url.contains("?"), "&").otherwise("?"), F.lit("p="), F.col("page_id").cast("string")).alias("url"), U.bare_host(F.col("url")).alias("site"), F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1).alias("root"), "html")
     n = F.col("page_id").cast("string")
     hop, far, loop, gone = (F.concat("root", F.lit(f"/{k}/"), n) for k in ("hop", "far", "loop", "gone"))
     i = F.col("page_id")

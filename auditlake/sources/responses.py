@@ -117,7 +117,7 @@ class ResponseReader(DataSourceReader):
         """Chains are followed on addresses and statuses alone; then the bodies at their ends are read, a few at a time."""
         answers = {}
         for r in self._rows("answers", site, ["url", "status", "headers"]):
-            answers[r["url"]] = (r["status"], {k.lower(): v for k, v in (r["headers"] or [])})
+            answers.setdefault(r["url"], (r["status"], {k.lower(): v for k, v in (r["headers"] or [])}))
         ends: dict[str, list[tuple]] = {}
         for r in asked:
             url, hops, error = follow(r["url"], lambda u: answers.get(u, (None, {})), self.most_redirects)

@@ -44,7 +44,8 @@ class StepTimer(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # All that lies before the watermark is at hand, so it is worked off at once; later timers then find nothing.
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         events = sorted((int(us), kind) for us, kind in self.held.get())
         due, later = [e for e in events if e[0] < until], [e for e in events if e[0] >= until]
         if due:
