@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ship import ship
+from ..ship import _LIMIT as BATCH_LIMIT
+from ..ship import BATCH_BYTES, ship
 from ..storage import Stash, shared_dir  # noqa: F401  the operators take them from here
 
 T = TypeVar("T")
@@ -56,6 +57,12 @@ def in_arrow(df: DataFrame, f, schema, uses: str = "") -> DataFrame:
     return df.mapInArrow(tidy, schema)
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 1 << 20) -> None:
+    """Arrow batches of a chain of stages: smaller than those of a single query, for what each stage leaves behind adds up. A limit set for the session holds."""
+    if spark.conf.get(BATCH_LIMIT, None) in (None, str(BATCH_BYTES)):
+        spark.conf.set(BATCH_LIMIT, str(most_bytes))
+
+
 def release_memory() -> None:
     """Hands freed memory back to the system: workers are kept, and what one task used should not count against the next."""
     gc.collect()
