@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm.common import Stash
+from auditlake.llm.common import Stash, small_batches
 from auditlake.llm.langid import keep_known
 from auditlake.llm.minhash import keep_first
 from auditlake.llm.packing import pack
@@ -23,26 +23,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    small_batches(spark)
     return keep_known(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak supervision of the quality rules keeps."""
+    small_batches(spark)
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return keep_first(docs, width=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, found secrets replaced by a mark and n_chars counted anew where that happened."""
+    small_batches(spark)
     return redact(docs, length="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens."""
+    small_batches(spark)
     return pack(docs)
 
 
