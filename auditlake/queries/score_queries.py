@@ -134,8 +134,12 @@ g AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY lost DESC, gap) AS
 SELECT site, score, CASE WHEN score >= 80 THEN 'Strong' WHEN score >= 60 THEN 'Moderate' WHEN score >= 40 THEN 'Weak' ELSE 'Very weak' END AS band, string_agg(gap, '; ' ORDER BY place) AS gaps FROM t LEFT JOIN (SELECT * FROM g WHERE place <= 3) g USING (site) GROUP BY site, score""")
 def readiness_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = outcomes(spark, sf_dir)
+    return readiness_verdict_of(o, S.readiness(o))
+
+
+def readiness_verdict_of(o: DataFrame, ready: DataFrame) -> DataFrame:
     gaps = S.readiness_gaps(o).groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "gap"))), lambda x: x["gap"]), "; ").alias("gaps"))
-    return S.readiness_total(S.readiness(o)).join(gaps, "site", "left")
+    return S.readiness_total(ready).join(gaps, "site", "left")
 
 
 @query(f"WITH {_F}, k AS (SELECT *, row_number() OVER (PARTITION BY site, module_ord ORDER BY sev, check_ord) AS k FROM f) SELECT site, id, place FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY module_ord, k) AS place FROM k WHERE k <= 5) WHERE place <= 12")
