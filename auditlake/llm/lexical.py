@@ -39,6 +39,9 @@ from .ngrams import split_words
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
 BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 1 << 16
+#: A row of the index is a block of some megabytes, and Parquet holds a row group in memory when it writes and when it
+#: reads; left alone it looks at the size only after a hundred rows.
+ROW_GROUPS = {"parquet.block.size": "8388608", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: Per tier but the last: the share of a term's postings in a block down to its end, and how many at least.
 TIERS = ((1 / 16, 16), (1 / 4, 64))
 #: A batch of items that goes to every task: distinct terms with their item, and items.
@@ -173,7 +176,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
                     size += piece.nbytes
         yield from flush()
 
-    return Index(Stash(docs.sparkSession).put(in_arrow(docs, each, schema)), stats, len(tiers) + 1)
+    return Index(Stash(docs.sparkSession).put(in_arrow(docs, each, schema), options=ROW_GROUPS), stats, len(tiers) + 1)
 
 
 class Block:

@@ -42,10 +42,10 @@ class Stash:
         fs.deleteOnExit(p)
         return path
 
-    def put(self, df: DataFrame, tasks: int | None = None) -> DataFrame:
-        """df as written. tasks: how many write it at most, for tables whose size is known to be small."""
+    def put(self, df: DataFrame, tasks: int | None = None, options: dict[str, str] | None = None) -> DataFrame:
+        """df as written. tasks: how many write it at most, for tables whose size is known to be small; options: the writer's."""
         path = self.folder()
-        (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
+        (df if tasks is None else df.coalesce(tasks)).write.options(**(options or {})).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stash_path = path
         return out
