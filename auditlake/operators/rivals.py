@@ -9,25 +9,32 @@ from ..functions import text as T
 
 
 def score_gaps(own: DataFrame, rivals: DataFrame, least: int = 10) -> DataFrame:
-    """own: site, module, score; rivals: site, rival, module, score. How many are ahead by ``least``, and who leads."""
-    j = rivals.where("score is not null").join(own.where("score is not null").select("site", "module", F.col("score").alias("mine")), ["site", "module"])
+    """own: site, module, score; rivals: site, rival, module, score. How many are ahead by ``least``, and who leads.
+
+    Here and below joins are on the site alone, a site's own rows in one: tables partitioned by site meet without a shuffle.
+    """
+    mine = own.where("score is not null").groupBy("site").agg(F.collect_list(F.struct("module", F.col("score").alias("mine"))).alias("own"))
+    j = rivals.where("score is not null").join(mine, "site").withColumn("own", F.explode(F.filter("own", lambda x: x["module"] == F.col("module")))).withColumn("mine", F.col("own.mine"))
     ahead = F.col("score") - F.col("mine") >= least
     agg = j.groupBy("site", "module", "mine").agg(F.count_if(ahead).alias("n_ahead"), F.max_by("rival", F.struct(F.col("score"), F.col("rival"))).alias("leader"), F.max("score").alias("best"))
     return agg.where("n_ahead > 0")
 
 
 def common_checks(failed: DataFrame, passed: DataFrame, most: int = 4) -> DataFrame:
-    """Own failed checks (site, id) that half of the rivals or more pass (site, rival, id); the most common first."""
-    n = passed.groupBy("site").agg(F.countDistinct("rival").alias("n"))
-    counted = failed.join(passed.select("site", "rival", "id").distinct(), ["site", "id"]).groupBy("site", "id").agg(F.count("*").alias("n_pass")).join(n, "site")
-    often = counted.where(F.col("n_pass") >= F.ceil(F.col("n") / 2))
+    """Own failed checks (site, id) that half of the rivals or more pass (site, rival, id); the most common first. A site has so many checks at most."""
+    theirs = passed.groupBy("site", "rival").agg(F.collect_set("id").alias("ids")).groupBy("site").agg(F.count("rival").alias("n"), F.flatten(F.collect_list("ids")).alias("ids"))
+    # An own check that is listed twice counts twice.
+    own = failed.groupBy("site").agg(F.collect_list("id").alias("own"))
+    counted = own.join(theirs, "site").select("site", "n", "own", "ids", F.explode(F.array_distinct("own")).alias("id")).select("site", "n", "id", (F.size(F.filter("own", lambda x: x == F.col("id"))) * F.size(F.filter("ids", lambda x: x == F.col("id")))).cast("long").alias("n_pass"))
+    often = counted.where((F.col("n_pass") > 0) & (F.col("n_pass") >= F.ceil(F.col("n") / 2)))
     return often.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("n_pass"), "id")).cast("long")).where(F.col("place") <= most)
 
 
 def only_theirs(own: DataFrame, theirs: DataFrame, most: int = 5, least: int = 1) -> DataFrame:
     """Values (site, rival, value) that ``least`` rivals or more have and the site (site, value) has not."""
     counted = theirs.distinct().groupBy("site", "value").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    gap = counted.join(own.distinct(), ["site", "value"], "left_anti")
+    has = own.groupBy("site").agg(F.collect_set("value").alias("own"))
+    gap = counted.join(has, "site", "left").where(~F.coalesce(F.array_contains("own", F.col("value")), F.lit(False))).drop("own")
     return gap.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("n"), "value")).cast("long")).where(F.col("place") <= most)
 
 
@@ -54,6 +61,8 @@ def sentences(gaps: DataFrame, n_rivals: DataFrame, checks: DataFrame, theirs: D
     said = parts[0]
     for p in parts[1:]:
         said = said.unionByName(p)
-    none = n_rivals.join(said.select("site").distinct(), "site", "left_anti").select("site", t(9).alias("kind"), t(0).cast("long").alias("ord"), t("No clear gap to these rivals.").alias("sentence"))
+    none = n_rivals.select("site", t(9).alias("kind"), t(0).cast("long").alias("ord"), t("No clear gap to these rivals.").alias("sentence"))
     order = Window.partitionBy("site").orderBy("kind", "ord", "sentence")
-    return said.unionByName(none).select("site", F.row_number().over(order).cast("long").alias("place"), "sentence")
+    # The last resort stands first only where it stands alone: what is said need not be worked out a second time to know.
+    rows = said.unionByName(none).withColumn("least", F.min("kind").over(Window.partitionBy("site"))).where("kind < 9 or least = 9")
+    return rows.select("site", F.row_number().over(order).cast("long").alias("place"), "sentence")

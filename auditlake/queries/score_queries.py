@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import rivals as R
 from ..operators import scoring as S
 from ..plans import catalogue as C
+from ..storage import Stash
 from .registry import per_page, query, rows, table
 
 _MEMBERS = [k for _, ms in S.READINESS.values() for k in ms]
@@ -23,8 +24,22 @@ SELECT site, {_CASE('k', [k.split(':')[0] for k in _IDS])} AS module, {_CASE('k'
 FROM (SELECT l_orderkey AS site, (l_partkey + 11 * j) % {len(_IDS)} AS k, max(l_partkey + j) AS a, max(l_suppkey + l_linenumber + j) AS b FROM lineitem CROSS JOIN (VALUES (0), (1), (2)) v(j) GROUP BY l_orderkey, (l_partkey + 11 * j) % {len(_IDS)}) g"""
 
 
+def by_site(df: DataFrame, site: str = "site") -> DataFrame:
+    """df spread by site, in a number of parts that stays: groups, windows and joins of a site need no other shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), site)
+
+
+def kept_by_site(stash: Stash, o: DataFrame) -> DataFrame:
+    """o as written, a site's rows in one, and spread by site anew: what reads it needs no shuffle of its own."""
+    own = [c for c in o.columns if c != "site"]
+    packed = stash.put(o.groupBy("site").agg(F.collect_list(F.struct(*own)).alias("rows")))
+    return by_site(packed).select("site", F.inline("rows"))
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.sql(OUTCOMES_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    """The narrow lines are shuffled, once; what they are unfolded into stays where it is."""
+    lines = by_site(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "l_orderkey")
+    o = spark.sql(OUTCOMES_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines)
     finding = F.struct(F.concat_ws(":", "module", "id").alias("id"), "module", "severity", "effort", F.concat(F.lit("Problem with "), "id").alias("title"))
     return o.select("site", "module", F.col("module_text").cast("int").alias("module_ord"), "check_ord", "id", "weight", "passed", F.col("credit").cast("double").alias("credit"), F.when(F.col("found"), finding).alias("finding"))
 
@@ -172,8 +187,11 @@ _RIVAL = "v AS (SELECT m.site - d.d AS site, m.site AS rival, m.module, m.score
 
 
 def _of_rivals(df: DataFrame) -> DataFrame:
-    days = df.sparkSession.range(1, 4).withColumnRenamed("id", "d")
-    return df.withColumnRenamed("site", "rival").join(F.broadcast(days)).withColumn("site", F.col("rival") - F.col("d")).drop("d")
+    """A site's rows as a rival's of the three sites before it. They move as one row."""
+    own = [c for c in df.columns if c != "site"]
+    packed = df.groupBy("site").agg(F.collect_list(F.struct(*own)).alias("rows")) if own else df
+    moved = packed.select(F.col("site").alias("rival"), *(["rows"] if own else []), F.explode(F.array(*[F.col("site") - d for d in (1, 2, 3)])).alias("site"))
+    return by_site(moved).select("site", "rival", *([F.inline("rows")] if own else []))
 
 
 @query(f"""WITH {_M}, {_RIVAL}, j AS (SELECT v.*, m.score AS mine FROM v JOIN m ON m.site = v.site AND m.module = v.module)
