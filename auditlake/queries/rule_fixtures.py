@@ -194,8 +194,15 @@ def _made(spark: SparkSession, sf_dir: str, rows_: list[dict]) -> DataFrame:
     return every.select(*[F.replace(F.replace(c, F.lit("{n}"), F.col("n")), F.lit("{t}"), F.col("t")).alias(c) if t == "string" else F.col(c) for c, t in kinds.dtypes if c != "kind"])
 
 
-def _outcomes(spark: SparkSession, sf_dir: str, module: str) -> DataFrame:
-    """site, id, passed of one module's rules on the sites made of all pages, by the engine."""
+#: The part of a site's row that a rule reads beside the homepage, its own files and the counts over inner pages.
+_PART_OF = {
+    "article-authorship": "articles", "robots-sitemap": "robots", "broken-links": "broken", "sitemap": "sitemap", "sitemap-quality": "sitemap", "orphan-pages": "orphans", **{r: "robots" for r in _GEO if r.startswith("ai-crawler-")}, **dict.fromkeys(_CITATION, "citation"),
+    **dict.fromkeys(("has-profiles", "profile-links-valid", "key-platforms"), "profiles"),
+}
+
+
+def _outcomes(spark: SparkSession, sf_dir: str, modules: tuple[str, ...], ids) -> DataFrame:
+    """site, id, passed of some rules on the sites made of all pages, by the engine; only the parts that they read are worked out."""
     home, inner = _made(spark, sf_dir, _HOMES), _made(spark, sf_dir, _INNER)
     heads = {"x-content-type-options": "xcto", "x-frame-options": "xfo", "referrer-policy": "ref", "strict-transport-security": "hsts", "x-robots-tag": "xrobots", "last-modified": "modified"}
     headers = F.map_filter(F.create_map(*[x for k, c in heads.items() for x in (F.lit(k), F.col(c))]), lambda k, v: v.isNotNull())
@@ -208,7 +215,8 @@ def _outcomes(spark: SparkSession, sf_dir: str, module: str) -> DataFrame:
         F.struct("answered", "missing", F.col("newest").alias("newest_days")).alias("reads"), F.struct("score", "lcp", "cls", "tbt", "fcp").alias("speed"),
     )
     broken = home.select("site", F.explode(F.sequence(F.lit(0), F.col("broken"))).alias("k")).where("k > 0").select("site", F.lit("https://x.test/").alias("url"), F.lit(404).alias("status"))
-    return engine.evaluate(engine.sites(pages, meta, broken), C.rules((module,))).select("site", "id", "passed")
+    rules = [r for r in C.rules(modules) if r.id in ids]
+    return engine.evaluate(engine.sites(pages, meta, broken, frozenset(_PART_OF[i] for i in ids if i in _PART_OF)), rules).select("site", "id", "passed")
 
 
 def _type(column: str, rows_: list[dict] | None = None) -> str:
@@ -217,7 +225,7 @@ def _type(column: str, rows_: list[dict] | None = None) -> str:
 
 
 def _only(module: str, rules) -> callable:
-    return lambda spark, sf_dir: _outcomes(spark, sf_dir, module).where(F.col("id").isin(list(rules)))
+    return lambda spark, sf_dir: _outcomes(spark, sf_dir, (module,), rules)
 
 
 for _module, _rules in (("technical", _TECHNICAL), ("geo", _GEO), ("content", _CONTENT), ("marketing", _MARKETING), ("citation", _CITATION), ("social", _SOCIAL), ("performance", _SPEED)):
@@ -243,5 +251,4 @@ SELECT site, u.id AS id, u.passed AS passed FROM (SELECT s.site, unnest([{{'id':
 def rules_over_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that look at several pages of a site, of two modules."""
     wanted = ("pages-titles", "pages-descriptions", "pages-h1", "pages-content", "canonical-consistency", "internal-redirects", "article-authorship", "orphan-pages")
-    both = _outcomes(spark, sf_dir, "technical").unionByName(_outcomes(spark, sf_dir, "crawl"))
-    return both.where(F.col("id").isin(list(wanted)))
+    return _outcomes(spark, sf_dir, ("technical", "crawl"), wanted)

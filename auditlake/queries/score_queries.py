@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import rivals as R
 from ..operators import scoring as S
 from ..plans import catalogue as C
-from ..storage import Stash
 from .registry import per_page, query, rows, table
 
 _MEMBERS = [k for _, ms in S.READINESS.values() for k in ms]
@@ -29,13 +28,6 @@ def by_site(df: DataFrame, site: str = "site") -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), site)
 
 
-def kept_by_site(stash: Stash, o: DataFrame) -> DataFrame:
-    """o as written, a site's rows in one, and spread by site anew: what reads it needs no shuffle of its own."""
-    own = [c for c in o.columns if c != "site"]
-    packed = stash.put(o.groupBy("site").agg(F.collect_list(F.struct(*own)).alias("rows")))
-    return by_site(packed).select("site", F.inline("rows"))
-
-
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The narrow lines are shuffled, once; what they are unfolded into stays where it is."""
     lines = by_site(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "l_orderkey")
