@@ -82,7 +82,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of four batches by time and one that lets the watermark pass them all."""
     e = table(spark, sf_dir, "events")
     e = e.withColumn("ts", F.col("ts").cast("timestamp"))
-    return windows.event_stream(spark, in_slices(e), e.schema)
+    return in_slices(e)
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL")

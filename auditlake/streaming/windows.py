@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def event_stream(spark, path: str, schema) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def event_stream(spark, path: str, schema, files: int = 1) -> DataFrame:
+    """Parquet files of a folder as a stream, so many a batch in the order in which they were written."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def hits_per_window(events: DataFrame, key: str, ts: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
