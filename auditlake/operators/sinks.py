@@ -19,15 +19,20 @@ def _lines(rows: Column, f) -> Column:
     return F.array_join(F.transform(rows, f), "\n")
 
 
-def markdown(overall: DataFrame, modules: DataFrame, fixes: DataFrame) -> DataFrame:
-    """site, report. overall: site, overall, grade; modules: site, module, score; fixes: site, place, id, severity, effort, title."""
-    m = modules.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("module", "score"))).alias("m"))
-    f = fixes.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("place", "severity", "effort", "title"))).alias("f"))
+def markdown_text() -> Column:
+    """The report of site, overall, grade, m (module, score) and f (place, severity, effort, title)."""
     score = lambda c: F.coalesce(c.cast("string"), F.lit("n/a"))
     head = F.concat(F.lit("# Audit of "), T.escape_markdown(F.col("site").cast("string")), F.lit("\n\nOverall "), score(F.col("overall")), F.lit(", grade "), F.coalesce("grade", F.lit("n/a")))
     table = F.concat(F.lit("\n\n| Module | Score |\n|---|---|\n"), _lines(F.col("m"), lambda x: F.concat(F.lit("| "), T.escape_markdown(x["module"]), F.lit(" | "), score(x["score"]), F.lit(" |"))))
     top = F.when(F.size("f") > 0, _lines(F.col("f"), lambda x: F.concat(x["place"].cast("string"), F.lit(". "), T.escape_markdown(x["title"]), F.lit(" ("), x["severity"], F.lit(", "), x["effort"], F.lit(" effort)")))).otherwise("No issues found.")
-    return overall.join(m, "site", "left").join(f, "site", "left").select("site", F.concat(head, F.coalesce(table, F.lit("")), F.lit("\n\n## Top fixes\n\n"), F.coalesce(top, F.lit("No issues found."))).alias("report"))
+    return F.concat(head, F.coalesce(table, F.lit("")), F.lit("\n\n## Top fixes\n\n"), F.coalesce(top, F.lit("No issues found.")))
+
+
+def markdown(overall: DataFrame, modules: DataFrame, fixes: DataFrame) -> DataFrame:
+    """site, report. overall: site, overall, grade; modules: site, module, score; fixes: site, place, id, severity, effort, title."""
+    m = modules.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("module", "score"))).alias("m"))
+    f = fixes.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("place", "severity", "effort", "title"))).alias("f"))
+    return overall.join(m, "site", "left").join(f, "site", "left").select("site", markdown_text().alias("report"))
 
 
 def fix_prompt(fixes: DataFrame) -> DataFrame:
@@ -44,18 +49,6 @@ def fix_kit(found: DataFrame) -> DataFrame:
     return fired.select("site", F.array_join(items, " ").alias("items"))
 
 
-def sections(report: DataFrame, parts: list[tuple[str, DataFrame, Column, str]]) -> DataFrame:
-    """report (site, report) with more sections. parts: heading, rows (site, ord and columns of its own), their line, what stands there without rows.
-
-    Each part's rows are a bounded list a site, gathered in order; a site without rows of a part gets its other text.
-    """
-    out = report
-    for k, (heading, rows, line, otherwise) in enumerate(parts):
-        lines = rows.select("site", "ord", line.alias("line")).groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias(f"_{k}"))
-        out = out.join(lines, "site", "left").withColumn("report", F.concat("report", F.lit(f"\n\n## {heading}\n\n"), F.coalesce(f"_{k}", F.lit(otherwise)))).drop(f"_{k}")
-    return out
-
-
 def lookup(asked: DataFrame, reports: DataFrame, now: Column, most_age_us: int) -> DataFrame:
     """asked (id) with status and the newest report (id, us, report): 404 where there is none, or none young enough."""
     newest = reports.groupBy("id").agg(F.max_by(F.struct("us", "report"), F.struct("us", "report")).alias("r"))
