@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Into how many buckets the keys of a running limit are spread.
+BUCKETS = 512
+
 
 def event_stream(spark, path: str, schema, files: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream, so many a batch in the order in which they were written."""
@@ -26,30 +29,44 @@ def running_limit(events: DataFrame, key: str, ts: str, window_us: int, limit: i
     """Consume-if-below over a stream: the granted times of a key are its state, dropped once the window has passed.
 
     Hits count in the order in which they arrive, those of one micro-batch by time: as a server sees them. A key
-    without hits for a window is forgotten when the watermark is past it.
+    whose window has passed is forgotten. Keys share a number of buckets by hash, each with one state: the granted
+    times of its keys, so that state is read and written by buckets, not by keys.
     """
+    import bisect
+
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    def step(k, batches, state):
+    def step(_, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        granted = list(state.get[0]) if state.exists else []
-        n_ok = n_no = 0
-        for us in sorted(u for b in batches for u in b["us"]):
-            granted = [t for t in granted if t > us - window_us]
-            if len(granted) < limit:
-                granted.append(us)
-                n_ok += 1
-            else:
-                n_no += 1
-        state.update((granted,))
-        state.setTimeoutTimestamp(max(max(granted, default=0) + window_us, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
-        yield pd.DataFrame({key: [k[0]], "granted": [n_ok], "refused": [n_no]})
-
-    rows = events.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late).select(key, "_at", F.unix_micros("_at").alias("us"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {dict(events.dtypes)[key]}, granted long, refused long", "granted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+        held = {}
+        for k, us in zip(*state.get, strict=True) if state.exists else ():
+            held.setdefault(k, []).append(us)
+        hits = pd.concat(list(batches), ignore_index=True)
+        out = []
+        for k, own in hits.sort_values("us").groupby("key", sort=False, dropna=False)["us"]:
+            k = None if pd.isna(k) else k
+            granted = held.setdefault(k, [])  # in order of time
+            n_ok = 0
+            for us in own.tolist():
+                del granted[: bisect.bisect_right(granted, us - window_us)]
+                if len(granted) < limit:
+                    bisect.insort(granted, us)
+                    n_ok += 1
+            out.append((k, n_ok, len(own) - n_ok))
+        now = state.getCurrentWatermarkMs() * 1000
+        kept = [(k, us) for k, granted in held.items() if granted and granted[-1] + window_us > now for us in granted]
+        state.update(([k for k, _ in kept], [us for _, us in kept]))
+        state.setTimeoutTimestamp(max(max((us for _, us in kept), default=0) + window_us, now) // 1000 + 1)
+        yield pd.DataFrame(out, columns=["key", "granted", "refused"])
+
+    rows = events.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
+    # As text, a key is itself in pandas whatever others there are.
+    keyed = rows.select(F.pmod(F.hash(key), F.lit(BUCKETS)).alias("bucket"), F.col(key).cast("string").alias("key"), "_at", F.unix_micros("_at").alias("us")).groupBy("bucket")
+    counts = keyed.applyInPandasWithState(step, "key string, granted long, refused long", "keys array<string>, granted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return counts.select(F.col("key").cast(dict(events.dtypes)[key]).alias(key), "granted", "refused")
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
