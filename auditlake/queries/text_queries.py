@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.passes import normal_quotes
 from .registry import per_page, query, rows, table
 
 _NO_EDGE_FACT = T.FACT.replace("'", "''")
@@ -169,20 +170,17 @@ WHERE length(q) >= 10 AND len(string_split(q, ' ')) >= 3 GROUP BY item_id""")
 def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold a benchmark item word for word.
 
-    Items that share their first four words with a document's position are candidates (an equi-join on word
-    runs), so documents and items never meet by a cross join; containment is then checked as such.
+    Items meet documents by their longest inner word, which a document that holds the item has as a whole word (the
+    first and the last may be parts of words there). The items go to every task, so a text stays where it was read.
     """
-    n = table(spark, sf_dir, "benchmark").select("item_id", T.normal_quote(F.col("text")).alias("q"))
-    n = n.where((F.length("q") >= 10) & (F.size(F.split("q", " ")) >= 3))
-    d = table(spark, sf_dir, "documents").select("doc_id", T.normal_quote(F.col("text")).alias("t"))
-    # A quote may begin inside a word, so its first word is left out of the key.
-    key = F.array_join(F.slice(F.split("q", " "), 2, F.least(F.lit(2), F.size(F.split("q", " ")) - 2)), " ")
-    long = n.withColumn("key", key).withColumn("width", F.least(F.lit(2), F.size(F.split("q", " ")) - 2))
-    runs = d.select("doc_id", F.split("t", " ").alias("w"))
-    grams = runs.select("doc_id", F.explode(F.array_distinct(F.transform("w", lambda x, i: F.array_join(F.slice(F.col("w"), i + 1, 2), " ")))).alias("key"), F.lit(2).alias("width"))
-    singles = runs.select("doc_id", F.explode(F.array_distinct("w")).alias("key"), F.lit(1).alias("width"))
-    found = grams.join(long, ["key", "width"], "inner").unionByName(singles.join(long, ["key", "width"], "inner")).select("item_id", "doc_id", "q").distinct()
-    return found.join(d, "doc_id").where(F.col("t").contains(F.col("q"))).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    n = table(spark, sf_dir, "benchmark").select("item_id", T.normal_quote(F.col("text")).alias("q")).withColumn("w", F.split("q", " "))
+    n = n.where((F.length("q") >= 10) & (F.size("w") >= 3))
+    inner = F.transform(F.slice("w", 2, F.size("w") - 2), lambda w: F.struct(F.length(w).alias("n"), w.alias("word")))
+    d = normal_quotes(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")), "t")
+    # The outer form, for Spark would split every text a second time to see that the list is not empty.
+    words = d.select("doc_id", "t", F.explode_outer(F.array_distinct(F.split("t", " "))).alias("word"))
+    found = words.join(F.broadcast(n.select("item_id", "q", F.array_max(inner)["word"].alias("word"))), "word").where(F.col("t").contains(F.col("q")))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 _NUMBERS = "(SELECT DISTINCT CAST(floor(value * value * (1 + event_id % 700)) AS BIGINT) AS n FROM events)"
