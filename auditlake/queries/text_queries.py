@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.passes import normal_quotes
+from ..functions.passes import normal_quotes, reading_eases
 from .registry import per_page, query, rows, table
 
 _NO_EDGE_FACT = T.FACT.replace("'", "''")
@@ -42,8 +42,7 @@ s AS (
 SELECT doc_id, CAST(floor(206.835 - 1.015 * (CAST(k AS DOUBLE) / n) - 84.6 * (y / CAST(k AS DOUBLE)) + 0.5) AS BIGINT) AS ease, CAST(k AS BIGINT) AS words
 FROM s WHERE k > 0""")
 def reading_ease(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(T.reading_ease(F.col("text")))).alias("r"))
-    return d.where("r is not null").select("doc_id", "r.ease", "r.words")
+    return reading_eases(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(rf"""
