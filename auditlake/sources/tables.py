@@ -31,6 +31,10 @@ def read_scorecards(spark: SparkSession, path: str) -> DataFrame:
 
 def read_events(lines: DataFrame, text: str = "value") -> DataFrame:
     """Server-sent events: blocks parted by a blank line, with ``event:`` and ``data:`` lines."""
-    block = F.explode(F.split(text, r"\r?\n\r?\n")).alias("block")
+    t = F.col(text)
+    several = t.contains("\n\n") | t.contains("\n\r\n")
+    # A text that is one block, as files read by blank lines give them, need not be cut. The outer form, for Spark would
+    # cut every text a second time to see that the list is not empty.
+    block = F.explode_outer(F.when(several, F.split(t, r"\r?\n\r?\n")).otherwise(F.array(t))).alias("block")
     b = lines.select(block).where("block <> ''")
     return b.select(F.regexp_extract("block", r"(?m)^event:[ ]?(.*)$", 1).alias("event"), F.array_join(F.regexp_extract_all("block", F.lit(r"(?m)^data:[ ]?(.*)$"), F.lit(1)), "\n").alias("data"))

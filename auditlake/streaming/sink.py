@@ -10,16 +10,20 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from datetime import datetime
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter, DataSourceStreamWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..ship import ship
 
 FORMAT = "audit_events"
+#: Events that are written at once.
+TOGETHER = 1_000
 
 
 def _folder(path: str):
@@ -35,7 +39,7 @@ class EventSink(DataSource):
         return FORMAT
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:  # noqa: N802
-        return EventWriter(self.options["path"], schema.names.index("event"))
+        return BatchWriter(self.options["path"], schema.names.index("event"))
 
 
 @dataclass
@@ -49,15 +53,18 @@ class EventWriter(DataSourceStreamWriter):
 
     def write(self, rows: Iterator) -> Written:
         """One file of this task's rows; none where it has none. A row is an event's name and its other columns as JSON."""
+        return self._written((row[self.event], {k: v for i, (k, v) in enumerate(row.asDict(True).items()) if i != self.event}) for row in rows)
+
+    def _written(self, events: Iterable[tuple[str | None, dict]]) -> Written:
         system, root = _folder(self.path)
         name, out = f"events-{uuid.uuid4().hex}.sse", None
+        texts = (sse(event, {k: v for k, v in fields.items() if v is not None}) for event, fields in events)
         try:
-            for row in rows:
+            while some := "".join(islice(texts, TOGETHER)):
                 if out is None:
                     system.create_dir(f"{root}/files", recursive=True)
                     out = system.open_output_stream(f"{root}/files/{name}")
-                fields = {k: v for i, (k, v) in enumerate(row.asDict(True).items()) if i != self.event and v is not None}
-                out.write(sse(row[self.event], fields).encode())
+                out.write(some.encode())
         finally:
             if out is not None:
                 out.close()
@@ -87,10 +94,30 @@ class EventWriter(DataSourceStreamWriter):
                 system.delete_file(f"{root}/files/{name}")
 
 
+class BatchWriter(EventWriter, DataSourceStreamArrowWriter):
+    """The same from Arrow batches, as Spark sends them: no row of its own is made of each event."""
+
+    def write(self, batches: Iterator) -> Written:
+        def events() -> Iterator:
+            for b in batches:
+                for row in b.to_pylist(maps_as_pydicts="lossy"):
+                    yield row.pop(b.schema.names[self.event]), row
+
+        return self._written(events())
+
+
+def _text(value: object) -> str:
+    """Times are written in the session's zone, without naming it, as rows hold them."""
+    return str(value.replace(tzinfo=None) if isinstance(value, datetime) else value)
+
+
+_encode = json.JSONEncoder(default=_text, ensure_ascii=False, sort_keys=True).encode
+
+
 def sse(event: str | None, data: dict) -> str:
     """One server-sent event; line ends cannot break it, for JSON writes them as escapes."""
     name = " ".join((event or "message").split())
-    return f"event: {name}\ndata: {json.dumps(data, default=str, ensure_ascii=False, sort_keys=True)}\n\n"
+    return f"event: {name}\ndata: {_encode(data)}\n\n"
 
 
 def written(stream: DataFrame, path: str, checkpoint: str) -> None:
