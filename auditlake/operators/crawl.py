@@ -1,9 +1,10 @@
 """The bounded crawl: a frontier that grows over the link graph, level by level, with a quota a site.
 
 Pages are met in the order in which a crawler meets them: by the place of the page that links to them first, then by
-the place of the link. A level is one join of the frontier with the links, an anti-join with what was seen, and a
-ranking that keeps no more rows of a site than its quota before the shuffle, so a site with a third of all links is no
-larger than any other. The number of levels is bounded by ``most_depth``; the crawl ends when a level brings nothing.
+the place of the link, then by key. A level is one join of the frontier with the links, an anti-join with what was
+seen, and a ranking that keeps no more rows of a site than its quota before the shuffle, so a site with a third of all
+links is no larger than any other. The number of levels is bounded by ``most_depth``; the crawl ends when a level
+brings nothing.
 """
 
 from __future__ import annotations
@@ -31,17 +32,18 @@ def crawl(seeds: DataFrame, links: DataFrame, most_pages: int = 40, most_depth:
     and has no links of its own.
     """
     stash = Stash(seeds.sparkSession)
-    # Fewer than the quota are kept of a site whatever it links to, before any shuffle by site.
-    ranked = lambda df, order: df.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy(order, "key"))).where(F.col("n") <= most_pages)
+    # Fewer than the quota are kept of a site whatever it links to, before any shuffle by site. Pages that share a key also
+    # share the places of their links: among these the key decides, not the address, which may be http or https.
+    ranked = lambda df, *order: df.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy(*order, "key"))).where(F.col("n") <= most_pages)
     barred = lambda df: df if disallowed is None else df.join(disallowed.select("site", "key").distinct(), ["site", "key"], "left_anti")
     first = barred(seeds.groupBy("site", "key").agg(F.min(F.struct("ord", "url")).alias("f")))
-    seen = frontier = stash.put(ranked(first, "f").select("site", "key", "f.url", F.lit(0).alias("depth"), F.col("n").cast("long").alias("place")))
+    seen = frontier = stash.put(ranked(first, "f.ord").select("site", "key", "f.url", F.lit(0).alias("depth"), F.col("n").cast("long").alias("place")))
     links = stash.put(links)
     for depth in range(1, most_depth + 1):
         met = frontier.select("site", F.col("key").alias("src"), "place").join(links, ["site", "src"])
         new = barred(met.groupBy("site", F.col("dst").alias("key")).agg(F.min(F.struct("place", "pos", "url")).alias("f"))).join(seen.select("site", "key"), ["site", "key"], "left_anti")
         had = seen.groupBy("site").agg(F.max("place").alias("had"))
-        level = ranked(new, "f").join(had, "site").withColumn("place", F.col("had") + F.col("n"))
+        level = ranked(new, "f.place", "f.pos").join(had, "site").withColumn("place", F.col("had") + F.col("n"))
         frontier = stash.put(level.where(F.col("place") <= most_pages).select("site", "key", "f.url", F.lit(depth).alias("depth"), "place"))
         if frontier.isEmpty():
             break
