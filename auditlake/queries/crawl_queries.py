@@ -10,6 +10,7 @@ from ..operators import crawl as K
 from ..sources import responses as S
 from ..sources.anchors import with_hrefs
 from ..sources.tables import shared_path
+from ..storage import Stash
 from .registry import query, rows, table
 from .url_queries import _BARE, _K2
 
@@ -153,16 +154,20 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first pages of each site in crawl order from its first page on, a quota a site, four levels deep."""
     from pyspark.sql import Window
 
-    p = with_hrefs(table(spark, sf_dir, "pages"))
-    site = U.bare_host(F.col("url"))
-    own = Window.partitionBy("site")
-    ranked = p.select("page_id", site.alias("site"), "url", "hrefs", U.crawl_key(F.col("url")).alias("key")).withColumn("r", F.row_number().over(own.orderBy("page_id")) - 1).withColumn("n", F.count("*").over(own))
-    to = F.array(*[F.struct(F.lit(pos).alias("pos"), r.cast("long").alias("to")) for pos, r in ((1000, 2 * F.col("r") + 1), (1001, 2 * F.col("r") + 2), (1002, F.col("r") + 3), (1003, (F.col("r") * F.col("r") + 1) % F.col("n")))])
-    made = ranked.select("site", F.col("key").alias("src"), F.inline(to)).join(ranked.select("site", F.col("r").cast("long").alias("to"), F.col("key").alias("dst"), "url"), ["site", "to"])
-    edges = K.link_graph(ranked).unionByName(made.where("src <> dst").select("site", "src", "dst", "url", F.col("pos").cast("long").alias("pos")))
+    stash, own = Stash(spark), Window.partitionBy("site")
+    p = with_hrefs(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    # Markup is read once, and anchors stay out of the windows: a site may have a third of all pages.
+    p = stash.put(p.select("page_id", U.bare_host(F.col("url")).alias("site"), "url", U.crawl_key(F.col("url")).alias("key"), "hrefs"))
+    # Long: from 46,342 pages of a site on, a rank's square is more than an integer holds.
+    ranked = p.drop("hrefs").withColumn("r", F.row_number().over(own.orderBy("page_id")).cast("long") - 1).withColumn("n", F.count("*").over(own))
+    to = F.array(*[F.struct(F.lit(pos).alias("pos"), r.alias("to")) for pos, r in ((1000, 2 * F.col("r") + 1), (1001, 2 * F.col("r") + 2), (1002, F.col("r") + 3), (1003, (F.col("r") * F.col("r") + 1) % F.col("n")))])
+    made = ranked.select("site", F.col("key").alias("src"), F.inline(to)).join(ranked.select("site", F.col("r").alias("to"), F.col("key").alias("dst"), "url"), ["site", "to"])
+    edges = K.link_graph(p).unionByName(made.where("src <> dst").select("site", "src", "dst", "url", F.col("pos").cast("long").alias("pos")))
     edges = edges.groupBy("site", "src", "dst").agg(F.min(F.struct("pos", "url")).alias("f")).select("site", "src", "dst", "f.url", "f.pos")
     seeds = ranked.where("r = 0").select("site", "key", "url", F.lit(0).cast("long").alias("ord"))
-    return K.crawl(seeds, edges, _LIMIT, _DEPTH).select("site", "key", "depth", "place")
+    crawled = K.crawl(seeds, edges, _LIMIT, _DEPTH).select("site", "key", "depth", "place")
+    stash.drop(p)
+    return crawled
 
 
 @query(f"""
